@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .site import Site, site
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+CHECKS: dict[str, tuple[str, str]] = {}
 PARTS: dict[str, tuple[tuple[str, ...], str]] = {}
 
 
@@ -42,7 +42,11 @@ def query(name: str, needs: str = "", sql: str | None = None):
             raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = lambda spark, sf_dir: fn(site(spark, sf_dir))
         if sql is not None:
-            ORACLES[name] = with_parts(needs, sql)
+            CHECKS[name] = (needs, sql)
         return fn
 
     return put
+
+
+def oracles() -> dict[str, str]:
+    return {name: with_parts(*check) for name, check in CHECKS.items()}

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.rules import Sign, Vocabulary
 from ..functions.timebase import HOUR, MINUTE, us_of
 from ..operators.settle import settle
+from ..plans import features as X
 from ..plans import labels as L
 
 VOC = Vocabulary(
@@ -88,6 +89,8 @@ def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+STYPES = ["door", "gas", "guard", "motion", "pump", "smoke", "temperature"]
+
 _STAGES: dict[tuple[str, str], "Site"] = {}
 
 
@@ -151,3 +154,29 @@ class Site:
     @cached_property
     def episodes(self) -> DataFrame:
         return settle(L.episodes(self.marked, self.visits, PARAMS))
+
+    @cached_property
+    def stages(self) -> X.Stages:
+        return X.Stages(
+            self.journal, self.objects, self.guard, self.openings, self.triggers, self.visits, self.episodes
+        )
+
+    @cached_property
+    def bounds(self) -> tuple[int, int]:
+        return X.hour_bounds(self.journal)
+
+    @cached_property
+    def grid(self) -> DataFrame:
+        return settle(X.hour_grid(self.stages, VOC, PARAMS, *self.bounds))
+
+    # hours of a data loss: one night
+    @cached_property
+    def holes(self) -> list[tuple[int, int]]:
+        lo, _ = self.bounds
+        return [(lo + 400, lo + 406)]
+
+    @cached_property
+    def mart(self) -> DataFrame:
+        return settle(
+            X.mart_assemble(self.grid, self.episodes, self.channels, STYPES, VOC, self.holes, self.bounds[1])
+        )
