@@ -91,6 +91,11 @@ def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 STYPES = ["door", "gas", "guard", "motion", "pump", "smoke", "temperature"]
 
+SCORED = ("fire", "gas", "equipment", "sensor")
+SPLIT_H = 300
+SHARE = 0.2
+BY = ["run", "type", "split"]
+
 _STAGES: dict[tuple[str, str], "Site"] = {}
 
 
@@ -180,3 +185,38 @@ class Site:
         return settle(
             X.mart_assemble(self.grid, self.episodes, self.channels, STYPES, VOC, self.holes, self.bounds[1])
         )
+
+    @cached_property
+    def scores(self) -> DataFrame:
+        """Two model-free scores per type: how busy the type was, how recent."""
+        lo = self.bounds[0]
+        rows = []
+        for t in SCORED:
+            busy = (F.col(f"trig_{t}_24h") * 64 + F.col(f"onset_{t}_168h") * 16 + F.col("events_24h")) / 4096
+            for run, p in (("busy", busy), ("recency", -F.col(f"since_{t}").cast("double"))):
+                rows.append(
+                    F.struct(F.lit(run).alias("run"), F.lit(t).alias("type"), p.alias("p"), F.col(f"next_{t}").alias("next"))
+                )
+        split = F.when(F.col("h") < lo + SPLIT_H, "val").otherwise("test")
+        return settle(
+            self.mart.select("object_id", "collector_id", "h", split.alias("split"), F.explode(F.array(*rows)).alias("s"))
+            .select("s.*", "split", "object_id", "collector_id", "h")
+        )
+
+    def thresholds(self, share: float, by=("run", "type", "split")) -> DataFrame:
+        from ..plans.metrics import threshold_for_share
+
+        return threshold_for_share(self.scores, list(by), [share])
+
+    @cached_property
+    def alarms(self) -> DataFrame:
+        """Alarm hours at the working share of each run, type and split."""
+        from ..plans.metrics import alarm_rows
+
+        return settle(alarm_rows(self.scores, self.thresholds(SHARE), BY))
+
+    @cached_property
+    def seen(self) -> DataFrame:
+        from ..plans.metrics import seen_episodes
+
+        return settle(seen_episodes(self.scores, BY))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def mark_runs(df: DataFrame, on: list[str], h: str, gap: int = 0, out: str = "run") -> DataFrame:
+def mark_runs(df: DataFrame, on: list[str], h: str, gap: int | Column = 0, out: str = "run") -> DataFrame:
     """Number the runs of consecutive hours; a pause of up to ``gap`` hours
     does not break one."""
     w = Window.partitionBy(*on).orderBy(h)
@@ -21,16 +21,16 @@ def mark_runs(df: DataFrame, on: list[str], h: str, gap: int = 0, out: str = "ru
     )
 
 
-def run_table(df: DataFrame, on: list[str], h: str, gap: int = 0, aggs: dict[str, Column] | None = None) -> DataFrame:
+def run_table(df: DataFrame, on: list[str], h: str, gap: int | Column = 0, aggs: dict[str, Column] | None = None) -> DataFrame:
     """One row per run: ``a`` first hour, ``b`` last hour, ``hours`` rows."""
     return (
-        mark_runs(df, on, h, gap)
-        .groupBy(*on, "run")
+        mark_runs(df, on, h, gap, "_island")
+        .groupBy(*on, "_island")
         .agg(
             F.min(h).alias("a"),
             F.max(h).alias("b"),
             F.count(F.lit(1)).alias("hours"),
             *[c.alias(n) for n, c in (aggs or {}).items()],
         )
-        .drop("run")
+        .drop("_island")
     )
