@@ -40,8 +40,8 @@ part(
     f"""SELECT *, sum(n) OVER (PARTITION BY {K}, object_id ORDER BY h) AS run_id FROM (
  SELECT *, CASE WHEN h - lag(h) OVER (PARTITION BY {K}, object_id ORDER BY h) <= 7 THEN 0 ELSE 1 END AS n FROM al)""",
 )
-part("spans", "runs", f"SELECT {K}, object_id, min(h) AS a, max(h) AS b, count(*) AS hours, max(y) = 1 AS true FROM runs GROUP BY {K}, object_id, run_id")
-part("spans6", "runs6", f"SELECT {K}, object_id, min(h) AS a, max(h) AS b, count(*) AS hours, max(y) = 1 AS true FROM runs6 GROUP BY {K}, object_id, run_id")
+part("spans", "runs", f"SELECT {K}, object_id, min(h) AS a, max(h) AS b, count(*) AS hours, max(y) = 1 AS hit FROM runs GROUP BY {K}, object_id, run_id")
+part("spans6", "runs6", f"SELECT {K}, object_id, min(h) AS a, max(h) AS b, count(*) AS hours, max(y) = 1 AS hit FROM runs6 GROUP BY {K}, object_id, run_id")
 part("onset", "scores", f"SELECT DISTINCT {K}, object_id, h + next AS e FROM scores WHERE next < 168")
 part("seen", "onset scores", f"SELECT DISTINCT o.* FROM onset o JOIN scores s USING ({K}, object_id) WHERE s.h BETWEEN e - 24 AND e - 1")
 part(
@@ -105,15 +105,15 @@ def threshold_for_rate(s: Site):
 @query(
     "signals",
     "spans spans6",
-    f"""SELECT {K}, 0 AS gap, count(*) AS signals, count(*) FILTER (true) AS signals_true FROM spans GROUP BY {K}
-UNION ALL SELECT {K}, 6, count(*), count(*) FILTER (true) FROM spans6 GROUP BY {K}""",
+    f"""SELECT {K}, 0 AS gap, count(*) AS signals, count(*) FILTER (hit) AS signals_true FROM spans GROUP BY {K}
+UNION ALL SELECT {K}, 6, count(*), count(*) FILTER (hit) FROM spans6 GROUP BY {K}""",
 )
 def signals(s: Site):
     both = [M.signals(s.alarms, BY, g).withColumn("gap", F.lit(g)) for g in (0, 6)]
     return both[0].unionByName(both[1])
 
 
-@query("signal_spans", "spans6", f"SELECT {K}, object_id, a, b, hours, true, b - a + 1 AS length FROM spans6")
+@query("signal_spans", "spans6", f"SELECT {K}, object_id, a, b, hours, hit, b - a + 1 AS length FROM spans6")
 def signal_spans(s: Site):
     return M.signal_spans(s.alarms, BY, 6)
 
@@ -146,7 +146,7 @@ FROM (SELECT {K}, count(*) AS rows, avg(y) AS base_rate, max(thr) AS threshold,
   avg(y) FILTER (p >= thr) AS precision, avg(CAST(p >= thr AS INT)) FILTER (y = 1) AS recall_rows FROM scores JOIN thr USING ({K}) GROUP BY {K}) b
 LEFT JOIN (SELECT {K}, sum(pos * precision) / nullif(max(positives), 0) AS pr_auc,
   sum((n - pos) * (hits - pos / 2)) / nullif(max(positives) * (max(rows) - max(positives)), 0) AS roc_auc FROM curve GROUP BY {K}) c USING ({K})
-LEFT JOIN (SELECT {K}, count(*) AS signals, count(*) FILTER (true) AS signals_true FROM spans GROUP BY {K}) g USING ({K})
+LEFT JOIN (SELECT {K}, count(*) AS signals, count(*) FILTER (hit) AS signals_true FROM spans GROUP BY {K}) g USING ({K})
 LEFT JOIN (SELECT {K}, count(*) AS episodes FROM seen GROUP BY {K}) e USING ({K})
 LEFT JOIN (SELECT {K}, count(*) AS caught, quantile_cont(lead, 0.5) AS lead_median_h, quantile_cont(lead, 0.25) AS lead_p25_h,
   quantile_cont(lead, 0.75) AS lead_p75_h, avg(CAST(lead >= 12 AS INT)) AS lead_ge_12h,
@@ -167,7 +167,7 @@ part(
     f"""SELECT {K}, alarm_hours, false_hours, coalesce(caught, 0) AS caught, coalesce(fresh, 0) AS fresh, lead_median_h, signals, signals - st AS false_signals FROM
  (SELECT {K}, count(*) AS alarm_hours, count(*) FILTER (y = 0) AS false_hours FROM al GROUP BY {K})
  LEFT JOIN (SELECT {K}, count(*) AS caught, count(*) FILTER (standing < 168) AS fresh, quantile_cont(lead, 0.5) AS lead_median_h FROM caught GROUP BY {K}) USING ({K})
- LEFT JOIN (SELECT {K}, count(*) AS signals, count(*) FILTER (true) AS st FROM spans6 GROUP BY {K}) USING ({K})""",
+ LEFT JOIN (SELECT {K}, count(*) AS signals, count(*) FILTER (hit) AS st FROM spans6 GROUP BY {K}) USING ({K})""",
 )
 
 

@@ -456,14 +456,6 @@ def load_objects(alarms: DataFrame, by: list[str], top: int = 5) -> DataFrame:
     )
 
 
-def load_collectors(alarms: DataFrame, collectors: DataFrame, by: list[str], days: float) -> DataFrame:
-    """Cards a day per collector, quiet collectors included."""
-    groups = alarms.select(*by).distinct()
-    n = alarms.groupBy(*by, "collector_id").agg(F.count(F.lit(1)).alias("n"))
-    each = groups.withColumn("collector_id", F.explode(F.array(*[F.lit(c) for c in collectors]))) if isinstance(collectors, list) else groups.join(F.broadcast(collectors))
-    return each.join(n, [*by, "collector_id"], "left").fillna(0, subset=["n"]).withColumn("per_day", F.col("n") / days)
-
-
 def load_by_hour(alarms: DataFrame, by: list[str], days: float) -> DataFrame:
     """Mean cards by hour of the day, stamped by the end of the hour."""
     return alarms.groupBy(*by, ((F.col("h") + 1) % 24).alias("hour")).agg((F.count(F.lit(1)) / days).alias("cards"))
@@ -598,8 +590,8 @@ def run_cap(alarms: DataFrame, eps: DataFrame, by: list[str], cap: int, horizon:
 
 def object_signal_stats(alarms: DataFrame, by: list[str]) -> DataFrame:
     """Signals and their true share per object."""
-    runs = run_table(alarms, [*by, "object_id"], "h", 0, {"true": F.max("y")})
-    return runs.groupBy(*by, "object_id").agg(F.count(F.lit(1)).alias("n"), F.avg("true").alias("good"))
+    runs = run_table(alarms, [*by, "object_id"], "h", 0, {"hit": F.max("y")})
+    return runs.groupBy(*by, "object_id").agg(F.count(F.lit(1)).alias("n"), F.avg("hit").alias("good"))
 
 
 def mute_noisy(fit: DataFrame, apply: DataFrame, by: list[str], least: int, good: float) -> DataFrame:
@@ -635,12 +627,12 @@ def shown_signals(alarms: DataFrame, muted: DataFrame, by: list[str], gap: int =
     keys = [*by, "object_id", "h"]
     m = alarms.join(muted.select(*keys).distinct().withColumn("_m", F.lit(1)), keys, "left")
     runs = run_table(
-        m, [*by, "object_id"], "h", gap, {"true": F.max("y"), "seen": F.bool_or(F.col("_m").isNull()),
+        m, [*by, "object_id"], "h", gap, {"hit": F.max("y"), "seen": F.bool_or(F.col("_m").isNull()),
                                             "muted_hours": F.count("_m")},
     )
     return runs.groupBy(*by).agg(
         F.count_if(F.col("seen")).alias("shown"),
-        F.count_if(F.col("seen") & (F.col("true") == 0)).alias("shown_false"),
+        F.count_if(F.col("seen") & (F.col("hit") == 0)).alias("shown_false"),
         F.sum("muted_hours").alias("muted_hours"),
         F.sum("hours").alias("alarm_hours"),
     )

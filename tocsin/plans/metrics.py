@@ -72,14 +72,14 @@ def threshold_for_share(scores: DataFrame, by: list[str], shares: DataFrame | li
 def signals(alarms: DataFrame, by: list[str], gap: int | Column = 0) -> DataFrame:
     """Islands of alarm hours per group: all and true ones.  ``alarms`` holds
     alarm rows with ``y``."""
-    runs = run_table(alarms, [*by, "object_id"], "h", gap, {"true": F.max("y")})
+    runs = run_table(alarms, [*by, "object_id"], "h", gap, {"hit": F.max("y")})
     return runs.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("signals"), F.sum(F.col("true").cast("bigint")).alias("signals_true")
+        F.count(F.lit(1)).alias("signals"), F.sum(F.col("hit").cast("bigint")).alias("signals_true")
     )
 
 
 def signal_spans(alarms: DataFrame, by: list[str], gap: int | Column = 0) -> DataFrame:
-    return run_table(alarms, [*by, "object_id"], "h", gap, {"true": F.max("y") > 0}).withColumn(
+    return run_table(alarms, [*by, "object_id"], "h", gap, {"hit": F.max("y") > 0}).withColumn(
         "length", F.col("b") - F.col("a") + 1
     )
 
