@@ -96,25 +96,23 @@ def spike_flag(readings: DataFrame) -> DataFrame:
 def _sparse_history(sparse: DataFrame, readings: DataFrame) -> DataFrame:
     """Rows with at most 30 readings in the past 30 days: fetch 30-day steps
     back until more than 30 readings are held or none remain."""
-    # readings per (channel, 30-day cell) are few here; ranks need only the
-    # last 31 moments, carried by value
     keyed = sparse.select("channel_id", "us", "event_id", "num")
     first = readings.groupBy("channel_id").agg(F.min("us").alias("_first"))
     cells = readings.groupBy("channel_id", floor_div(F.col("us"), DAY).alias("d")).agg(F.count(F.lit(1)).alias("n"))
-    over = Window.partitionBy("channel_id").orderBy("d")
-    # days of a channel: at most one row per day of the period
-    cum = cells.withColumn("_cum", F.sum("n").over(over.rowsBetween(Window.unboundedPreceding, 0)))
-    asked = keyed.withColumn("d", floor_div(F.col("us"), DAY))
-    day = asked.select("channel_id", "d").distinct()
-    # a day from which more than 30 + one day of readings certainly follow
-    j = day.join(cum.select("channel_id", F.col("d").alias("_d"), "_cum", "n"), "channel_id").where(F.col("_d") < F.col("d"))
-    upto = j.groupBy("channel_id", "d").agg(F.max("_cum").alias("_all"))
-    safe = (
-        j.join(upto, ["channel_id", "d"])
-        .where(F.col("_all") - F.col("_cum") + F.col("n") > MIN_HISTORY)
-        .groupBy("channel_id", "d")
-        .agg(F.max("_d").alias("_from"))
+    # the latest day from which more than 30 readings certainly precede: each
+    # day cell holds a reading, so the last 31 cells are enough to look at
+    over = Window.partitionBy("channel_id").orderBy("d").rowsBetween(-(MIN_HISTORY + 1), -1)
+    none = F.lit(None).cast("bigint")
+    fold = F.aggregate(
+        F.reverse(F.collect_list(F.struct("d", "n")).over(over)),
+        F.struct(F.lit(0).cast("bigint").alias("c"), none.alias("f")),
+        lambda a, x: F.struct(
+            (a["c"] + x["n"]).alias("c"),
+            F.when(a["f"].isNull() & (a["c"] + x["n"] > MIN_HISTORY), x["d"]).otherwise(a["f"]).alias("f"),
+        ),
     )
+    safe = cells.withColumn("_from", fold["f"]).select("channel_id", "d", "_from")
+    asked = keyed.withColumn("d", floor_div(F.col("us"), DAY))
     spans = (
         asked.join(safe, ["channel_id", "d"], "left")
         .join(first, "channel_id")

@@ -267,12 +267,12 @@ def works_validate(rows: DataFrame, types: tuple[str, ...]) -> DataFrame:
     text: work_id, object_id, incident_types, starts_at, ends_at, and row."""
     a, b = F.col("starts_at").try_cast("timestamp_ntz"), F.col("ends_at").try_cast("timestamp_ntz")
     listed = F.filter(F.split("incident_types", ","), lambda t: t != "")
-    twice = F.count(F.lit(1)).over(Window.partitionBy("work_id")) > 1
-    first = F.row_number().over(Window.partitionBy("work_id").orderBy("row")) == 1
+    again = F.row_number().over(Window.partitionBy("work_id").orderBy("row")) > 1
+    rows = rows.withColumn("_again", again)
     blank = F.trim(F.coalesce("work_id", F.lit(""))) == ""
     unknown = F.size(F.array_except(listed, F.array(*[F.lit(t) for t in types]))) > 0
     rules = {
-        "work_id blank or repeated": blank | (twice & ~first),
+        "work_id blank or repeated": blank | F.col("_again"),
         "object_id is not a number": ~F.coalesce("object_id", F.lit("")).rlike("^[0-9]*$"),
         "unknown incident types": (F.size(listed) == 0) | unknown,
         "bad start or end": a.isNull() | b.isNull(),
