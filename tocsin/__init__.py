@@ -1 +1,9 @@
 """Sensor-journal incident analytics as plain Spark DataFrame jobs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# functions that run inside tasks travel by value, so executors need no copy
+# of this package on their path
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

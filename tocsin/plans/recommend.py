@@ -261,7 +261,7 @@ def match(ctx: DataFrame, rules: DataFrame) -> DataFrame:
 
     # a rule of the type displaces the general one with the same sign and stage
     own = F.max((F.col("rule_type") != "*").cast("int")).over(Window.partitionBy(*EP, "kind", "sign", "rule_stage"))
-    m = m.where((F.col("kind") != "repeat") | (F.col("rule_type") != "*") | (own == 0))
+    m = m.withColumn("_own", own).where((F.col("kind") != "repeat") | (F.col("rule_type") != "*") | (F.col("_own") == 0)).drop("_own")
     # the first sign with measures gives all variants, the others variant A;
     # forecast measures serve only episodes whose signs have none
     ep = Window.partitionBy(*EP)
