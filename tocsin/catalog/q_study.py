@@ -113,8 +113,8 @@ part(
 @query(
     "miss_profile",
     "epflag hctx",
-    f"""SELECT {K}, NOT got AS missed, count(*) AS episodes, round(avg(CAST(prim AS INT)), 6) AS primary_share, round(avg(CAST(trigger AS INT)), 6) AS trigger_share, round(avg(CAST(collector AS INT)), 6) AS collector, round(avg(CAST(other AS INT)), 6) AS other, round(avg(CAST(night AS INT)), 6) AS night,
- round(quantile_cont(since, 0.5), 6) AS since_median, count(*) FILTER (NOT prim) AS repeats, count(*) FILTER (prim AND quiet) AS silent FROM epflag e LEFT JOIN hctx x ON x.type = e.type AND x.object_id = e.object_id AND x.h = e.e - 1 GROUP BY {K}, NOT got""",
+    f"""SELECT e.run, e.type, e.split, NOT got AS missed, count(*) AS episodes, round(avg(CAST(prim AS INT)), 6) AS primary_share, round(avg(CAST(trigger AS INT)), 6) AS trigger_share, round(avg(CAST(collector AS INT)), 6) AS collector, round(avg(CAST(other AS INT)), 6) AS other, round(avg(CAST(night AS INT)), 6) AS night,
+ round(quantile_cont(since, 0.5), 6) AS since_median, count(*) FILTER (NOT prim) AS repeats, count(*) FILTER (prim AND quiet) AS silent FROM epflag e LEFT JOIN hctx x ON x.type = e.type AND x.object_id = e.object_id AND x.h = e.e - 1 GROUP BY e.run, e.type, e.split, NOT got""",
 )
 def miss_profile(s: Site):
     got = M.catches(s.alarms, s.seen, BY)
@@ -174,12 +174,12 @@ def early_false(s: Site):
 @query(
     "repeat_rhythm",
     "epflag hctx",
-    "SELECT e.type, got, count(*) AS repeats, round(avg(CAST(abs((since + 1 + 12) % 24 - 12) <= 1 AS INT)), 6) AS near_day FROM epflag e JOIN hctx x ON x.type = e.type AND x.object_id = e.object_id AND x.h = e.e - 1 WHERE run = 'busy' AND NOT prim AND since + 1 >= 20 AND since + 1 < 168 GROUP BY 1, 2",
+    "SELECT e.type, got, count(*) AS repeats, round(avg(CAST(abs((since + 1 + 12) % 24 - 12) <= 1 AS INT)), 6) AS near_day FROM epflag e JOIN hctx x ON x.type = e.type AND x.object_id = e.object_id AND x.h = e.e - 1 WHERE run = 'busy' AND since + 1 >= 20 AND since + 1 < 168 GROUP BY 1, 2",
 )
 def repeat_rhythm(s: Site):
     got = M.catches(s.alarms, s.seen, BY).select(*BY, "object_id", "e", F.lit(True).alias("got"))
     e = s.seen.where("run = 'busy'").join(got, [*BY, "object_id", "e"], "left").withColumn("got", F.coalesce("got", F.lit(False))).withColumn("h", F.col("e") - 1)
-    rows = e.join(hour_context(s).where("not primary").select("type", "object_id", "h", (F.col("since") + 1).alias("interval")), ["type", "object_id", "h"])
+    rows = e.join(hour_context(s).select("type", "object_id", "h", (F.col("since") + 1).alias("interval")), ["type", "object_id", "h"])
     return S.repeat_rhythm(rows, ["type", "got"]).withColumns(r6("near_day"))
 
 

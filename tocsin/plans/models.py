@@ -59,7 +59,7 @@ def train_gbt(
     if weight:
         gbt = gbt.setWeightCol(weight)
     if val:
-        gbt = gbt.setValidationIndicatorCol(val).setValidationTol(0.001)
+        gbt = gbt.setParams(validationIndicatorCol=val, validationTol=0.001)
     model = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="_x"), gbt]).fit(data)
     return model, names
 
