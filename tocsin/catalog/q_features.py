@@ -4,10 +4,10 @@ import math
 
 from pyspark.sql import Window, functions as F
 
-from ..functions.timebase import HOUR, ORIGIN_US
+from ..functions.timebase import HOUR, ORIGIN_US, literal_us
 from ..operators import grid as G
 from ..plans import features as X
-from .registry import part, query
+from .registry import PARTS, part, query
 from .site import PARAMS, STYPES, VOC, Site
 
 TYPES = VOC.types
@@ -456,15 +456,29 @@ def asof_view(s: Site):
     return view(s.journal, cut(s), F.col("stype") == "guard", gaps, 10).select("event_id", "object_id", "us", "stype")
 
 
-SNAP = ["smoke_6h", "events_168h", "gas_max_24h", "temp_mean_168h", "since_gas", "since_equipment", "onset_fire_720h", "trig_sensor_6h", "armed", "coll_onset_fire_24h"]
-part("feat2", "g", "SELECT object_id, h, last_value(guard_last IGNORE NULLS) OVER (PARTITION BY object_id ORDER BY h) AS armed FROM g")
+SNAP = ["smoke_6h", "events_168h", "gas_max_24h", "temp_mean_168h", "since_gas", "since_equipment", "onset_fire_720h", "trig_sensor_6h", "coll_onset_fire_24h"]
+SNAP_AT = "2024-01-23 12:00:00"
+SNAP_H = (literal_us(SNAP_AT) - ORIGIN_US) // HOUR
+part("gs", "obj lim counters readings guard_h onsets_h trigs_h noise_h arrive_h visit_h", PARTS["g"][1].replace("range(lo, hi)", f"range({SNAP_H} - 960, {SNAP_H})"))
 
 
-@query("snapshot_at")
+@query(
+    "snapshot_at",
+    "gs",
+    f"""SELECT object_id, h, round(smoke_6h, 6) AS smoke_6h, round(events_168h, 6) AS events_168h, round(gas_max_24h, 6) AS gas_max_24h, round(temp_mean_168h, 6) AS temp_mean_168h, CAST(since_gas AS BIGINT) AS since_gas, CAST(since_equipment AS BIGINT) AS since_equipment,
+ round(onset_fire_720h, 6) AS onset_fire_720h, round(trig_sensor_6h, 6) AS trig_sensor_6h, CAST(coll_onset_fire_24h AS DOUBLE) AS coll_onset_fire_24h, armed FROM (SELECT collector_id, object_id, h, {", ".join(f"CAST({e} AS DOUBLE) AS {n}" for n, e in FEATS.items() if n in SNAP)},
+ last_value(guard_last IGNORE NULLS) OVER (PARTITION BY object_id ORDER BY h) AS armed FROM gs) JOIN (SELECT collector_id, h, {past('sum(onset_fire)', 24, 'collector_id')} AS coll_onset_fire_24h FROM (SELECT collector_id, h, sum(onset_fire) AS onset_fire FROM gs GROUP BY 1, 2)) USING (collector_id, h)
+WHERE h = {SNAP_H - 1}""",
+    before=SNAP_AT,
+)
 def snapshot_at(s: Site):
+    """Rebuilt from the journal before the moment; its SQL reads the events
+    before it only."""
     from ..plans.replay import snapshot_at as snap
 
-    return snap(s.journal, s.objects, cut(s), VOC, PARAMS, days=40).select("object_id", "h", *SNAP)
+    out = snap(s.journal, s.objects, literal_us(SNAP_AT), VOC, PARAMS, days=40)
+    rounded_ = [c for c in SNAP if not c.startswith("since_")]
+    return out.select("object_id", "h", "since_gas", "since_equipment", "armed", *rounded(rounded_))
 
 
 @query("snapshot_diff")
@@ -474,4 +488,4 @@ def snapshot_diff(s: Site):
 
     rows = snap(s.journal, s.objects, cut(s), VOC, PARAMS, days=40)
     full = X.object_features(s.grid, VOC).join(X.collector_features(s.grid, VOC), ["collector_id", "h"])
-    return diff(rows, full, SNAP)
+    return diff(rows, full, [*SNAP, "armed"])

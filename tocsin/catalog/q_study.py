@@ -137,7 +137,17 @@ def false_causes(s: Site):
 PRE = ["smoke_24h", "pump_fault_24h", "temp_fault_24h", "door_24h", "motion_24h"]
 
 
-@query("precursor_lift")
+part("pfeat", "g", "SELECT object_id, h, " + ", ".join(f"{past(f'sum({c[:-4]})', 24)} AS {c}" for c in PRE) + " FROM g")
+part("pmark", "epflag hctx pfeat", "SELECT e.type, CASE WHEN got THEN 'caught' ELSE 'missed' END AS grp, f.* EXCLUDE (object_id, h) FROM epflag e JOIN hctx x ON x.type = e.type AND x.object_id = e.object_id AND x.h = e.e - 1 JOIN pfeat f ON f.object_id = x.object_id AND f.h = x.h WHERE run = 'busy' AND prim"
+ " UNION ALL SELECT x.type, 'control', f.* EXCLUDE (object_id, h) FROM hctx x JOIN pfeat f USING (object_id, h) WHERE next > 48 AND since >= 24")
+part("plong", "pmark", " UNION ALL ".join(f"SELECT type, grp, '{c}' AS feature, avg(CAST({c} > 0 AS INT)) AS share FROM pmark GROUP BY 1, 2" for c in PRE))
+
+
+@query(
+    "precursor_lift",
+    "plong",
+    "SELECT a.type, a.grp, a.feature, round(a.share, 6) AS share, round(c.share, 6) AS background, round(a.share / greatest(c.share, 1e-3), 5) AS lift FROM plong a JOIN plong c ON c.grp = 'control' AND c.type = a.type AND c.feature = a.feature WHERE a.grp <> 'control' AND a.share >= 0.1",
+)
 def precursor_lift(s: Site):
     """Primary episodes, missed and caught, against quiet control hours."""
     got = M.catches(s.alarms, s.seen, BY).where("run = 'busy'")
@@ -147,7 +157,8 @@ def precursor_lift(s: Site):
     before = e.withColumn("h", F.col("e") - 1).join(ctx, ["type", "object_id", "h"]).where("primary").join(feats, ["object_id", "h"])
     marked = before.select("type", F.when(F.col("_g").isNull(), "missed").otherwise("caught").alias("grp"), *PRE)
     control = ctx.where("next > 48 and since >= 24").join(feats, ["object_id", "h"]).select("type", F.lit("control").alias("grp"), *PRE)
-    return S.precursor_lift(marked.unionByName(control), ["type"], PRE)
+    out = S.precursor_lift(marked.unionByName(control), ["type"], PRE)
+    return out.withColumns(r6("share", "background")).withColumn("lift", F.round("lift", 5))
 
 
 part("fends", "spans6 hctx", "SELECT s.type, x.since, x.next FROM spans6 s JOIN hctx x ON x.type = s.type AND x.object_id = s.object_id AND x.h = s.b WHERE NOT hit AND run = 'busy'")

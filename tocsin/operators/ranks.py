@@ -20,15 +20,18 @@ def ranked(
     sums: dict[str, Column] | None = None,
     descending: bool = False,
     slices: int = SLICES,
+    weight: str | None = None,
 ) -> DataFrame:
     """One row per distinct value: ``n`` and ``sums`` of the value, and their
-    running totals ``cum_*`` up to and including it."""
+    running totals ``cum_*`` up to and including it.  Rows count once, or
+    ``weight`` times when they are counts already."""
     sums = sums or {}
     keys = by or ["_all"]
     src = df.where(F.col(value).isNotNull())
     if not by:
         src = src.withColumn("_all", F.lit(0))
-    counts = src.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"), *[c.alias(n) for n, c in sums.items()])
+    rows = F.sum(weight) if weight else F.count(F.lit(1))
+    counts = src.groupBy(*keys, value).agg(rows.alias("n"), *[c.alias(n) for n, c in sums.items()])
     marks = F.array(*[F.lit(i / slices) for i in range(1, slices)])
     edges = counts.groupBy(*keys).agg(F.percentile_approx(F.col(value).cast("double"), marks, F.lit(2000)).alias("_e"))
     cell = F.size(F.filter("_e", lambda e: e < F.col(value).cast("double")))
@@ -50,10 +53,12 @@ def ranked(
     return out
 
 
-def exact_quantiles(df: DataFrame, by: list[str], value: str, qs: DataFrame | list[float]) -> DataFrame:
+def exact_quantiles(
+    df: DataFrame, by: list[str], value: str, qs: DataFrame | list[float], weight: str | None = None
+) -> DataFrame:
     """Linear-interpolated quantiles: ``by, q, value``.  ``qs`` is a list, or
     a table ``by, q`` with its own quantiles per group."""
-    r = ranked(df, by, value).select(*by, F.col(value).alias("_v"), "n", "cum_n")
+    r = ranked(df, by, value, weight=weight).select(*by, F.col(value).alias("_v"), "n", "cum_n")
     keys = by or ["_all"]
     if not by:
         r = r.withColumn("_all", F.lit(0))

@@ -117,15 +117,25 @@ def lagged(scores: DataFrame, by: list[str], lags: list[int]) -> DataFrame:
 
 
 def fold_rank(scores: DataFrame, by: list[str]) -> DataFrame:
-    """Percent rank inside each fold; ties by object and hour.  Rank positions
-    come from the distributed value ranks, ties inside one value only."""
-    r = ranked(scores, by, "p").select(*by, "p", (F.col("cum_n") - F.col("n")).alias("_below"), F.col("n").alias("_ties"))
-    w = Window.partitionBy(*by, "p").orderBy("object_id", "h")
-    pos = F.col("_below") + F.row_number().over(w) - 1
+    """Percent rank inside each fold; ties by object and hour.
+
+    Rank of a value comes from the distributed value ranks.  A value shared by
+    a large part of the fold is ordered by object first, so the windows hold
+    one value's objects, or one object's hours, never the whole tie.
+    """
+    r = ranked(scores, by, "p").select(*by, "p", (F.col("cum_n") - F.col("n")).alias("_below"))
+    ties = scores.groupBy(*by, "p", "object_id").agg(F.count(F.lit(1)).alias("_o"))
+    objects = Window.partitionBy(*by, "p").orderBy("object_id").rowsBetween(Window.unboundedPreceding, -1)
+    offset = ties.withColumn("_before", F.coalesce(F.sum("_o").over(objects), F.lit(0))).drop("_o").join(r, [*by, "p"])
     total = scores.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    return scores.join(r, [*by, "p"]).withColumn("_pos", pos).join(total, by).withColumn(
-        "rank", F.col("_pos") / F.col("_n")
-    ).drop("_below", "_ties", "_pos", "_n")
+    hours = F.row_number().over(Window.partitionBy(*by, "p", "object_id").orderBy("h"))
+    return (
+        scores.join(offset, [*by, "p", "object_id"])
+        .withColumn("_pos", F.col("_below") + F.col("_before") + hours - 1)
+        .join(total, by)
+        .withColumn("rank", F.col("_pos") / F.col("_n"))
+        .select(*scores.columns, "rank")
+    )
 
 
 # ---- curves over many thresholds ----------------------------------------------
@@ -334,21 +344,10 @@ def rolling_threshold(scores: DataFrame, by: list[str], days: int, share: float,
         .groupBy(*by, "day", "p")
         .agg(F.sum("_n").alias("_n"))
     )
-    return weighted_quantile(seen, [*by, "day"], "p", "_n", 1 - share, least).withColumnRenamed("value", "thr")
-
-
-def weighted_quantile(counts: DataFrame, by: list[str], value: str, n: str, q: float, least: int = 1) -> DataFrame:
-    """Interpolated quantile of values given with counts: one window per group
-    over distinct values, for groups that are one (type, day)."""
-    w = Window.partitionBy(*by).orderBy(value)
-    c = counts.withColumn("_hi", F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    c = c.withColumn("_t", F.sum(n).over(Window.partitionBy(*by))).where(F.col("_t") >= least)
-    pos = F.lit(q) * (F.col("_t") - 1)
-    has = lambda p: (p >= F.col("_hi") - F.col(n)) & (p <= F.col("_hi") - 1)
-    a = F.max(F.when(has(F.floor(pos)), F.col(value)))
-    b = F.max(F.when(has(F.ceil(pos)), F.col(value)))
-    frac = F.max(pos - F.floor(pos))
-    return c.groupBy(*by).agg((a + (b - a) * frac).alias("value"))
+    full = seen.groupBy(*by, "day").agg(F.sum("_n").alias("_t")).where(F.col("_t") >= least)
+    enough = seen.join(full.drop("_t"), [*by, "day"], "left_semi")
+    out = exact_quantiles(enough, [*by, "day"], "p", [1 - share], weight="_n")
+    return out.select(*by, "day", F.col("value").alias("thr"))
 
 
 def threshold_transfer(scores: DataFrame, by: list[str], share: float, days: int, least: int = 100) -> DataFrame:

@@ -8,8 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.timebase import DAY, floor_div
+from ..functions.timebase import DAY, HOUR, floor_div
 from ..operators.interval import interval_join
+from ..operators.settle import settle
 
 # fixed values
 MIN_HISTORY = 30
@@ -64,13 +65,14 @@ def _sliding(pdf: pd.DataFrame) -> pd.DataFrame:
     return out[["channel_id", "us", "event_id", "num", "median", "std", "history"]]
 
 
-def spike_flag(readings: DataFrame) -> DataFrame:
+def spike_flag(readings: DataFrame, most: int = 2_000_000, cell: int = HOUR) -> DataFrame:
     """Readings further than three deviations from the median of their history.
 
     History is the previous readings up to 30 of them; with more, the shortest
     multiple of 30 days that holds over 30.  Columns: channel_id, us, event_id,
     num.  Where 30 days suffice (busy channels) slices with their history are
-    scanned; elsewhere the history is short and a time join fetches it.
+    scanned; elsewhere the history is short and a time join fetches it.  A
+    slice of more than ``most`` rows is worked by cells over value counts.
     """
     times = readings.groupBy("channel_id", "us").agg(F.count(F.lit(1)).alias("_n"))
     # the moment of the 31st reading back bounds the window; moments of a
@@ -81,10 +83,16 @@ def spike_flag(readings: DataFrame) -> DataFrame:
     dense = sl.withColumn("_near", F.coalesce(near, F.lit(0))).where("own").select("channel_id", "us", (F.col("_near") > MIN_HISTORY).alias("dense"))
     rows = readings.join(dense, ["channel_id", "us"])
 
-    busy = rows.where("dense").select("channel_id", floor_div(F.col("us"), STEP).alias("slice")).distinct()
-    scan = history_slices(rows, "us", STEP).join(busy, ["channel_id", "slice"], "left_semi")
+    size = rows.groupBy("channel_id", floor_div(F.col("us"), STEP).alias("slice")).agg(F.count(F.lit(1)).alias("_n"))
+    held = size.withColumn("slice", F.explode(F.array("slice", F.col("slice") + 1))).groupBy("channel_id", "slice").agg(F.sum("_n").alias("_n"))
+    wanted = rows.where("dense").select("channel_id", floor_div(F.col("us"), STEP).alias("slice")).distinct()
+    busy = settle(wanted.join(held, ["channel_id", "slice"]))
     schema = "channel_id bigint, us bigint, event_id bigint, num double, median double, std double, history double"
+    calm = busy.where(F.col("_n") <= most).drop("_n")
+    scan = history_slices(rows, "us", STEP).join(calm, ["channel_id", "slice"], "left_semi")
     a = scan.groupBy("channel_id", "slice").applyInPandas(_sliding, schema)
+    hot = rows.where("dense").withColumn("slice", floor_div(F.col("us"), STEP)).join(busy.where(F.col("_n") > most).drop("_n"), ["channel_id", "slice"], "left_semi")
+    a = a.unionByName(_hot_history(hot.drop("slice", "dense"), readings, cell).select(*a.columns))
 
     sparse = rows.where("not dense").drop("dense")
     b = _sparse_history(sparse, readings)
@@ -93,6 +101,82 @@ def spike_flag(readings: DataFrame) -> DataFrame:
     return both.withColumn("spike", F.coalesce(far & (F.col("history") >= 2), F.lit(False)))
 
 
+def _hot_history(rows: DataFrame, readings: DataFrame, cell: int) -> DataFrame:
+    """History of rows of very busy channels, cell by cell.
+
+    Between the cell of ``t - STEP`` and the cell of ``t`` lie whole cells;
+    their readings enter as counts per value, taken as differences of running
+    counts.  Only the two edge cells enter as rows, so a task holds the
+    distinct values of a window and the rows of two cells.
+    """
+    span = STEP // cell
+    home = lambda c: floor_div(F.col(c), cell)
+    busy = rows.select("channel_id").distinct()
+    all_ = readings.join(busy, "channel_id", "left_semi").withColumn("c", home("us"))
+    counts = all_.groupBy("channel_id", "num", "c").agg(F.count(F.lit(1)).alias("n"))
+    # a cell's count is in the middle of the windows of the next span - 1 cells
+    asked = rows.select("channel_id", home("us").alias("c")).distinct()
+    moves = counts.select("channel_id", "num", (F.col("c") + 1).alias("c"), "n").unionByName(
+        counts.select("channel_id", "num", (F.col("c") + span).alias("c"), (-F.col("n")).alias("n"))
+    )
+    moves = moves.groupBy("channel_id", "num", "c").agg(F.sum("n").alias("n"))
+    track = Window.partitionBy("channel_id", "num").orderBy("c")
+    # one row per change of a value's count: bounded by the cells of the period
+    level = moves.withColumn("n", F.sum("n").over(track.rowsBetween(Window.unboundedPreceding, 0))).withColumn(
+        "_to", F.coalesce(F.lead("c").over(track), F.lit(1 << 60))
+    ).where("n > 0")
+    middle = _spread(asked, level)
+    bins = middle.select("channel_id", "c", F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("us"), F.lit(None).cast("bigint").alias("event_id"), "num", "n")
+    one = F.lit(1).cast("bigint")
+    edge = all_.select("channel_id", F.explode(F.array(F.struct((F.col("c") + span).alias("c"), F.lit(1).alias("k")), F.struct(F.col("c"), F.lit(2).alias("k")))).alias("_e"), "us", "event_id", "num")
+    edge = edge.select("channel_id", "_e.c", F.col("_e.k").alias("kind"), "us", "event_id", "num", one.alias("n")).join(asked, ["channel_id", "c"], "left_semi")
+    schema = "channel_id bigint, us bigint, event_id bigint, num double, median double, std double, history double"
+    out = bins.unionByName(edge).groupBy("channel_id", "c").applyInPandas(_cell_history, schema)
+    return out.join(rows.select("channel_id", "us", "event_id"), ["channel_id", "us", "event_id"], "left_semi")
+
+
+def _spread(asked: DataFrame, level: DataFrame) -> DataFrame:
+    """Value counts of every asked cell.  A level above zero ends with its
+    next change, at most one span later, so its pieces are bounded."""
+    end = F.col("_to") - 1
+    pieces = level.select("channel_id", "num", "n", F.explode(F.sequence(F.col("c"), end)).alias("c"))
+    return pieces.join(asked, ["channel_id", "c"])
+
+
+def _cell_history(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Own rows of one cell against counts (kind 0), the leaving edge (1) and
+    the cell itself (2)."""
+    bins = pdf[pdf["kind"] == 0]
+    leaving = pdf[pdf["kind"] == 1].sort_values("us", kind="stable")
+    own = pdf[pdf["kind"] == 2].sort_values("us", kind="stable")
+    values = np.unique(pdf["num"].to_numpy(dtype=float))
+    count = np.zeros(len(values), np.int64)
+    np.add.at(count, np.searchsorted(values, bins["num"].to_numpy(dtype=float)), bins["n"].to_numpy(dtype=np.int64))
+    lt, lv = leaving["us"].to_numpy(), np.searchsorted(values, leaving["num"].to_numpy(dtype=float))
+    ot, ov = own["us"].to_numpy(), np.searchsorted(values, own["num"].to_numpy(dtype=float))
+    np.add.at(count, lv, 1)
+    gone = came = 0
+    rows = []
+    for i, t in enumerate(ot):
+        while gone < len(lt) and lt[gone] < t - STEP:
+            count[lv[gone]] -= 1
+            gone += 1
+        while came < len(ot) and ot[came] < t:
+            count[ov[came]] += 1
+            came += 1
+        total = int(count.sum())
+        upto = np.cumsum(count)
+        at = lambda k: values[np.searchsorted(upto, k, side="right")]
+        if total == 0:
+            rows.append((np.nan, np.nan, 0.0))
+            continue
+        mean = float((values * count).sum() / total)
+        var = float((count * (values - mean) ** 2).sum() / (total - 1)) if total > 1 else np.nan
+        rows.append(((at((total - 1) // 2) + at(total // 2)) / 2, np.sqrt(var), float(total)))
+    got = pd.DataFrame(rows, columns=["median", "std", "history"], index=own.index)
+    return own[["channel_id", "us", "event_id", "num"]].join(got).astype({"us": "int64", "event_id": "int64"})
+
+
 def _sparse_history(sparse: DataFrame, readings: DataFrame) -> DataFrame:
     """Rows with at most 30 readings in the past 30 days: fetch 30-day steps
     back until more than 30 readings are held or none remain."""
@@ -138,17 +222,30 @@ def _sparse_history(sparse: DataFrame, readings: DataFrame) -> DataFrame:
     return got.select("channel_id", F.col("at").alias("us"), F.col("id").alias("event_id"), F.col("x").alias("num"), "median", "std", "history")
 
 
-def flapping_flag(rows: DataFrame, days: int = 30) -> DataFrame:
+def flapping_flag(rows: DataFrame, days: int = 30, width: int = HOUR) -> DataFrame:
     """Six or more changes among the last twelve values of the past 30 days.
-    Columns: channel_id, us, event_id, value (text)."""
-    moments = rows.groupBy("channel_id", "us").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("event_id", "value"))), lambda x: x["value"]).alias("_v")
-    )
-    sl = history_slices(moments, "us", days * DAY)
-    w = Window.partitionBy("channel_id", "slice").orderBy("us").rowsBetween(-FLAP_STATES, -1)
-    past = F.filter(F.collect_list(F.struct("us", "_v")).over(w), lambda x: x["us"] >= F.col("us") - days * DAY)
-    seq = F.flatten(F.transform(past, lambda x: x["_v"]))
-    h = sl.withColumn("_seq", seq).where("own").select("channel_id", "us", F.slice("_seq", F.greatest(F.size("_seq") - FLAP_STATES + 1, F.lit(1)), FLAP_STATES).alias("_seq"))
+    Columns: channel_id, us, event_id, value (text).
+
+    Only twelve values matter, so a cell of a channel needs no more than the
+    last twelve moments before it: every cell keeps its last twelve, and a
+    window over those hands them on.
+    """
+    states = F.transform(F.sort_array(F.collect_list(F.struct("event_id", "value"))), lambda x: x["value"])
+    # of one moment, too, the last twelve values are enough
+    last = F.slice(states, F.greatest(F.size(states) - FLAP_STATES + 1, F.lit(1)), FLAP_STATES)
+    m = rows.groupBy("channel_id", "us").agg(last.alias("v")).withColumn("c", floor_div(F.col("us"), width))
+    inside = Window.partitionBy("channel_id", "c")
+    ends = m.withColumn("_i", F.row_number().over(inside.orderBy(F.col("us").desc()))).where(F.col("_i") <= FLAP_STATES)
+    track = Window.partitionBy("channel_id").orderBy("us")
+    before = F.collect_list(F.struct("us", "v")).over(track.rowsBetween(-FLAP_STATES, -1))
+    first = F.row_number().over(inside.orderBy("us")) == 1
+    carry = ends.select("channel_id", "c", before.alias("_carry"), first.alias("_f")).where("_f").drop("_f")
+    here = F.collect_list(F.struct("us", "v")).over(inside.orderBy("us").rowsBetween(-FLAP_STATES, -1))
+    h = m.withColumn("_here", here).join(carry, ["channel_id", "c"])
+    past = F.filter(F.concat("_carry", "_here"), lambda x: x["us"] >= F.col("us") - days * DAY)
+    seq = F.flatten(F.transform(past, lambda x: x["v"]))
+    h = h.withColumn("_seq", seq)
+    h = h.withColumn("_seq", F.slice("_seq", F.greatest(F.size("_seq") - FLAP_STATES + 1, F.lit(1)), FLAP_STATES))
     pairs = F.zip_with(F.slice("_seq", 1, FLAP_STATES - 1), F.slice("_seq", 2, FLAP_STATES - 1), lambda a, b: F.when(a != b, 1).otherwise(0))
     changes = F.aggregate(pairs, F.lit(0), lambda a, x: a + x)
     flags = h.select("channel_id", "us", ((F.size("_seq") >= FLAP_STATES) & (changes >= FLAP_CHANGES)).alias("flapping"))
