@@ -4,7 +4,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from tocsin.functions.timebase import DAY, HOUR
 from tocsin.plans import quality as Q

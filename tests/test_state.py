@@ -7,7 +7,6 @@ from datetime import datetime
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from tocsin.plans import alarms as A
 from tocsin.plans import labels as L

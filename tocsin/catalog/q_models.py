@@ -4,12 +4,10 @@ from pyspark.sql import functions as F
 
 from ..operators.settle import settle
 from ..plans import alarms as A
-from ..plans import metrics as M
 from ..plans import models as P
-from .q_features import past
 from .q_metrics import K
 from .registry import part, query
-from .site import BY, SCORED, SHARE, SPLIT_H, Site
+from .site import BY, SHARE, SPLIT_H, Site
 
 FEATURES = ["events_24h", "events_168h", "smoke_24h", "gas_mean_24h", "temp_mean_24h", "since_fire", "since_equipment", "onset_fire_168h", "onset_equipment_168h", "trig_equipment_24h", "hour", "dow"]
 NULLABLE = ["gas_mean_24h", "temp_mean_24h"]

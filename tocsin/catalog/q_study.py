@@ -3,15 +3,12 @@
 from pyspark.sql import functions as F
 
 from ..functions.timebase import HOUR, ORIGIN_US
-from ..operators import grid as G
 from ..operators.settle import settle
-from ..plans import alarms as A
 from ..plans import metrics as M
-from ..plans import models as P
 from ..plans import study as S
-from .q_alarms import SHARES, curve, history
+from .q_alarms import curve
 from .q_features import past, since_sql
-from .q_metrics import EV, INTS, K
+from .q_metrics import K
 from .registry import part, query
 from .site import BY, SCORED, SHARE, Site
 

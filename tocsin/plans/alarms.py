@@ -11,19 +11,7 @@ from ..operators.interval import interval_join
 from ..operators.ranks import exact_quantiles, ranked
 from ..operators.runs import mark_runs, run_table
 from ..operators.scan import asof_join
-from .metrics import (
-    HORIZON,
-    RUN_CAP,
-    alarm_rows,
-    catches,
-    measure,
-    onsets,
-    positive,
-    seen_episodes,
-    signals,
-    threshold_for_share,
-    windows_of,
-)
+from .metrics import HORIZON, RUN_CAP, alarm_rows, catches, measure, positive, seen_episodes, signals, threshold_for_share, windows_of
 
 GAP = 6
 SNAP_HOUR = 6  # the forecast of 07:00 is the row of hour 6

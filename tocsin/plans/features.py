@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.rules import Vocabulary, first_match
-from ..functions.timebase import DAY, HOUR, MINUTE, hour_of, hour_start, ts_of
+from ..functions.timebase import HOUR, MINUTE, hour_of, hour_start, ts_of
 from ..operators import grid as G
 
 # hours; fixed values of the mart
