@@ -6,7 +6,7 @@ from ..functions.timebase import HOUR, ORIGIN_US
 from ..operators import grid as G
 from ..plans import alarms as A
 from ..plans import metrics as M
-from .q_features import past, since_sql
+from .q_features import nudged, past, since_sql
 from .q_metrics import K
 from .registry import part, query
 from .site import BY, SCORED, SHARE, Site
@@ -52,10 +52,11 @@ def mean_past(m):
 @query(
     "smooth_mean",
     "scores",
-    f"SELECT {K}, object_id, h, {q6('mean_3h', 'mean_12h', 'mean_all')} FROM (SELECT *, (mean_3h + mean_12h) / 2 AS mean_all FROM (SELECT *, {mean_past(3)} AS mean_3h, {mean_past(12)} AS mean_12h FROM scores))",
+    f"SELECT {K}, object_id, h, {", ".join(f"round({c} + 1e-9, 6) AS {c}" for c in ("mean_3h", "mean_12h", "mean_all"))} FROM (SELECT *, (mean_3h + mean_12h) / 2 AS mean_all FROM (SELECT *, {mean_past(3)} AS mean_3h, {mean_past(12)} AS mean_12h FROM scores))",
 )
 def smooth_mean(s: Site):
-    return A.smooth_mean(s.scores, BY, [3, 12]).select(*BY, "object_id", "h", *r6("mean_3h", "mean_12h", "mean_all"))
+    m = A.smooth_mean(s.scores, BY, [3, 12])
+    return m.select(*BY, "object_id", "h", *[nudged(F.col(c)).alias(c) for c in ("mean_3h", "mean_12h", "mean_all")])
 
 
 @query(

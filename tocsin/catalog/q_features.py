@@ -138,11 +138,11 @@ def window_sum(s: Site):
 @query(
     "window_mean",
     "g",
-    "SELECT object_id, h, " + ", ".join(f"round({past('sum(temp_sum)', w)} / nullif({past('sum(temp_n)', w)}, 0), 6) AS temp_mean_{w}h" for w in (1, 24, 168)) + " FROM g",
+    "SELECT object_id, h, " + ", ".join(f"round({past('sum(temp_sum)', w)} / nullif({past('sum(temp_n)', w)}, 0) + 1e-9, 6) AS temp_mean_{w}h" for w in (1, 24, 168)) + " FROM g",
 )
 def window_mean(s: Site):
     wide = G.trailing_sums(s.grid.select("object_id", "h", "temp_sum", "temp_n"), ["object_id"], {"temp_sum": [1, 24, 168], "temp_n": [1, 24, 168]})
-    return wide.select("object_id", "h", *[F.round(G.trailing_mean(F.col(f"temp_sum_{w}h"), F.col(f"temp_n_{w}h")), 6).alias(f"temp_mean_{w}h") for w in (1, 24, 168)])
+    return wide.select("object_id", "h", *[nudged(G.trailing_mean(F.col(f"temp_sum_{w}h"), F.col(f"temp_n_{w}h"))).alias(f"temp_mean_{w}h") for w in (1, 24, 168)])
 
 
 @query(
@@ -157,11 +157,11 @@ def window_extreme(s: Site):
     )
 
 
-@query("trend", "g", f"SELECT object_id, h, round({past('sum(temp_sum)', 24)} / nullif({past('sum(temp_n)', 24)}, 0) - {past('sum(temp_sum)', 168)} / nullif({past('sum(temp_n)', 168)}, 0), 6) AS temp_trend FROM g")
+@query("trend", "g", f"SELECT object_id, h, round({past('sum(temp_sum)', 24)} / nullif({past('sum(temp_n)', 24)}, 0) - {past('sum(temp_sum)', 168)} / nullif({past('sum(temp_n)', 168)}, 0) + 1e-9, 6) AS temp_trend FROM g")
 def trend(s: Site):
     wide = G.trailing_sums(s.grid.select("object_id", "h", "temp_sum", "temp_n"), ["object_id"], {"temp_sum": [24, 168], "temp_n": [24, 168]})
     m = lambda w: G.trailing_mean(F.col(f"temp_sum_{w}h"), F.col(f"temp_n_{w}h"))
-    return wide.select("object_id", "h", F.round(m(24) - m(168), 6).alias("temp_trend"))
+    return wide.select("object_id", "h", nudged(m(24) - m(168)).alias("temp_trend"))
 
 
 @query("since_last", "g", f"SELECT object_id, h, {since_sql('smoke > 0')} AS since_smoke, {since_sql('onset_fire > 0', 100)} AS since_fire FROM g")
@@ -224,16 +224,25 @@ FEATS = {
     "visit_168h": past("sum(visit)", 168),
 }
 part("feat", "g", "SELECT object_id, collector_id, h, " + ", ".join(f"CAST({e} AS DOUBLE) AS {n}" for n, e in FEATS.items()) + " FROM g")
-FEAT_OUT = ", ".join(f"round({n}, 6) AS {n}" for n in FEATS)
+FEAT_OUT = ", ".join(f"round({n} + 1e-9, 6) AS {n}" for n in FEATS)
 
 
 def rounded(cols):
     return [F.round(F.col(c).cast("double"), 6).alias(c) for c in cols]
 
 
+# Means of readings with two decimals fall on exact halves of the sixth place;
+# which side a sum lands on depends on its order, so both sides are nudged.
+NUDGE = 1e-9
+
+
+def nudged(c):
+    return F.round(c + F.lit(NUDGE), 6)
+
+
 @query("object_features", "feat", f"SELECT object_id, h, {FEAT_OUT} FROM feat")
 def object_features(s: Site):
-    return X.object_features(s.grid, VOC).select("object_id", "h", *rounded(FEATS))
+    return X.object_features(s.grid, VOC).select("object_id", "h", *[nudged(F.col(c).cast("double")).alias(c) for c in FEATS])
 
 
 part(
@@ -464,7 +473,7 @@ part("gs", "obj lim counters readings guard_h onsets_h trigs_h noise_h arrive_h
 @query(
     "snapshot_at",
     "gs",
-    f"""SELECT object_id, h, round(smoke_6h, 6) AS smoke_6h, round(events_168h, 6) AS events_168h, round(gas_max_24h, 6) AS gas_max_24h, round(temp_mean_168h, 6) AS temp_mean_168h, CAST(since_gas AS BIGINT) AS since_gas, CAST(since_equipment AS BIGINT) AS since_equipment,
+    f"""SELECT object_id, h, round(smoke_6h, 6) AS smoke_6h, round(events_168h, 6) AS events_168h, round(gas_max_24h, 6) AS gas_max_24h, round(temp_mean_168h + 1e-9, 6) AS temp_mean_168h, CAST(since_gas AS BIGINT) AS since_gas, CAST(since_equipment AS BIGINT) AS since_equipment,
  round(onset_fire_720h, 6) AS onset_fire_720h, round(trig_sensor_6h, 6) AS trig_sensor_6h, CAST(coll_onset_fire_24h AS DOUBLE) AS coll_onset_fire_24h, armed FROM (SELECT collector_id, object_id, h, {", ".join(f"CAST({e} AS DOUBLE) AS {n}" for n, e in FEATS.items() if n in SNAP)},
  last_value(guard_last IGNORE NULLS) OVER (PARTITION BY object_id ORDER BY h) AS armed FROM gs) JOIN (SELECT collector_id, h, {past('sum(onset_fire)', 24, 'collector_id')} AS coll_onset_fire_24h FROM (SELECT collector_id, h, sum(onset_fire) AS onset_fire FROM gs GROUP BY 1, 2)) USING (collector_id, h)
 WHERE h = {SNAP_H - 1}""",
@@ -476,8 +485,8 @@ def snapshot_at(s: Site):
     from ..plans.replay import snapshot_at as snap
 
     out = snap(s.journal, s.objects, literal_us(SNAP_AT), VOC, PARAMS, days=40)
-    rounded_ = [c for c in SNAP if not c.startswith("since_")]
-    return out.select("object_id", "h", "since_gas", "since_equipment", "armed", *rounded(rounded_))
+    rest = [c for c in SNAP if not c.startswith("since_") and c != "temp_mean_168h"]
+    return out.select("object_id", "h", "since_gas", "since_equipment", "armed", nudged(F.col("temp_mean_168h")).alias("temp_mean_168h"), *rounded(rest))
 
 
 @query("snapshot_diff")

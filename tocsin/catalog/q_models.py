@@ -36,7 +36,7 @@ def baseline_freq(s: Site):
     return f.select("object_id", "h", F.round("freq", 6).alias("freq"))
 
 
-@query("baseline_rules", "smart", "SELECT object_id, h, CAST(trig_equipment_24h AS DOUBLE) AS rules, -CAST(since_equipment AS DOUBLE) AS recency FROM smart")
+@query("baseline_rules", "smart", "SELECT object_id, h, CAST(trig_equipment_24h AS DOUBLE) AS rules, CAST(-since_equipment AS DOUBLE) AS recency FROM smart")
 def baseline_rules(s: Site):
     b = P.baseline_scores(s.mart, "equipment")
     return b.select("object_id", "h", F.round("rules", 6).alias("rules"), "recency")

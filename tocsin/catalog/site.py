@@ -193,7 +193,7 @@ class Site:
         rows = []
         for t in SCORED:
             busy = (F.col(f"trig_{t}_24h") * 64 + F.col(f"onset_{t}_168h") * 16 + F.col("events_24h")) / 4096
-            for run, p in (("busy", busy), ("recency", -F.col(f"since_{t}").cast("double"))):
+            for run, p in (("busy", busy), ("recency", (-F.col(f"since_{t}")).cast("double"))):
                 rows.append(
                     F.struct(F.lit(run).alias("run"), F.lit(t).alias("type"), p.alias("p"), F.col(f"next_{t}").alias("next"))
                 )

@@ -849,5 +849,5 @@ def blend_families(scores: DataFrame, by: list[str], weights: DataFrame) -> Data
     """Mean over the seeds of a family, then weighted over families.
     ``weights``: family, weight."""
     family = scores.groupBy(*by, "object_id", "h", "family").agg(F.avg("p").alias("p"))
-    j = family.join(F.broadcast(weights), "family")
+    j = family.join(weights, "family")
     return j.groupBy(*by, "object_id", "h").agg((F.sum(F.col("p") * F.col("weight")) / F.sum("weight")).alias("p"))

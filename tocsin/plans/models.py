@@ -36,7 +36,7 @@ def baseline_freq(train: DataFrame, rows: DataFrame, target: str, horizon: int)
 
 
 def baseline_scores(mart: DataFrame, type_: str) -> DataFrame:
-    return mart.withColumn("rules", F.col(f"trig_{type_}_24h").cast("double")).withColumn("recency", -F.col(f"since_{type_}").cast("double"))
+    return mart.withColumn("rules", F.col(f"trig_{type_}_24h").cast("double")).withColumn("recency", (-F.col(f"since_{type_}")).cast("double"))
 
 
 def inputs(rows: DataFrame, features: list[str], nullable: list[str]) -> tuple[DataFrame, list[str]]:

@@ -167,7 +167,7 @@ def sensor_baselines(train: DataFrame, rows: DataFrame, target: str, horizon: in
     return rows.join(rate, "stype", "left").withColumns(
         {
             "history_score": F.col("single_365") + F.col("fault_365") * 1e-3,
-            "recency_score": -F.col("since_single").cast("double"),
+            "recency_score": (-F.col("since_single")).cast("double"),
             "stype_rate": F.coalesce("stype_rate", F.lit(0.0)),
         }
     )
