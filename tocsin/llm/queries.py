@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, near_duplicates, packing, pieces, pseudonyms, secret_scan, token_counts
+from . import language, near_duplicates, neighbours, packing, pieces, pseudonyms, secret_scan, token_counts, urls, winnowing
 from .common import sha256_of_ids
 
 PIECES, BYTES = "piece_bpe_32k.model", "byte_bpe_50k.json"
@@ -33,6 +33,12 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), sha256_of_ids(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return neighbours.search(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
 def joined_spans(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
@@ -80,9 +86,49 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.groups(documents(spark, sf_dir))
 
 
+@query
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    compared = winnowing.with_next(documents(spark, sf_dir))
+    joined = lambda c: F.array_join(F.transform(c, lambda g: F.concat_ws(":", g["position"], F.lower(F.hex(g["hash"])))), ",")
+    return compared.withColumns({c: joined(F.col(c)) for c in ("fingerprint", "edited_fingerprint")})
+
+
 @query
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pseudonyms.pseudonyms(documents(spark, sf_dir), PSEUDONYM_KEY)
     of_kind = lambda k: F.filter("spans", lambda s: s["kind"] == k)
     counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in pseudonyms.KINDS]
     return found.select("doc_id", *counts, joined_spans(F.col("spans")).alias("spans"), "text")
+
+
+#: The rules, and the words of host names whose pages are listed.
+RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+LISTED_WORDS = "casino|bets|adult|pills|loans|xxx"
+
+
+@query
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list holds the URLs of pages on hosts with one of the words in their names."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    listed = pages.where(F.regexp_extract("url", "://([^/?#]*)", 1).rlike(f"(?i)(^|[.-])({LISTED_WORDS})([.-]|$)"))
+    return urls.judge(pages, listed, RULES)
+
+
+ORACLES["op10_urls"] = rf"""
+WITH split AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+named AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{urls.UPPER}', '{urls.LOWER}') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, '&' || regexp_extract(rest, '^[^?#]*\?([^#]*)', 1) AS query FROM split),
+canon AS (
+  SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^(www|m)\.|:(80|443)$', '', 'g')
+    || regexp_replace(regexp_replace(path, '(\.html)?/*$', ''), '/+', '/', 'g')
+    || array_to_string(list_transform(list_filter(string_split(query, '&'), lambda p, k: k > 1 AND NOT regexp_full_match(p, '({urls.TRACKING})=.*')), lambda p: '&' || p), '') END AS page,
+    CASE WHEN ends_with('.' || host, '.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+      WHEN ends_with('.' || host, '.example.com') AND starts_with(path, '/en/') THEN 'example.com/en/'
+      WHEN ends_with('.' || host, '.net') AND starts_with(path, '/es/') THEN 'net/es/'
+      WHEN ends_with('.' || host, '.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
+      WHEN ends_with('.' || host, '.com') AND starts_with(path, '/') THEN 'com/' END AS rule FROM named)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+  WHEN page IN (SELECT page FROM canon WHERE page IS NOT NULL AND regexp_matches(host, '(^|[.-])({LISTED_WORDS})([.-]|$)')) THEN 'block' ELSE 'allow' END AS verdict
+FROM canon"""
