@@ -4,7 +4,8 @@ Centroids are fitted on a bounded sample, large clusters being dearer to join so
 that lists stay balanced.  Every vector goes to its nearest list and, near a
 border, also to others that are almost as near.  Centroids are searched by
 following a graph of their neighbours.  A query reads the lists that are not much
-farther than its nearest one, so queries between clusters read more lists.
+farther than its nearest one, so queries between clusters read more lists, and
+in any case lists that hold enough vectors.
 
 Nearness is the inner product.  Distances to centroids are taken after adding one
 component that gives all vectors the same length, so that the nearest vectors are
@@ -164,14 +165,27 @@ def fit(vectors: DataFrame) -> Index:
     return Index(c, neighbour_graph(c), most)
 
 
-def placed(vectors: DataFrame, index: Index, is_query: bool, ratio: float, most: int | None) -> DataFrame:
+def enough(index: Index, x: np.ndarray, lists: list[np.ndarray], sizes: np.ndarray, least: int) -> list[np.ndarray]:
+    """``lists`` of each row, and the next nearest ones until they have ``least`` entries or none is left."""
+    for i, own in enumerate(lists):
+        if sizes[own].sum() < least:
+            order = np.argsort(apart(x[i : i + 1], index.centroids)[0], kind="stable")
+            order = np.concatenate([own, order[~np.isin(order, own)]])
+            lists[i] = order[: max(len(own), int(np.searchsorted(np.cumsum(sizes[order]), least)) + 1)]
+    return lists
+
+
+def placed(vectors: DataFrame, index: Index, is_query: bool, ratio: float, most: int | None, sizes: np.ndarray | None = None, least: int = 0) -> DataFrame:
     """``list, vec_id, v``: a row for each list of each vector."""
 
     def run(batches):
         for whole in batches:
             for a in range(0, whole.num_rows, 2_048):
                 b = whole.slice(a, 2_048)
-                lists = index.lists(index.lifted(matrix(b.column(1)), is_query), ratio, most)
+                x = index.lifted(matrix(b.column(1)), is_query)
+                lists = index.lists(x, ratio, most)
+                if sizes is not None:
+                    lists = enough(index, x, lists, sizes, least)
                 row = np.repeat(np.arange(b.num_rows), [len(x) for x in lists])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists).astype(np.int32)), *(b.column(k).take(pa.array(row)) for k in (0, 1))], ["list", "vec_id", "v"])
 
@@ -184,7 +198,11 @@ def search(df: DataFrame, is_query: Column, k: int = 20, id: str = "vec_id", vec
     vectors = stage(usable(df, id, vector), "vectors")
     index = fit(vectors)
     lists = stage(placed(vectors, index, False, COPY_RATIO, COPIES), "lists")
-    queries = stage(placed(vectors.where(is_query), index, True, probe_ratio, None), "queries")
+    sizes = np.zeros(len(index.centroids), np.int64)
+    for r in lists.groupBy("list").count().collect():  # at most MOST_LISTS rows
+        sizes[r["list"]] = r["count"]
+    # a vector is in COPIES lists at most, so this many entries hold k other vectors
+    queries = stage(placed(vectors.where(is_query), index, True, probe_ratio, None, sizes, (k + 1) * COPIES), "queries")
     size = lambda d, name: d.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
     blocks = stage(size(lists, "vb").join(size(queries, "qb"), "list"), "blocks")
 
