@@ -19,7 +19,7 @@ id count as one document; rows with a null id are linked only to equal sets.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +35,15 @@ ROWS, BANDS = 4, 32
 HASHES = ROWS * BANDS
 #: Standard deviations below the expected agreement of signatures from which a candidate is left out.
 SLACK = 5.5
+#: Hashes of the longer signature, for documents of buckets that hold several components.
+FINE = 1024
 #: Documents of a bucket that one comparison takes from each side.
 BLOCK = 512
 
 with np.errstate(over="ignore"):
     MIXED = np.random.default_rng(20240517)
-    FACTOR = MIXED.integers(1, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
-    SHIFT = MIXED.integers(0, 1 << 63, HASHES, np.uint64) * np.uint64(2)
+    FACTOR = MIXED.integers(1, 1 << 63, HASHES + FINE, np.uint64) * np.uint64(2) + np.uint64(1)
+    SHIFT = MIXED.integers(0, 1 << 63, HASHES + FINE, np.uint64) * np.uint64(2)
     BYTE = MIXED.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
     PLACE = MIXED.integers(1, 1 << 63, WORDS + 1, np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = 0x9E3779B97F4A7C15
@@ -110,15 +112,15 @@ def shingles(texts: list[str | None]) -> list[np.ndarray]:
         return out
 
 
-def minima(sets: list[np.ndarray]) -> np.ndarray:
+def minima(sets: list[np.ndarray], first: int = 0, hashes: int = HASHES) -> np.ndarray:
     """For each non-empty set the least of its values under each universal hash, of 32 bits."""
     with np.errstate(over="ignore"):
         flat = np.concatenate(sets)
         begin = np.cumsum([0, *(len(s) for s in sets[:-1])])
-        out = np.empty((len(sets), HASHES), np.uint32)
+        out = np.empty((len(sets), hashes), np.uint32)
         flat = flat >> np.uint64(32) ^ flat
-        for k in range(HASHES):
-            out[:, k] = np.minimum.reduceat((flat * FACTOR[k] + SHIFT[k]) >> np.uint64(32), begin)
+        for k in range(hashes):
+            out[:, k] = np.minimum.reduceat((flat * FACTOR[first + k] + SHIFT[first + k]) >> np.uint64(32), begin)
         return out
 
 
@@ -154,14 +156,15 @@ def signatures(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
     return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_shingles long, digest binary, bands array<long>, signature binary")
 
 
-def least_agreement() -> int:
+def least_agreement(hashes: int) -> int:
+    """Equal bytes of two signatures below which sets are, but for SLACK, not similar enough."""
     p = SIMILARITY / 100 + (1 - SIMILARITY / 100) / 256
-    return int(HASHES * p - SLACK * (HASHES * p * (1 - p)) ** 0.5)
+    return int(hashes * p - SLACK * (hashes * p * (1 - p)) ** 0.5)
 
 
 def agreeing(pairs: DataFrame) -> DataFrame:
     """Pairs (a, b, sa, sb) whose signatures agree often enough, without the signatures."""
-    at, least = [pairs.columns.index(c) for c in ("a", "b", "sa", "sb")], least_agreement()
+    at, least = [pairs.columns.index(c) for c in ("a", "b", "sa", "sb")], least_agreement(HASHES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in batches:
@@ -173,23 +176,38 @@ def agreeing(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, f"a {t}, b {t}")
 
 
-def confirmed(pairs: DataFrame, df: DataFrame, id: str, text: str) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    spark_pairs = stage(pairs.distinct(), "pairs")
-    named = spark_pairs.select(F.col("a").alias("node")).unionByName(spark_pairs.select(F.col("b").alias("node"))).distinct()
-    named = stage(named, "named")
+def of_nodes(named: DataFrame, df: DataFrame, id: str, text: str, column: str, make: Callable[[list[np.ndarray]], list[bytes]]) -> DataFrame:
+    """``node`` and what ``make`` gives for the sets of the documents in ``named`` (node).
+    A Bloom filter keeps other texts out before their sets are made."""
     table, blocks = bloom.build(named, "node", named.count())
     maybe = bloom.possible(narrow(df, id, text), F.col("doc_id"), stage(table, "filter"), blocks, how="keep")
-    kind = maybe.schema["doc_id"].dataType.simpleString()
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, limit=1 << 20):
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in shingles(b.column(1).to_pylist())], pa.binary())], ["node", "members"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(make(shingles(b.column(1).to_pylist())), pa.binary())], ["node", column])
+
+    kind = maybe.schema["doc_id"].dataType.simpleString()
+    return maybe.mapInArrow(run, f"node {kind}, {column} binary").join(named, "node", "left_semi")
 
-    full = maybe.mapInArrow(sets, f"node {kind}, members binary").join(named, "node", "left_semi")
+
+def fine_signatures(sets: list[np.ndarray]) -> list[bytes | None]:
+    out: list[bytes | None] = [None] * len(sets)
+    full = [k for k, s in enumerate(sets) if len(s)]
+    if full:
+        for k, row in zip(full, minima([sets[k] for k in full], HASHES, FINE).astype(np.uint8), strict=True):
+            out[k] = row.tobytes()
+    return out
+
+
+def confirmed(pairs: DataFrame, df: DataFrame, id: str, text: str) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
+    wanted = stage(pairs.distinct(), "pairs")
+    named = wanted.select(F.col("a").alias("node")).unionByName(wanted.select(F.col("b").alias("node"))).distinct()
+    full = of_nodes(stage(named, "named"), df, id, text, "members", lambda sets: [s.tobytes() for s in sets])
+    kind = wanted.schema["a"].dataType.simpleString()
     full = stage(full, "sets")
-    both = spark_pairs.join(full.select(F.col("node").alias("a"), F.col("members").alias("ma")), "a").join(full.select(F.col("node").alias("b"), F.col("members").alias("mb")), "b").select("a", "b", "ma", "mb")
+    both = wanted.join(full.select(F.col("node").alias("a"), F.col("members").alias("ma")), "a").join(full.select(F.col("node").alias("b"), F.col("members").alias("mb")), "b").select("a", "b", "ma", "mb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in batches:
@@ -211,17 +229,21 @@ def pivot_pairs(buckets: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
 
 
-def across(buckets: DataFrame, first: DataFrame, classes: DataFrame, tested: DataFrame) -> DataFrame:
-    """Candidates (a > b) of different components of ``first`` that share a bucket."""
+def across(nodes: DataFrame, first: DataFrame, tested: DataFrame, df: DataFrame, id: str, text: str) -> DataFrame:
+    """Candidates (a > b) of different components of ``first`` that share a bucket, each
+    from the first bucket that its two share.  (One of two documents has its pair tested.)"""
+    buckets = nodes.select("node", F.explode("bands").alias("key"))
     placed = buckets.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("n > 2 and low <> high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = placed.join(mixed, "key").join(classes.select("node", "signature"), "node")
+    rows = stage(placed.join(mixed, "key"), "mixed")
+    fine = of_nodes(stage(rows.select("node").distinct(), "named"), df, id, text, "signature", fine_signatures)
+    rows = rows.join(stage(fine.where("signature is not null").join(nodes.select("node", "bands"), "node"), "fine"), "node")
     block = F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int")
     # a row meets each block of its bucket once: from the left if its own is the lower one
     dealt = rows.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "component", "signature")
+    dealt = dealt.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "component", "signature", "bands")
     kind = dealt.schema["node"].dataType.simpleString()
-    least = least_agreement()
+    few, least = least_agreement(HASHES), least_agreement(FINE)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def groups() -> Iterator[pa.Table]:
@@ -241,11 +263,15 @@ def across(buckets: DataFrame, first: DataFrame, classes: DataFrame, tested: Dat
         for g in groups():
             p, q = g.column(1)[0].as_py(), g.column(2)[0].as_py()
             own, node, part = (g.column(k).to_numpy() for k in (3, 4, 5))
-            short = np.frombuffer(b"".join(g.column(6).to_pylist()), np.uint8).reshape(-1, HASHES)
+            long = np.frombuffer(b"".join(g.column(6).to_pylist()), np.uint8).reshape(-1, FINE)
+            bands, key = g.column(7).combine_chunks().flatten().to_numpy().reshape(-1, BANDS), g.column(0)[0].as_py()
             left, right = np.flatnonzero(own == p), np.flatnonzero(own == q)
             for k in left:
                 hit = right[(part[right] != part[k]) & ((p != q) | (right > k))]
-                hit = hit[(short[hit] == short[k]).sum(axis=1) >= least]
+                hit = hit[(long[hit, :HASHES] == long[k, :HASHES]).sum(axis=1) >= few]
+                hit = hit[(long[hit] == long[k]).sum(axis=1) >= least]
+                shared = bands[hit] == bands[k]
+                hit = hit[bands[k][shared.argmax(axis=1)] == key]
                 if len(hit):
                     a, b = np.maximum(node[hit], node[k]), np.minimum(node[hit], node[k])
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
@@ -267,7 +293,7 @@ def groups(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     signed = tested.join(short.select(F.col("node").alias("a"), F.col("signature").alias("sa")), "a").join(short.select(F.col("node").alias("b"), F.col("signature").alias("sb")), "b").select("a", "b", "sa", "sb")
     links = stage(confirmed(agreeing(signed), df, id, text), "confirmed")
     first = components(links)
-    more = confirmed(across(buckets, first, short, tested), df, id, text)
+    more = confirmed(across(nodes, first, tested, df, id, text), df, id, text)
     whole = components(links.unionByName(more)).withColumnRenamed("component", "least")
     named = classes.join(whole, "node", "left").select("digest", F.coalesce("least", "node").alias("least"))
     out = marks.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
