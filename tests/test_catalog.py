@@ -7,11 +7,12 @@ import pytest
 
 import __spark_entry__ as entry
 from harness import DATA, compare, duck, types_of
+from tocsin.catalog import load
 
 SF = f"{DATA}/sf0.001"
 # state machines, model training and pieces whose check is elsewhere in tests
 NO_SQL = {
-    "feature_families", "snapshot_diff", "budget_split", "reject_simulate", "reject_table", "decay_simulate", "decay_daily", "train_gbt",
+    "feature_families", "snapshot_diff", "budget_split", "train_gbt",
     "importance_table", "isotonic_fit", "cascade_oof", "walk_forward", "notice_filter_oof", "sensor_model", "route_extent", "alarm_rules",
     "decision_events", "fact_clears", "alarm_rules_stream", "walk_compare",
 }
@@ -23,7 +24,7 @@ sensor_features picket_parse rec_context rec_assemble audit_parse group_closure
 
 
 def test_inventory():
-    qs, sql = entry.queries(), entry.oracle_sql()
+    qs, sql = load()
     assert set(qs) - set(sql) == NO_SQL
     assert set(sql) <= set(qs)
 

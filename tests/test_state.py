@@ -93,40 +93,6 @@ def test_borrowed_work_windows(spark):
     ]
 
 
-def walk(rows, starts, wait, hold, gap=6):
-    """A plain reading of the rejection rules, one hour at a time."""
-    shown, until, since, opened, last, prev, done = {}, -1, None, None, -(10**9), -(10**9), True
-    for h, p in rows:
-        if hold < 0 and h - prev > gap + 1:
-            until = -1
-        prev = h
-        if h < until:
-            if any(since <= e <= h for e in starts):
-                until = -1
-            else:
-                shown[h] = False
-                continue
-        shown[h] = True
-        if opened is None or h - last > gap + 1:
-            opened, done = h, False
-        last = h
-        if not done and h >= opened + wait:
-            done = True
-            if not any(opened <= e <= h for e in starts):
-                since, until = h, 10**9 if hold < 0 else h + hold
-    return shown
-
-
-@pytest.mark.parametrize("wait,hold", [(1, 24), (3, 72), (1, -1), (0, 10)])
-def test_rejection(spark, wait, hold):
-    rnd = random.Random(wait * 100 + hold)
-    hours = sorted(rnd.sample(range(400), 170))
-    starts = sorted(rnd.sample(range(400), 6))
-    alarms = spark.createDataFrame([("r", 5, h, 1.0, 0) for h in hours], "run string, object_id bigint, h bigint, p double, y int")
-    eps = spark.createDataFrame([("r", 5, e) for e in starts], "run string, object_id bigint, e bigint")
-    got = {r["h"]: r["shown"] for r in A.reject_simulate(alarms, eps, ["run"], wait=wait, hold=hold).collect()}
-    assert got == walk([(h, 1.0) for h in hours], starts, wait, hold)
-    assert not all(got.values())
 
 
 def test_budget_split_beats_no_other_choice(spark):
@@ -155,16 +121,6 @@ def test_hull_is_concave(spark):
         assert y <= np.interp(x, h["false_hours"], h["caught"]) + 1e-9
 
 
-def test_decay_recovers(spark):
-    hours = list(range(0, 200))
-    alarms = spark.createDataFrame([("r", 1, h, 0.95, 0) for h in hours], "run string, object_id bigint, h bigint, p double, y int")
-    eps = spark.createDataFrame([], "run string, object_id bigint, e bigint")
-    got = A.reject_simulate(alarms, eps, ["run"], mode="decay", tau=24.0, k0=0.2, share=0.1).toPandas().set_index("h")["shown"]
-    # silent after the rejection, back when 0.1 * w reaches 0.05
-    back = next(h for h in range(2, 200) if 0.95 >= 1 - 0.1 * (1 - 0.8 * np.exp(-(h - 1) / 24.0)))
-    assert got[0] and got[1] and not got[2 : back - 1].any() and got[back]
-
-
 def test_psi_small_and_growing(spark):
     from tocsin.plans.metrics import psi_table
 

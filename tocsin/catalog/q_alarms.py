@@ -448,39 +448,6 @@ def dispatch_by_hour(s: Site):
     return n.join(days, ["run", "split"]).select("run", "split", "hour", F.round(F.col("n") / F.col("days"), 6).alias("cards"))
 
 
-# ---- rejection (state machines: checked against brute force in the tests)
-@query("reject_simulate")
-def reject_simulate(s: Site):
-    return A.reject_simulate(s.alarms, s.seen, BY, wait=1, hold=72).select(*BY, "object_id", "h", "shown")
-
-
-@query("reject_table")
-def reject_table(s: Site):
-    """Shown hours measured for several wait and hold settings."""
-    out = None
-    for name, wait, hold in (("r1_24", 1, 24), ("r1_72", 1, 72), ("r3_72", 3, 72), ("r1_clear", 1, -1)):
-        shown = A.reject_simulate(s.alarms, s.seen, BY, wait=wait, hold=hold).where("shown")
-        rows = shown.withColumn("rule", F.lit(name))
-        out = rows if out is None else out.unionByName(rows)
-    return M.measure(out, s.seen, BY, ["rule"]).drop("signals_true")
-
-
-def ranked_alarms(s: Site):
-    ranks = A.fold_rank(s.scores, BY).drop("p").withColumnRenamed("rank", "p")
-    return ranks.where(F.col("p") >= 1 - SHARE).withColumn("y", M.positive())
-
-
-@query("decay_simulate")
-def decay_simulate(s: Site):
-    return A.reject_simulate(ranked_alarms(s), s.seen, BY, mode="decay", tau=72.0, k0=0.2, share=SHARE).select(*BY, "object_id", "h", "shown")
-
-
-@query("decay_daily")
-def decay_daily(s: Site):
-    shown = A.reject_simulate(ranked_alarms(s), s.seen, BY, mode="decay", tau=72.0, k0=0.2, share=SHARE).where("shown")
-    return A.daily_snapshot(s.scores, shown, BY)
-
-
 # ---- run caps, muting, own thresholds
 part("pos6", "runs6", f"SELECT *, h - min(h) OVER (PARTITION BY {K}, object_id, run_id) AS position FROM runs6")
 

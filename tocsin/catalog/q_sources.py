@@ -415,7 +415,7 @@ def archive_compact(s: Site):
 @query(
     "archive_read",
     "",
-    f"""SELECT event_id, channel_id, us, count(*) OVER () > 50 AS more FROM (SELECT event_id, user_id AS channel_id, epoch_us(ts) AS us FROM events
+    f"""SELECT event_id, channel_id, us, count(*) OVER () > 50 OR EXISTS (SELECT 1 FROM events WHERE user_id IN (1, 2, 3, 8) AND ts >= '2024-01-10' AND ts < '2024-01-16 12:00:00') AS more FROM (SELECT event_id, user_id AS channel_id, epoch_us(ts) AS us FROM events
  WHERE user_id IN (1, 2, 3, 8) AND ts >= '2024-01-16 12:00:00' AND ts < '2024-01-20' ORDER BY us DESC, event_id DESC LIMIT 51) ORDER BY us DESC, event_id DESC LIMIT 50""",
 )
 def archive_read(s: Site):

@@ -175,14 +175,17 @@ def query_events(rows: DataFrame, types: list[str] = (), since=None, until=None,
 # ---- hierarchies ---------------------------------------------------------------------
 
 
-def object_tree(objects: DataFrame, levels: int = 3) -> DataFrame:
+def object_tree(objects: DataFrame) -> DataFrame:
     """Root, depth, path, orphan mark and leaf count of every object.
-    ``objects``: id, parent."""
+    ``objects``: id, parent.  A round climbs one level of all objects at once,
+    until none has a parent left; a cycle is an error."""
     ids = objects.select(F.col("id").alias("_p"), F.col("parent").alias("_pp"))
     o = objects.join(ids.select("_p"), objects["parent"] == F.col("_p"), "left")
     orphan = F.col("parent").isNotNull() & F.col("_p").isNull()
     cur = o.select("id", "parent", orphan.alias("orphan"), F.when(F.col("_p").isNotNull(), F.col("parent")).alias("up"), F.col("id").alias("root"), F.lit(0).alias("depth"), F.array("id").alias("path"))
-    for _ in range(levels):
+    while not (cur := settle(cur)).where("up is not null").isEmpty():
+        if not cur.where(F.array_contains("path", F.col("up"))).isEmpty():
+            raise ValueError("the hierarchy has a cycle")
         step = cur.join(ids, cur["up"] == F.col("_p"), "left")
         has = F.col("_p").isNotNull()
         known = step.select("id", "parent", "orphan", F.col("_pp").alias("_n"), F.when(has, F.col("_p")).otherwise(F.col("root")).alias("root"),
@@ -216,6 +219,8 @@ def group_closure(edges: DataFrame, codes: DataFrame, most: int = 64) -> DataFra
         right = best.select(F.col("ancestor").alias("descendant"), F.col("descendant").alias("_z"), F.col("depth").alias("_d"))
         longer = best.join(right, "descendant").select("ancestor", F.col("_z").alias("descendant"), (F.col("depth") + F.col("_d")).alias("depth"))
         best = settle(longer.groupBy("ancestor", "descendant").agg(F.min("depth").alias("depth")))
+    else:
+        raise ValueError(f"nesting deeper than 2 ** {most}")
     return best
 
 

@@ -28,37 +28,25 @@ def pair_hours(act: DataFrame, a: str, b: str, hours: int = PAIR_HOURS, near: in
     ``near`` pickets and ``hours`` apart, known at the later hour, with the
     number of distinct channel pairs.
 
-    Pairs are counted, not listed: per (object, hour, picket) only the number
-    of channels active now and within the look-back matter, since a pair
-    counts at ``h`` when one side is active at ``h`` and the other within the
-    look-back.  Families of one rule must sit on different sensors (or be the
-    same family), as sensor types guarantee.
+    Pairs are counted, not listed.  A channel's state in an hour says for each
+    family whether it fired now, within the look-back or not; per (object, hour,
+    picket) only the number of channels in each of the nine states matters.  A
+    channel may be of both families: it makes no pair with itself, and two such
+    channels are one pair whichever way they are read.
     """
     mine = act.where(F.col("fam").isin(a, b)).select("object_id", "h", "pk", "fam", "channel_id").distinct()
-    now = mine.groupBy("object_id", "h", "pk", "fam").agg(F.count(F.lit(1)).alias("now"))
-    back = (
-        mine.withColumn("h", F.explode(F.sequence(F.col("h"), F.col("h") + hours)))
-        .distinct()
-        .groupBy("object_id", "h", "pk", "fam")
-        .agg(F.count(F.lit(1)).alias("back"))
-    )
-    cells = back.join(now, ["object_id", "h", "pk", "fam"], "left").fillna(0, subset=["now"])
-    side = lambda fam, n, m: cells.where(F.col("fam") == fam).select("object_id", "h", "pk", F.col("now").alias(n), F.col("back").alias(m))
-    x = side(a, "an", "ab")
-    y = side(b, "bn", "bb").withColumn("pk", F.explode(F.sequence(F.col("pk") - near, F.col("pk") + near)))
-    y = y.groupBy("object_id", "h", "pk").agg(F.sum("bn").alias("bn"), F.sum("bb").alias("bb"))
-    j = x.join(y, ["object_id", "h", "pk"])
-    if a == b:
-        # one side now, the other within the look-back; pairs of two active
-        # channels were seen from both ends, and a channel with itself
-        n = F.col("an") * F.col("bb") - (F.col("an") * F.col("bn") + F.col("an")) / 2
-    else:
-        n = F.col("an") * F.col("bb") + F.col("ab") * F.col("bn") - F.col("an") * F.col("bn")
-    return (
-        j.groupBy("object_id", "h")
-        .agg(F.round(F.sum(n)).cast("bigint").alias("n"))
-        .where("n > 0")
-    )
+    spread = mine.select("object_id", "pk", "fam", "channel_id", F.explode(F.sequence(F.col("h"), F.col("h") + hours)).alias("h"), F.col("h").alias("_own"))
+    state = lambda fam: F.coalesce(F.max(F.when(F.col("fam") == fam, F.when(F.col("h") == F.col("_own"), 2).otherwise(1))), F.lit(0))
+    states = spread.groupBy("object_id", "h", "pk", "channel_id").agg(state(a).alias("sa"), state(b).alias("sb"))
+    cells = states.groupBy("object_id", "h", "pk", "sa", "sb").agg(F.count(F.lit(1)).alias("n"))
+    other = cells.select("object_id", "h", F.explode(F.sequence(F.col("pk") - near, F.col("pk") + near)).alias("pk"), F.col("sa").alias("ta"), F.col("sb").alias("tb"), F.col("n").alias("m"))
+    other = other.groupBy("object_id", "h", "pk", "ta", "tb").agg(F.sum("m").alias("m"))
+    reads = lambda x, y: (F.col(x) > 0) & (F.col(y) > 0) & (F.greatest(x, y) == 2)
+    j = cells.join(other, ["object_id", "h", "pk"]).where(reads("sa", "tb") | reads("ta", "sb"))
+    self_pairs = F.when((F.col("sa") == F.col("ta")) & (F.col("sb") == F.col("tb")), F.col("n")).otherwise(0)
+    # every pair was met from both of its channels
+    total = F.sum(F.col("n") * F.col("m") - self_pairs)
+    return j.groupBy("object_id", "h").agg((total / 2).cast("bigint").alias("n")).where("n > 0")
 
 
 def pair_features(act: DataFrame, pairs: list[tuple[str, str, str]], objects: DataFrame, lo: int, hi: int, windows=(6, 24, 168)) -> DataFrame:

@@ -52,7 +52,8 @@ def compact(spark: SparkSession, source: str, target: str, before_day: str, keep
 
 def archive_read(archive, channels: list[int], a, b, limit: int, most_hours: int):
     """Newest-first rows of the channels in ``[a, b)``: at most ``limit`` of
-    the last ``most_hours`` hours, and ``more`` when rows remain."""
+    the last ``most_hours`` hours, and ``more`` when rows remain, be it beyond
+    the limit or before those hours."""
     from pyspark.sql import Window, functions as F
 
     hours = archive.where((F.col("h") >= a) & (F.col("h") < b))
@@ -62,7 +63,8 @@ def archive_read(archive, channels: list[int], a, b, limit: int, most_hours: int
     # at most limit + 1 rows: one small window
     n = F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))
     r = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.col("us").desc(), F.col("event_id").desc()))
-    return got.select("*", (n > limit).alias("more"), r.alias("_r")).where(F.col("_r") <= limit).drop("_r")
+    older = bool(mine.where(F.col("h") < newest).take(1))
+    return got.select("*", ((n > limit) | F.lit(older)).alias("more"), r.alias("_r")).where(F.col("_r") <= limit).drop("_r")
 
 
 def overwrite_hours(rows, path: str, keys: list[str]) -> str:
