@@ -44,8 +44,10 @@ def bounded_sample(df: DataFrame, key: Column, rows: int) -> DataFrame:
 
 
 def slices(batch: pa.RecordBatch, column: int = 1, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Consecutive parts of a batch whose texts have about ``limit`` bytes."""
-    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    """Consecutive parts of a batch whose texts have about ``limit`` bytes, or whose lists that many entries."""
+    values = batch.column(column)
+    length = pc.list_value_length if pa.types.is_list(values.type) else pc.binary_length
+    size = pc.fill_null(length(values), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     part = np.cumsum(size) // limit
     edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
     for a, b in zip(edges, edges[1:], strict=False):

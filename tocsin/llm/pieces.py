@@ -189,8 +189,9 @@ def decode(df: DataFrame, model: str, ids: str = "ids", out: str = "decoded") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = table(model)
-        for b in batches:
-            texts = pa.array([t.decode(x or []) for x in b.column(at).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), texts], [*(f.name for f in fields), out])
+        for whole in batches:
+            for b in slices(whole, at, 1 << 18):
+                texts = pa.array([t.decode(x or []) for x in b.column(at).to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), texts], [*(f.name for f in fields), out])
 
     return df.mapInArrow(run, StructType([*fields, StructField(out, StringType())]))
