@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import codecs
 import re
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,8 +28,10 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from .common import int_lists, narrow, slices
 
 SPACE = "▁"
-#: Segments kept in a worker, and the longest one that is kept.
-CACHE, CACHED_LENGTH = 400_000, 48
+#: Segments kept in a worker, in each of two generations, and the longest one that is kept.
+CACHE, CACHED_LENGTH = 300_000, 48
+#: Pairs of pieces whose compatibility is kept.
+PAIRS = 1_000_000
 PROBE = "ﬁÅÅ①Ａ  　x \ty "
 
 codecs.register_error("one_byte", lambda e: ("�", e.start + 1))
@@ -70,8 +73,8 @@ class PieceTable:
         #: blanks join nothing on their left but blanks, and line ends join nothing
         self.by_blank = not any("\n" in p or (p[1] == SPACE and p[0] != SPACE) for p in self.pairs) and "\n" not in self.id_of
         self.line = self.unknown("\n")
-        self.after_blank: dict[str, bytes] = {}
-        self.bare: dict[str, bytes] = {}
+        self.kept: dict[str, dict[str, bytes]] = {"word": {}, "bare": {}}
+        self.older: dict[str, dict[str, bytes]] = {"word": {}, "bare": {}}
 
     def merged(self, text: str) -> list[int]:
         """Ids of a short text by merging the best pair, leftmost first, until none is left."""
@@ -90,9 +93,10 @@ class PieceTable:
         key = a << 24 | b
         got = self.fit.get(key)
         if got is None:
-            if len(self.fit) > 1_000_000:
+            if len(self.fit) >= PAIRS:
                 self.fit.clear()
-            got = self.fit[key] = self.merged(self.piece[a] + self.piece[b]) == [a, b]
+            x, y = self.piece[a], self.piece[b]
+            got = self.fit[key] = x[-1] + y[0] not in self.pairs or (x + y not in self.id_of and self.merged(x + y) == [a, b])
         return got
 
     def unknown(self, char: str) -> bytes:
@@ -100,32 +104,41 @@ class PieceTable:
 
     def segment(self, text: str) -> bytes:
         """Ids of a segment, as little-endian 32-bit integers."""
-        last: list[tuple[int, int] | None] = [None] * len(text)
+        last, size_of, fit = [-1] * len(text), [0] * len(text), self.fit
         for end, (i, size) in self.automaton.iter(text):
-            if last[end] is None:
-                before = last[end - size] if end >= size else None
-                if before is None or self.compatible(before[0], i):
-                    last[end] = (i, size)
+            if not size_of[end]:
+                before = last[end - size] if end >= size else -1
+                if before >= 0:
+                    fits = fit.get(before << 24 | i)
+                    if fits is None:
+                        fits = self.compatible(before, i)
+                    if not fits:
+                        continue
+                last[end], size_of[end] = i, size
         ids: list[int] = []
         at = len(text) - 1
         while at >= 0:
-            step = last[at]
-            if step is None:
+            if last[at] < 0:
                 ids.extend(self.byte_id[b] for b in reversed(text[at].encode()))
                 at -= 1
             else:
-                ids.append(step[0])
-                at -= step[1]
-        return np.array(ids[::-1], "<i4").tobytes()
-
-    def cached(self, cache: dict[str, bytes], key: str, text: str) -> bytes:
-        got = cache.get(key)
+                ids.append(last[at])
+                at -= size_of[at]
+        ids.reverse()
+        return struct.pack(f"<{len(ids)}i", *ids)
+
+    def cached(self, kind: str, key: str, text: str) -> bytes:
+        """Ids of a segment: of the newer generation of kept ones, the older, or found anew."""
+        newer = self.kept[kind]
+        got = newer.get(key)
         if got is None:
-            got = self.segment(text)
+            got = self.older[kind].get(key)
+            if got is None:
+                got = self.segment(text)
             if len(key) <= CACHED_LENGTH:
-                if len(cache) >= CACHE:
-                    cache.clear()
-                cache[key] = got
+                if len(newer) >= CACHE:
+                    self.older[kind], self.kept[kind] = newer, {}
+                self.kept[kind][key] = got
         return got
 
     def encode(self, text: str | None) -> bytes:
@@ -140,14 +153,14 @@ class PieceTable:
                 out.append(self.line)
             words = line.split(" ")
             if "" in words[1:]:  # runs of blanks go with the word after them
-                out += [self.cached(self.bare, s, s) for s in re.findall(r"▁*[^▁]+|▁+", line.replace(" ", SPACE))]
+                out += [self.cached("bare", s, s) for s in re.findall(r"▁*[^▁]+|▁+", line.replace(" ", SPACE))]
                 continue
             if words[0]:
-                out.append(self.cached(self.bare, words[0], words[0]))
+                out.append(self.cached("bare", words[0], words[0]))
             del words[0]
-            ids = list(map(self.after_blank.get, words))
+            ids = list(map(self.kept["word"].get, words))
             if None in ids:
-                ids = [x if x is not None else self.cached(self.after_blank, w, SPACE + w) for x, w in zip(ids, words, strict=True)]
+                ids = [x if x is not None else self.cached("word", w, SPACE + w) for x, w in zip(ids, words, strict=True)]
             out += ids
         return b"".join(out)
 
