@@ -58,7 +58,7 @@ class Alphabet:
         if len(s) < 3:
             return np.zeros(0, np.int64)
         two = s[:-1] * k + s[1:]
-        three = two[:-1] * k + s[2:]
+        three = (two[:-1] * k + s[2:])[s[1:-1] > 0]  # none across two words
         codes, n = np.unique(np.concatenate([s[s > 0], two + k, three + k + k * k]), return_counts=True)
         return codes[np.argsort(-n, kind="stable")[:most]]
 

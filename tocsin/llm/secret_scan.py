@@ -33,6 +33,8 @@ RUN_LEAST = 16
 #: Mean log-likelihood ratio per step from which a run counts as random.
 RATIO_LEAST = 1.0
 TRAINING_ROWS = 20_000
+#: Steps that the single-character frequencies weigh as much as.
+BACK_OFF = 20
 N = len(SYMBOLS)
 
 
@@ -101,11 +103,14 @@ def steps(labelled: DataFrame) -> DataFrame:
 
 
 def train(labelled: DataFrame) -> Markov:
-    """Both models, add-one smoothed; what is collected has at most 2 * N * N rows."""
-    n = np.ones((2, N, N))
+    """Both models; a step that follows a character too rarely seen is taken from how
+    often the model has its second character at all.  At most 2 * N * N rows are collected."""
+    n = np.zeros((2, N, N))
     for r in steps(labelled).collect():
         n[r["label"], r["a"], r["b"]] += r["n"]
-    logs = np.log(n / n.sum(axis=2, keepdims=True))
+    single = n.sum(axis=1, keepdims=True) + 1
+    single /= single.sum(axis=2, keepdims=True)
+    logs = np.log((n + BACK_OFF * single) / (n.sum(axis=2, keepdims=True) + BACK_OFF))
     return Markov(logs[1] - logs[0])
 
 
