@@ -28,6 +28,7 @@ def expected(rows):
     for ch, t, i, v in rows:
         past = sorted((s, x) for c, s, _, x in rows if c == ch and s < t)
         if not past:
+            out[i] = (None, None, 0, False)
             continue
         if len(past) <= Q.MIN_HISTORY:
             x = [p[1] for p in past]
@@ -43,11 +44,13 @@ def expected(rows):
     return out
 
 
-@pytest.mark.parametrize("most,cell", [(10**9, HOUR), (0, DAY), (0, 6 * HOUR)])
-def test_spikes(spark, most, cell):
+@pytest.mark.parametrize("cell,smooth", [(DAY, False), (10 * DAY, False), (6 * HOUR, True), (DAY, True)])
+def test_spikes(spark, cell, smooth):
     rows = readings(11)
+    if smooth:  # every value another
+        rows = [(ch, t, i, v + i / 1000) for ch, t, i, v in rows]
     df = spark.createDataFrame(rows, "channel_id bigint, us bigint, event_id bigint, num double")
-    got = {r["event_id"]: r for r in Q.spike_flag(df, most, cell).where("history > 0").collect()}
+    got = {r["event_id"]: r for r in Q.spike_flag(df, cell).collect()}
     want = expected(rows)
     assert got.keys() == want.keys()
     assert any(w[3] for w in want.values())

@@ -293,8 +293,8 @@ part(
 part(
     "spk",
     "rdk rd",
-    f"""SELECT k.channel_id, k.us, k.event_id, k.num, median(b.num) AS median, stddev_samp(b.num) AS std, count(*) AS history FROM
- (SELECT *, CASE WHEN nb <= 30 THEN 0 ELSE us - greatest(1, ceil((us - back31) / {30 * DAY})) * {30 * DAY} END AS a FROM rdk) k JOIN rd b ON b.channel_id = k.channel_id AND b.us < k.us AND b.us >= k.a GROUP BY ALL""",
+    f"""SELECT k.channel_id, k.us, k.event_id, k.num, median(b.num) AS median, stddev_samp(b.num) AS std, count(b.us) AS history FROM
+ (SELECT *, CASE WHEN nb <= 30 THEN 0 ELSE us - greatest(1, ceil((us - back31) / {30 * DAY})) * {30 * DAY} END AS a FROM rdk) k LEFT JOIN rd b ON b.channel_id = k.channel_id AND b.us < k.us AND b.us >= k.a GROUP BY ALL""",
 )
 
 
@@ -304,7 +304,7 @@ def readings(s: Site):
 
 @query("spike_flag", "spk", "SELECT event_id, round(median, 6) AS median, round(std, 6) AS std, CAST(history AS BIGINT) AS history, coalesce(history >= 2 AND std > 0 AND abs(num - median) / std > 3, false) AS spike FROM spk")
 def spike_flag(s: Site):
-    f = Q.spike_flag(readings(s)).where("history > 0")
+    f = Q.spike_flag(readings(s))
     std = F.when(~F.isnan("std"), F.col("std"))
     return f.select("event_id", F.round("median", 6).alias("median"), F.round(std, 6).alias("std"), F.col("history").cast("bigint").alias("history"), "spike")
 

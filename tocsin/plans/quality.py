@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
@@ -30,6 +28,9 @@ KEY_FLAGS = {
     "Не замкнут": "contact_open",
 }
 
+#: Parts of a channel's values in which the median is looked for.
+PARTS = 64
+
 
 def history_slices(rows: DataFrame, t: str, span: int) -> DataFrame:
     """Every row in its own slice of ``span`` and, as history, in the next one.
@@ -41,140 +42,159 @@ def history_slices(rows: DataFrame, t: str, span: int) -> DataFrame:
     )
 
 
-def _sliding(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Median and deviation of the values in ``[t - STEP, t)`` for own rows of
-    one (channel, slice): a sorted list that rows enter and leave."""
-    pdf = pdf.sort_values("us", kind="stable")
-    t, v = pdf["us"].to_numpy(), pdf["num"].to_numpy(dtype=float)
-    own = pdf["own"].to_numpy() & pdf["dense"].to_numpy(dtype=bool)
-    held: list[float] = []
-    lo = hi = 0
-    med, std, n = (np.full(len(t), np.nan) for _ in range(3))
-    for i in np.flatnonzero(own):
-        while hi < len(t) and t[hi] < t[i]:
-            insort(held, v[hi])
-            hi += 1
-        while t[lo] < t[i] - STEP:
-            del held[bisect_left(held, v[lo])]
-            lo += 1
-        k = len(held)
-        med[i] = (held[(k - 1) // 2] + held[k // 2]) / 2
-        std[i] = np.std(v[lo:hi], ddof=1)
-        n[i] = k
-    out = pdf.assign(median=med, std=std, history=n)[own]
-    return out[["channel_id", "us", "event_id", "num", "median", "std", "history"]]
-
-
-def spike_flag(readings: DataFrame, most: int = 2_000_000, cell: int = HOUR) -> DataFrame:
+def dense_moments(readings: DataFrame) -> DataFrame:
+    """``channel_id, us, dense``: whether more than MIN_HISTORY readings of the
+    last 30 days precede a moment.  Each moment holds a reading, so the moments
+    just before it decide."""
+    times = readings.groupBy("channel_id", "us").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy("channel_id", "slice").orderBy("us").rowsBetween(-(MIN_HISTORY + 1), -1)
+    sl = history_slices(times, "us", STEP).withColumn("_back", F.collect_list(F.struct("us", "_n")).over(w))
+    recent = F.filter("_back", lambda x: x["us"] >= F.col("us") - STEP)
+    near = F.aggregate(recent, F.lit(0).cast("bigint"), lambda a, x: a + x["_n"])
+    return sl.where("own").select("channel_id", "us", (near > MIN_HISTORY).alias("dense"))
+
+
+def spike_flag(readings: DataFrame, cell: int = DAY) -> DataFrame:
     """Readings further than three deviations from the median of their history.
 
     History is the previous readings up to 30 of them; with more, the shortest
     multiple of 30 days that holds over 30.  Columns: channel_id, us, event_id,
-    num.  Where 30 days suffice (busy channels) slices with their history are
-    scanned; elsewhere the history is short and a time join fetches it.  A
-    slice of more than ``most`` rows is worked by cells over value counts.
+    num.  Every reading is kept: without history, median and std are NULL and
+    history is 0; with one reading of history std is not defined.  Where 30
+    days suffice, cells of ``cell`` (a divisor of 30 days) hold the history;
+    elsewhere it is short and a time join fetches it.
     """
-    times = readings.groupBy("channel_id", "us").agg(F.count(F.lit(1)).alias("_n"))
-    # the moment of the 31st reading back bounds the window; moments of a
-    # channel are counted in slices with one slice of history
-    sl = history_slices(times, "us", STEP)
-    w = Window.partitionBy("channel_id", "slice").orderBy("us")
-    near = F.sum("_n").over(w.rangeBetween(-STEP, -1))
-    dense = sl.withColumn("_near", F.coalesce(near, F.lit(0))).where("own").select("channel_id", "us", (F.col("_near") > MIN_HISTORY).alias("dense"))
-    rows = readings.join(dense, ["channel_id", "us"])
-
-    size = rows.groupBy("channel_id", floor_div(F.col("us"), STEP).alias("slice")).agg(F.count(F.lit(1)).alias("_n"))
-    held = size.withColumn("slice", F.explode(F.array("slice", F.col("slice") + 1))).groupBy("channel_id", "slice").agg(F.sum("_n").alias("_n"))
-    wanted = rows.where("dense").select("channel_id", floor_div(F.col("us"), STEP).alias("slice")).distinct()
-    busy = settle(wanted.join(held, ["channel_id", "slice"]))
-    schema = "channel_id bigint, us bigint, event_id bigint, num double, median double, std double, history double"
-    calm = busy.where(F.col("_n") <= most).drop("_n")
-    scan = history_slices(rows, "us", STEP).join(calm, ["channel_id", "slice"], "left_semi")
-    a = scan.groupBy("channel_id", "slice").applyInPandas(_sliding, schema)
-    hot = rows.where("dense").withColumn("slice", floor_div(F.col("us"), STEP)).join(busy.where(F.col("_n") > most).drop("_n"), ["channel_id", "slice"], "left_semi")
-    a = a.unionByName(_hot_history(hot.drop("slice", "dense"), readings, cell).select(*a.columns))
-
-    sparse = rows.where("not dense").drop("dense")
-    b = _sparse_history(sparse, readings)
+    rows = settle(readings.join(dense_moments(readings), ["channel_id", "us"]))
+    a = _dense_history(rows.where("dense").drop("dense"), readings, cell)
+    b = _sparse_history(rows.where("not dense").drop("dense"), readings)
     both = a.unionByName(b.select(*a.columns))
     far = (F.col("std") > 0) & (F.abs(F.col("num") - F.col("median")) / F.col("std") > SIGMAS)
     return both.withColumn("spike", F.coalesce(far & (F.col("history") >= 2), F.lit(False)))
 
 
-def _hot_history(rows: DataFrame, readings: DataFrame, cell: int) -> DataFrame:
-    """History of rows of very busy channels, cell by cell.
+def _levels(counts: DataFrame, key: list[str], span: int) -> DataFrame:
+    """Per key how many readings the ``span - 1`` whole cells before a cell hold:
+    one row per change, holding for the cells ``_from <= c < _to``.  A level above
+    zero ends at most one span after it began."""
+    moves = counts.select(*key, F.explode(F.array(F.struct((F.col("c") + 1).alias("c"), F.col("n")), F.struct((F.col("c") + span).alias("c"), (-F.col("n")).alias("n")))).alias("_m"))
+    moves = moves.groupBy(*key, F.col("_m.c").alias("_from")).agg(F.sum("_m.n").alias("n"))
+    track = Window.partitionBy(*key).orderBy("_from")
+    held = moves.withColumn("n", F.sum("n").over(track.rowsBetween(Window.unboundedPreceding, 0)))
+    return held.withColumn("_to", F.lead("_from").over(track)).where("n > 0")
+
+
+def _dense_history(rows: DataFrame, readings: DataFrame, cell: int) -> DataFrame:
+    """History of rows with more than 30 readings in 30 days, cell by cell.
 
-    Between the cell of ``t - STEP`` and the cell of ``t`` lie whole cells;
-    their readings enter as counts per value, taken as differences of running
-    counts.  Only the two edge cells enter as rows, so a task holds the
-    distinct values of a window and the rows of two cells.
+    Between the cell of ``t - STEP`` and the cell of ``t`` lie whole cells; the
+    two edge cells enter as rows.  The median of a window can leave the median of
+    the whole cells by no more ranks than the edges have rows, so of the whole
+    cells only the values around their median are needed: counts per part of the
+    channel's values show which parts those are, and how many readings lie below.
+    Sums and extremes of the whole cells give the deviation.
     """
     span = STEP // cell
-    home = lambda c: floor_div(F.col(c), cell)
-    busy = rows.select("channel_id").distinct()
-    all_ = readings.join(busy, "channel_id", "left_semi").withColumn("c", home("us"))
-    counts = all_.groupBy("channel_id", "num", "c").agg(F.count(F.lit(1)).alias("n"))
-    # a cell's count is in the middle of the windows of the next span - 1 cells
-    asked = rows.select("channel_id", home("us").alias("c")).distinct()
-    moves = counts.select("channel_id", "num", (F.col("c") + 1).alias("c"), "n").unionByName(
-        counts.select("channel_id", "num", (F.col("c") + span).alias("c"), (-F.col("n")).alias("n"))
+    all_ = readings.join(rows.select("channel_id").distinct(), "channel_id", "left_semi").withColumn("c", floor_div(F.col("us"), cell))
+    asked = settle(rows.select("channel_id", floor_div(F.col("us"), cell).alias("c")).distinct())
+    shape = all_.groupBy("channel_id").agg(F.percentile_approx("num", [k / PARTS for k in range(1, PARTS)], 2_000).alias("_cuts"), F.avg("num").alias("mid"))
+    values = all_.groupBy("channel_id", "num", "c").agg(F.count(F.lit(1)).alias("n")).join(shape, "channel_id")
+    values = settle(values.withColumn("b", F.size(F.filter("_cuts", lambda x: x < F.col("num")))).drop("_cuts"))
+
+    off = F.col("num") - F.col("mid")
+    sums = values.groupBy("channel_id", "c").agg(
+        F.first("mid").alias("mid"), F.sum("n").alias("m"), F.sum(F.col("n") * off).alias("s1"), F.sum(F.col("n") * off * off).alias("s2"), F.min("num").alias("least"), F.max("num").alias("most")
     )
-    moves = moves.groupBy("channel_id", "num", "c").agg(F.sum("n").alias("n"))
-    track = Window.partitionBy("channel_id", "num").orderBy("c")
-    # one row per change of a value's count: bounded by the cells of the period
-    level = moves.withColumn("n", F.sum("n").over(track.rowsBetween(Window.unboundedPreceding, 0))).withColumn(
-        "_to", F.coalesce(F.lead("c").over(track), F.lit(1 << 60))
-    ).where("n > 0")
-    middle = _spread(asked, level)
-    bins = middle.select("channel_id", "c", F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("us"), F.lit(None).cast("bigint").alias("event_id"), "num", "n")
-    one = F.lit(1).cast("bigint")
-    edge = all_.select("channel_id", F.explode(F.array(F.struct((F.col("c") + span).alias("c"), F.lit(1).alias("k")), F.struct(F.col("c"), F.lit(2).alias("k")))).alias("_e"), "us", "event_id", "num")
-    edge = edge.select("channel_id", "_e.c", F.col("_e.k").alias("kind"), "us", "event_id", "num", one.alias("n")).join(asked, ["channel_id", "c"], "left_semi")
+    whole = Window.partitionBy("channel_id").orderBy("c").rangeBetween(-(span - 1), -1)
+    gone = Window.partitionBy("channel_id").orderBy("c").rangeBetween(-span, -span)
+    held = sums.select(
+        "channel_id", "c", "mid", *[F.coalesce(F.sum(x).over(whole), F.lit(0)).alias(x) for x in ("m", "s1", "s2")], F.min("least").over(whole).alias("least"), F.max("most").over(whole).alias("most"),
+        (F.col("m") + F.coalesce(F.sum("m").over(gone), F.lit(0))).alias("edge"),
+    ).join(asked, ["channel_id", "c"])
+
+    parts = _levels(values.groupBy("channel_id", "b", "c").agg(F.sum("n").alias("n")), ["channel_id", "b"], span)
+    shown = interval_join(held.select("channel_id", "c", "m", "edge"), parts, ["channel_id"], "c", "_from", "_to", span)
+    upto = Window.partitionBy("channel_id", "c").orderBy("b")
+    shown = shown.withColumn("_upto", F.sum("n").over(upto))
+    low = F.greatest(F.lit(0), F.floor((F.col("m") - 1) / 2) - F.col("edge"))
+    high = F.least(F.col("m") - 1, F.floor((F.col("m") + F.col("edge")) / 2))
+    near = settle(shown.where((F.col("_upto") > low) & (F.col("_upto") - F.col("n") <= high)).select("channel_id", "c", "b", (F.col("_upto") - F.col("n")).alias("under")))
+    under = near.groupBy("channel_id", "c").agg(F.min("under").alias("under"))
+    info = held.drop("edge").join(under, ["channel_id", "c"], "left").withColumn("under", F.coalesce("under", F.lit(0))).withColumnsRenamed({"channel_id": "_channel", "c": "_c"})
+
+    none = F.lit(None).cast("bigint")
+    kept = interval_join(near, _levels(values, ["channel_id", "b", "num"], span), ["channel_id", "b"], "c", "_from", "_to", span)
+    middle = kept.select("channel_id", "c", F.lit(0).alias("kind"), none.alias("us"), none.alias("event_id"), "num", "n")
+    edges = all_.select("channel_id", F.explode(F.array(F.struct((F.col("c") + span).alias("c"), F.lit(1).alias("kind")), F.struct(F.col("c"), F.lit(2).alias("kind")))).alias("_e"), "us", "event_id", "num")
+    edges = edges.select("channel_id", "_e.c", "_e.kind", "us", "event_id", "num", F.lit(1).cast("bigint").alias("n")).join(asked, ["channel_id", "c"], "left_semi")
     schema = "channel_id bigint, us bigint, event_id bigint, num double, median double, std double, history double"
-    out = bins.unionByName(edge).groupBy("channel_id", "c").applyInPandas(_cell_history, schema)
+    key = ["channel_id", "c"]
+    out = middle.unionByName(edges).groupBy(*key).cogroup(info.groupBy("_channel", "_c")).applyInPandas(_cell_history, schema)
     return out.join(rows.select("channel_id", "us", "event_id"), ["channel_id", "us", "event_id"], "left_semi")
 
 
-def _spread(asked: DataFrame, level: DataFrame) -> DataFrame:
-    """Value counts of every asked cell.  A level above zero ends with its
-    next change, at most one span later, so its pieces are bounded."""
-    end = F.col("_to") - 1
-    pieces = level.select("channel_id", "num", "n", F.explode(F.sequence(F.col("c"), end)).alias("c"))
-    return pieces.join(asked, ["channel_id", "c"])
-
-
-def _cell_history(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Own rows of one cell against counts (kind 0), the leaving edge (1) and
-    the cell itself (2)."""
-    bins = pdf[pdf["kind"] == 0]
-    leaving = pdf[pdf["kind"] == 1].sort_values("us", kind="stable")
-    own = pdf[pdf["kind"] == 2].sort_values("us", kind="stable")
-    values = np.unique(pdf["num"].to_numpy(dtype=float))
-    count = np.zeros(len(values), np.int64)
-    np.add.at(count, np.searchsorted(values, bins["num"].to_numpy(dtype=float)), bins["n"].to_numpy(dtype=np.int64))
-    lt, lv = leaving["us"].to_numpy(), np.searchsorted(values, leaving["num"].to_numpy(dtype=float))
-    ot, ov = own["us"].to_numpy(), np.searchsorted(values, own["num"].to_numpy(dtype=float))
-    np.add.at(count, lv, 1)
-    gone = came = 0
-    rows = []
-    for i, t in enumerate(ot):
-        while gone < len(lt) and lt[gone] < t - STEP:
-            count[lv[gone]] -= 1
-            gone += 1
-        while came < len(ot) and ot[came] < t:
-            count[ov[came]] += 1
-            came += 1
-        total = int(count.sum())
-        upto = np.cumsum(count)
-        at = lambda k: values[np.searchsorted(upto, k, side="right")]
-        if total == 0:
-            rows.append((np.nan, np.nan, 0.0))
-            continue
-        mean = float((values * count).sum() / total)
-        var = float((count * (values - mean) ** 2).sum() / (total - 1)) if total > 1 else np.nan
-        rows.append(((at((total - 1) // 2) + at(total // 2)) / 2, np.sqrt(var), float(total)))
-    got = pd.DataFrame(rows, columns=["median", "std", "history"], index=own.index)
-    return own[["channel_id", "us", "event_id", "num"]].join(got).astype({"us": "int64", "event_id": "int64"})
+class Counts:
+    """Counted values in order, with sums of blocks: a change or a look-up by
+    rank costs about the root of the number of values."""
+
+    def __init__(self, counts: np.ndarray):
+        self.side = max(16, int(len(counts) ** 0.5))
+        self.blocks = np.zeros((-(-len(counts) // self.side), self.side), np.int64)
+        self.blocks.flat[: len(counts)] = counts
+        self.sums = self.blocks.sum(axis=1)
+
+    def add(self, at: int, n: int) -> None:
+        self.blocks.flat[at] += n
+        self.sums[at // self.side] += n
+
+    def ranked(self, k: int) -> int:
+        upto = np.cumsum(self.sums)
+        block = int(np.searchsorted(upto, k, side="right"))
+        rest = k - (upto[block - 1] if block else 0)
+        return block * self.side + int(np.searchsorted(np.cumsum(self.blocks[block]), rest, side="right"))
+
+
+def _cell_history(pdf: pd.DataFrame, info: pd.DataFrame) -> pd.DataFrame:
+    """Rows of one cell (kind 2) against the values around the median of the
+    whole cells (0) and the leaving cell (1)."""
+    middle = pdf[pdf["kind"] == 0]
+    leaving, own = (pdf[pdf["kind"] == k].sort_values("us", kind="stable") for k in (1, 2))
+    if not len(own) or not len(info):
+        return own[["channel_id", "us", "event_id", "num"]].head(0).assign(median=0.0, std=0.0, history=0.0)
+    cell = info.iloc[0]
+    num = lambda part: part["num"].to_numpy(dtype=float)
+    values = np.unique(num(pdf))
+    start = np.zeros(len(values), np.int64)
+    np.add.at(start, np.searchsorted(values, num(middle)), middle["n"].to_numpy(dtype=np.int64))
+    lt, ot = leaving["us"].to_numpy(dtype=np.int64), own["us"].to_numpy(dtype=np.int64)
+    lv, ov = np.searchsorted(values, num(leaving)), np.searchsorted(values, num(own))
+    np.add.at(start, lv, 1)
+    gone, came = np.searchsorted(lt, ot - STEP), np.searchsorted(ot, ot)
+    n = int(cell["m"]) + len(lt) - gone + came
+
+    held, under = Counts(start), int(cell["under"])
+    median = np.full(len(ot), np.nan)
+    left = put = 0
+    for i in range(len(ot)):
+        while left < gone[i]:
+            held.add(lv[left], -1)
+            left += 1
+        while put < came[i]:
+            held.add(ov[put], 1)
+            put += 1
+        if n[i]:
+            median[i] = (values[held.ranked((n[i] - 1) // 2 - under)] + values[held.ranked(n[i] // 2 - under)]) / 2
+
+    # sums from the first own row, and to the last leaving one
+    a, b = num(leaving) - cell["mid"], num(own) - cell["mid"]
+    ahead = lambda x: np.concatenate([np.cumsum(x[::-1])[::-1], [0.0]])[gone]
+    past = lambda x: np.concatenate([[0.0], np.cumsum(x)])[came]
+    s1, s2 = cell["s1"] + ahead(a) + past(b), cell["s2"] + ahead(a * a) + past(b * b)
+    outer = lambda f, rest, whole: f(f(np.concatenate([f.accumulate(num(leaving)[::-1])[::-1], [rest]])[gone], np.concatenate([[rest], f.accumulate(num(own))])[came]), rest if pd.isna(whole) else whole)
+    same = outer(np.minimum, np.inf, cell["least"]) == outer(np.maximum, -np.inf, cell["most"])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        std = np.sqrt(np.maximum((s2 - s1 * s1 / n) / (n - 1), 0))
+    std = np.where(n < 2, np.nan, np.where(same, 0.0, std))
+    return own[["channel_id", "us", "event_id", "num"]].assign(median=median, std=std, history=n.astype(float)).astype({"us": "int64", "event_id": "int64"})
 
 
 def _sparse_history(sparse: DataFrame, readings: DataFrame) -> DataFrame:
@@ -219,7 +239,8 @@ def _sparse_history(sparse: DataFrame, readings: DataFrame) -> DataFrame:
     got = kept.groupBy(*key).agg(
         F.percentile("num", 0.5).alias("median"), F.stddev_samp("num").alias("std"), F.count(F.lit(1)).cast("double").alias("history")
     )
-    return got.select("channel_id", F.col("at").alias("us"), F.col("id").alias("event_id"), F.col("x").alias("num"), "median", "std", "history")
+    found = got.select("channel_id", F.col("at").alias("us"), F.col("id").alias("event_id"), F.col("x").alias("num"), "median", "std", "history")
+    return keyed.join(found.drop("num"), ["channel_id", "us", "event_id"], "left").withColumn("history", F.coalesce("history", F.lit(0.0)))
 
 
 def flapping_flag(rows: DataFrame, days: int = 30, width: int = HOUR) -> DataFrame:
