@@ -90,9 +90,13 @@ part(
 )
 
 
-@query("tune_false_hours", "lthr scores", f"SELECT {K}, level, max(thr) AS thr, count(s.h) AS false_hours FROM lthr LEFT JOIN scores s USING ({K}) WHERE s.next > 24 AND s.p >= thr GROUP BY {K}, level")
+@query(
+    "tune_false_hours",
+    "lthr scores",
+    f"SELECT {K}, level, thr, (SELECT count(*) FROM scores s WHERE s.run = l.run AND s.type = l.type AND s.split = l.split AND s.next > 24 AND s.p >= l.thr) AS false_hours FROM lthr l",
+)
 def tune_false_hours(s: Site):
-    return P.false_hours_at_recall(s.scores, BY).where("false_hours > 0")
+    return P.false_hours_at_recall(s.scores, BY)
 
 
 @query(
@@ -186,15 +190,17 @@ def cascade_features(s: Site):
 def cascade_oof(s: Site):
     rows = second(s).where("type = 'gas'").withColumn("label", F.col("y").cast("double"))
     out = P.second_stage(rows, "h", ["p", "near", "run_hours", "disarmed", "visiting"], "label", 3, 0.95)
-    return out.select("object_id", "h", "split", "y", "oof", "passed")
+    return out.select("object_id", "h", "split", "y", "oof", "passed", "unscored")
 
 
 @query("walk_forward")
 def walk_forward(s: Site):
+    """Five days' folds over the whole period, for all strategies; early folds
+    without enough positives stay as rows without a score."""
     lo, hi = s.bounds
     out = None
-    for st in ("all", "decay5", "frozen"):
-        w = P.walk_forward(s.mart, "equipment", FEATURES, NULLABLE, lo + 574, hi, 40, st, val_hours=48, trees=4, depth=3)
+    for st in ("all", "d10", "decay5", "frozen", "thrfix"):
+        w = P.walk_forward(s.mart, "equipment", FEATURES, NULLABLE, lo + 120, hi, 120, st, val_hours=48, trees=4, depth=3)
         out = w if out is None else out.unionByName(w)
     return out
 
@@ -221,7 +227,7 @@ def notice_filter_oof(s: Site):
     rows = P.notice_features(s.episodes, s.triggers, s.noise).where("type = 'sensor'")
     rows = rows.withColumns({c: F.col(c).cast("double") for c in P.NOTICE_FEATURES})
     out = P.second_stage(settle(rows), "t0", P.NOTICE_FEATURES, "real", 3, 0.95)
-    return out.select("object_id", "type", "t0", "real", "oof", "passed")
+    return out.select("object_id", "type", "t0", "real", "oof", "passed", "unscored")
 
 
 @query("sensor_model")

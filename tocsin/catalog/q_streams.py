@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions.timebase import us_of
 from ..sources import sinks
 from ..streaming import ingest, rules, silence
-from ..streaming.common import ROCKSDB, files, run_available
+from ..streaming.common import ROCKSDB, files, put, run_available
 from .q_detect import LIMIT
 from .q_sources import channel_map, messages
 from .q_state import decisions, feed, schedule
@@ -50,7 +50,7 @@ def late_data_policy(s: Site):
     counts = ingest.hourly_counts(live, "at", ["event_type"], "2 hours")
 
     def each(batch, number):
-        batch.select("event_type", F.col("window.start").alias("hour"), "rows").withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{base}/rows")
+        put(batch.select("event_type", F.col("window.start").alias("hour"), "rows"), f"{base}/rows", number)
 
     q = counts.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", f"{base}/offsets").trigger(availableNow=True).start()
     q.awaitTermination()
@@ -67,7 +67,7 @@ def channel_silence_stream(s: Site):
     try:
         live = Live(s).table("events").select(F.col("user_id").alias("channel_id"), us_of("ts").alias("us"), F.col("ts").cast("timestamp").alias("at"))
         out = silence.channel_silence(live, LIMIT, "1 hour")
-        run_available(out, lambda b, n: b.write.mode("append").parquet(f"{base}/rows"), f"{base}/offsets")
+        run_available(out, lambda b, n: put(b, f"{base}/rows", n), f"{base}/offsets")
     finally:
         s.spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
     got = s.spark.read.parquet(f"{base}/rows").where("back_at is not null")
@@ -82,7 +82,7 @@ def alarm_rules_stream(s: Site):
     feed(s).write.parquet(f"{base}/feed")
     live = files(s.spark, f"{base}/feed", "*.parquet")
     out = rules.alarm_rules(live)
-    run_available(out, lambda b, n: b.write.mode("append").parquet(f"{base}/rows"), f"{base}/offsets")
+    run_available(out, lambda b, n: put(b, f"{base}/rows", n), f"{base}/offsets")
     return s.spark.read.parquet(f"{base}/rows").where("alarm is not null").select("object_id", "type", "h", "alarm", "since", "status")
 
 

@@ -54,12 +54,14 @@ part("f1t", "curve", f"SELECT run, type, min(p) FILTER (f >= m - 1e-15) AS thr F
     f"""SELECT {RT}, rule, count(*) AS alarm_hours, count(*) FILTER (y = 0) AS false_hours FROM (
  SELECT s.*, 'f1' AS rule FROM scores s JOIN f1t USING ({RT}) WHERE split = 'test' AND p >= thr
  UNION ALL SELECT s.*, 'precision' FROM scores s JOIN (SELECT {RT}, min(p) FILTER (precision >= 0.5 AND alarms >= 20) AS thr FROM curve WHERE split = 'val' GROUP BY {RT}) USING ({RT}) WHERE split = 'test' AND p >= thr
+ UNION ALL SELECT s.*, 'budget' FROM scores s JOIN (SELECT {RT}, v[1 + CAST(floor(pos) AS INT)] + (v[1 + CAST(ceil(pos) AS INT)] - v[1 + CAST(floor(pos) AS INT)]) * (pos - floor(pos)) AS thr FROM (
+  SELECT {RT}, list(p ORDER BY p) AS v, (1 - least(1, 60.0 / count(*))) * (count(*) - 1) AS pos FROM scores WHERE split = 'val' GROUP BY {RT})) USING ({RT}) WHERE split = 'test' AND p >= thr
  UNION ALL SELECT s.*, 'topk' FROM scores s JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {RT}, d ORDER BY m DESC, object_id) AS r FROM (SELECT {RT}, h // 24 AS d, object_id, max(p) AS m FROM scores WHERE split = 'test' GROUP BY ALL)) WHERE r <= 3) t USING ({RT}, object_id)
   WHERE split = 'test' AND h // 24 = t.d) GROUP BY ALL""",
 )
 def operating_points(s: Site):
     o = S.operating_points(s.scores, ["run", "type"], 0.5, 6.0, 10.0, 3)
-    return o.where("rule <> 'budget'").select("run", "type", "rule", "alarm_hours", "false_hours")
+    return o.select("run", "type", "rule", "alarm_hours", "false_hours")
 
 
 @query(

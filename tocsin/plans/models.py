@@ -196,17 +196,18 @@ def time_blocks(rows: DataFrame, t: str, folds: int) -> DataFrame:
 
 
 def out_of_fold(rows: DataFrame, t: str, features: list[str], label: str, folds: int, trees: int = 10, depth: int = 3) -> DataFrame:
-    """Every row scored by a model that never saw its block of time."""
+    """Every row scored by a model that never saw its block of time; where no
+    model could be fitted ``oof`` is NULL and ``unscored`` says why."""
     blocks = settle(time_blocks(rows, t, folds))
     out = None
     for b in range(folds):
         fit, held = blocks.where(F.col("block") != b), blocks.where(F.col("block") == b)
         n = fit.agg(F.sum(F.col(label)).alias("p"), F.sum(1 - F.col(label)).alias("n")).first()
         if not n["p"] or not n["n"] or n["p"] < 5 or n["n"] < 5:
-            part = held.withColumn("oof", F.lit(None).cast("double"))
+            part = held.withColumn("oof", F.lit(None).cast("double")).withColumn("unscored", F.lit("too few rows of a class"))
         else:
             model, _ = train_gbt(fit, features, [], label, trees=trees, depth=depth)
-            part = score(model, held, features, [], "oof")
+            part = score(model, held, features, [], "oof").withColumn("unscored", F.lit(None).cast("string"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -232,12 +233,24 @@ def walk_forward(
     """Refit every ``step`` hours with a gap of the horizon and score the hours
     ahead.  Strategies: all, dN (last N days), decayN (half-life N days),
     frozen (first model, fresh threshold), thrfix (fresh model, first
-    threshold)."""
+    threshold).  Every hour from ``start`` to ``end`` stays: where a fold has no
+    model or no threshold, ``p`` is NULL, there is no alarm, and ``unscored``
+    says why."""
     target = f"next_{type_}"
     rows = mart.select("object_id", "h", F.col(target).alias("next"), *features)
     rows = rows.withColumn("y", M.positive(horizon).cast("double"))
     model = thr = out = None
+
+    def fold(t: int, scored: DataFrame | None, why: str | None) -> DataFrame:
+        if scored is None:
+            scored = ahead.withColumn("p", F.lit(None).cast("double"))
+        alarm = F.coalesce(F.col("p") >= F.lit(thr).cast("double"), F.lit(False)) if why is None else F.lit(False)
+        cols = ["object_id", "h", "next", "p", alarm.alias("alarm"), F.lit(t).alias("fold"), F.lit(why).cast("string").alias("unscored")]
+        part = scored.select(*cols)
+        return part if out is None else out.unionByName(part)
+
     for t in range(start, end, step):
+        ahead = rows.where((F.col("h") >= t) & (F.col("h") < min(t + step, end)))
         cut = t - horizon
         seen = rows.where(F.col("h") < cut)
         if strategy.startswith("d") and strategy[1:].isdigit():
@@ -249,7 +262,9 @@ def walk_forward(
             seen, weight = seen.withColumn("w", F.pow(F.lit(2.0), -age)), "w"
         fit = seen.where(~val)
         n = fit.agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("n")).first()
-        if not n["p"] or n["p"] < 5 or n["p"] == n["n"]:
+        trainable = bool(n["p"]) and n["p"] >= 5 and n["p"] != n["n"]
+        if not trainable:
+            out = fold(t, None, "too few positive rows")
             continue
         if model is None or strategy != "frozen":
             model, _ = train_gbt(fit, features, nullable, "y", weight, trees=trees, depth=depth)
@@ -257,15 +272,12 @@ def walk_forward(
             v = score(model, seen.where(val), features, nullable)
             q = exact_quantiles(v, [], "p", [1.0 - share]).first()
             if q is None:
+                out = fold(t, None, "no validation rows")
                 continue
             thr = q["value"]
-        ahead = rows.where((F.col("h") >= t) & (F.col("h") < min(t + step, end)))
-        part = score(model, ahead, features, nullable).select(
-            "object_id", "h", "next", "p", (F.col("p") >= thr).alias("alarm"), F.lit(t).alias("fold")
-        )
-        out = part if out is None else out.unionByName(part)
+        out = fold(t, score(model, ahead, features, nullable), None)
     if out is None:
-        raise ValueError("no fold has enough positive rows")
+        raise ValueError("no fold between start and end")
     return out.withColumn("strategy", F.lit(strategy))
 
 
