@@ -13,7 +13,12 @@ those with the largest inner product.  Scores are sums of double products.
 
 Lists longer than ``BLOCK`` are dealt into blocks, and so are the queries of a list;
 each pair of blocks is compared once, by matrix product, and keeps each query's
-nearest.  A hot list or a vector with very many copies is thus never one task.
+nearest.  A hot list is thus never one task.
+
+Copies of one vector score alike, so of any query's ``k`` nearest only the copies
+with the ``k + 1`` smallest ids can be part, the query's own among them.  Lists hold
+those, equal queries share one search, and each then leaves out its own row: the
+result is that of the whole table, and work does not grow with the square of copies.
 
 Vectors that are null, empty, zero or hold null or non-finite components take no
 part, nor do rows without an id or with another dimension than most vectors.  Rows
@@ -150,6 +155,12 @@ def usable(df: DataFrame, id: str, vector: str) -> DataFrame:
     return src.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
+def first_copies(vectors: DataFrame, most: int) -> DataFrame:
+    """The rows that have fewer than ``most`` equal vectors with smaller ids."""
+    order = Window.partitionBy("v").orderBy("vec_id")
+    return vectors.withColumn("copy", F.row_number().over(order)).where(F.col("copy") <= most).drop("copy")
+
+
 def fit(vectors: DataFrame) -> Index:
     """The index's centroids, from about SAMPLE of the vectors (vec_id, v)."""
     longest = F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
@@ -196,13 +207,15 @@ def search(df: DataFrame, is_query: Column, k: int = 20, id: str = "vec_id", vec
     """``query_id, rank, vec_id, score``: the ``k`` nearest found of each usable vector
     for which ``is_query`` (over vec_id) holds, among all other vectors."""
     vectors = stage(usable(df, id, vector), "vectors")
-    index = fit(vectors)
-    lists = stage(placed(vectors, index, False, COPY_RATIO, COPIES), "lists")
+    kept = stage(first_copies(vectors, k + 1), "kept")
+    index = fit(kept)
+    lists = stage(placed(kept, index, False, COPY_RATIO, COPIES), "lists")
     sizes = np.zeros(len(index.centroids), np.int64)
     for r in lists.groupBy("list").count().collect():  # at most MOST_LISTS rows
         sizes[r["list"]] = r["count"]
+    asked = stage(vectors.where(is_query).groupBy("v").agg(F.min("vec_id").alias("vec_id")), "asked")
     # a vector is in COPIES lists at most, so this many entries hold k other vectors
-    queries = stage(placed(vectors.where(is_query), index, True, probe_ratio, None, sizes, (k + 1) * COPIES), "queries")
+    queries = stage(placed(asked, index, True, probe_ratio, None, sizes, (k + 1) * COPIES), "queries")
     size = lambda d, name: d.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
     blocks = stage(size(lists, "vb").join(size(queries, "qb"), "list"), "blocks")
 
@@ -220,15 +233,19 @@ def search(df: DataFrame, is_query: Column, k: int = 20, id: str = "vec_id", vec
             of, ids = (t.column("vec_id").to_numpy() for t in (left, right))
             for a in range(0, len(q), 256):
                 near = q[a : a + 256] @ x.T
-                near[of[a : a + 256, None] == ids[None, :]] = -np.inf
-                worst = np.partition(near, -k, axis=1)[:, -k] if near.shape[1] > k else np.full(len(near), -np.inf)
+                worst = np.partition(near, -k - 1, axis=1)[:, -k - 1] if near.shape[1] > k + 1 else np.full(len(near), -np.inf)
                 for i, (row, least) in enumerate(zip(near, worst, strict=True)):
                     hit = np.flatnonzero((row >= least - 1e-9 * (1 + abs(least))) & np.isfinite(row)) if np.isfinite(least) else np.flatnonzero(np.isfinite(row))
                     score = (x[hit] * q[a + i]).sum(axis=1)
-                    best = np.lexsort((ids[hit], -score))[:k]
+                    best = np.lexsort((ids[hit], -score))[: k + 1]
                     out.append((np.full(len(best), of[a + i]), ids[hit][best], score[best]))
         return pa.table([np.concatenate(c) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
 
     pairs = dealt(queries, "qb", "vb").groupBy(*key).cogroup(dealt(lists, "vb", "qb").groupBy(*key)).applyInArrow(compare, f"query_id {kind}, vec_id {kind}, score double")
     place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return pairs.distinct().withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = pairs.distinct().withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k + 1)
+    near = best.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "vec_id", "score"))).alias("near"))
+    same = vectors.where(is_query).join(asked.withColumnRenamed("vec_id", "query_id"), "v").select("vec_id", "query_id")
+    others = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("own")), 1, k)
+    out = same.withColumnRenamed("vec_id", "own").join(near, "query_id").select(F.col("own").alias("query_id"), F.posexplode(others).alias("at", "found"))
+    return out.select("query_id", (F.col("at") + 1).alias("rank"), "found.vec_id", "found.score")
