@@ -117,3 +117,23 @@ def test_file_source(spark, tmp_path):
     spark.range(5).write.parquet(str(tmp_path / "in"))
     s = files(spark, str(tmp_path / "in"), "*.parquet", 1)
     assert s.isStreaming and s.columns == ["id"]
+
+
+def test_advance_from_memory_equals_one_pass(spark):
+    rnd = random.Random(8)
+    ticks = [(o, "gas", h, rnd.random(), 0.5, float("inf"), True) for o in (1, 2) for h in range(60) if o == 1 or h < 25]
+    facts = [(1, "gas", h) for h in (9, 31, 44)]
+    decisions = [(o, "gas", h, a, None, True) for o, h, a in ((1, 5, "REJECT"), (1, 28, "MUTE"), (2, 20, "REJECT"), (1, 40, "REJECT"))]
+    feed = S.rule_inputs(
+        spark.createDataFrame(ticks, "object_id bigint, type string, h bigint, score double, thr double, strict double, rejectable boolean"),
+        spark.createDataFrame(facts, "object_id bigint, type string, h bigint"),
+        spark.createDataFrame(decisions, "object_id bigint, type string, h bigint, action string, until bigint, rejectable boolean"),
+    )
+    cols = ["object_id", "type", "h", "alarm", "since", "status", "cleared"]
+    got, memory = [], spark.createDataFrame([], S.MEMORY)
+    for a in (0, 20, 40):
+        out = S.advance(feed.where((F.col("h") >= a) & (F.col("h") < a + 20)), memory).cache()
+        got += map(repr, out.where("of = 'rule'").select(*cols).collect())
+        memory = spark.createDataFrame(out.where("of = 'memory'").select(*[f.split(" ")[0] for f in S.MEMORY.split(", ")]).collect(), S.MEMORY)
+        assert memory.count() == 2
+    assert sorted(got) == sorted(map(repr, S.alarm_rules(feed).select(*cols).collect()))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.timebase import us_of
+from ..functions.timebase import hour_of, us_of
 from ..sources import sinks
 from ..streaming import ingest, rules, silence
 from ..streaming.common import ROCKSDB, files, put, run_available
@@ -10,7 +10,7 @@ from .q_detect import LIMIT
 from .q_sources import channel_map, messages
 from .q_state import decisions, feed, schedule
 from .registry import part, query
-from .site import SHARE, Site
+from .site import SCORED, SHARE, Site
 
 
 class Live(Site):
@@ -86,22 +86,31 @@ def alarm_rules_stream(s: Site):
     return s.spark.read.parquet(f"{base}/rows").where("alarm is not null").select("object_id", "type", "h", "alarm", "since", "status")
 
 
-part("hthr", "scores", f"SELECT type, quantile_cont(p, {1 - SHARE}) AS thr FROM scores WHERE run = 'busy' GROUP BY type")
+WINDOW = 200
+part(
+    "hthr",
+    "scores",
+    f"SELECT a.type, a.h, quantile_cont(s.p, {1 - SHARE}) AS thr FROM (SELECT DISTINCT type, h FROM scores WHERE run = 'busy') a JOIN scores s ON s.run = 'busy' AND s.type = a.type AND s.h BETWEEN a.h - {WINDOW - 1} AND a.h GROUP BY a.type, a.h",
+)
 
 
 @query(
     "hourly_job",
     "scores hthr sched",
     """SELECT s.type, count(*) AS raw, count(*) FILTER (EXISTS (SELECT 1 FROM sched w WHERE w.object_id IN (s.object_id, s.collector_id) AND list_contains(w.types, s.type) AND s.type <> 'sensor'
- AND 1546300800000000 + s.h * 3600000000 >= w.a AND 1546300800000000 + s.h * 3600000000 < w.b)) AS works FROM scores s JOIN hthr USING (type) WHERE run = 'busy' AND p >= thr GROUP BY s.type""",
+ AND 1546300800000000 + s.h * 3600000000 >= w.a AND 1546300800000000 + s.h * 3600000000 < w.b)) AS works FROM scores s JOIN hthr USING (type, h) WHERE run = 'busy' AND p >= thr GROUP BY s.type""",
 )
 def hourly_job(s: Site):
-    """One availableNow pass of the hourly job with no decisions pending."""
+    """The hourly job over the busy score run in ten micro-batches, with
+    decisions and facts."""
     base = spot(s, "hourly")
-    s.scores.where("run = 'busy'").select("type", "object_id", "collector_id", "h", "p").coalesce(1).write.parquet(f"{base}/in")
-    live = files(s.spark, f"{base}/in", "*.parquet")
-    none = decisions(s).limit(0)
-    facts = s.spark.createDataFrame([], "object_id bigint, type string, h bigint")
-    paths = rules.hourly_job(live, facts, none, schedule(s), SHARE, base, f"{base}/offsets")
+    src = s.scores.where("run = 'busy'").select("type", "object_id", "collector_id", "h", "p")
+    lo, hi = src.agg(F.min("h"), F.max("h")).first()
+    step = (hi - lo) // 10 + 1
+    for k in range(10):  # one file after the other, so that batches come in order
+        src.where(F.col("h").between(lo + k * step, lo + (k + 1) * step - 1)).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    live = files(s.spark, f"{base}/in", "*.parquet", 1)
+    facts = s.episodes.where("noise is null").select("object_id", "type", hour_of("t0").alias("h")).distinct().where(F.col("type").isin(*SCORED))
+    paths = rules.hourly_job(live, facts, decisions(s), schedule(s), SHARE, base, f"{base}/offsets", window=WINDOW)
     st = s.spark.read.parquet(paths["status"])
     return st.groupBy("type").agg(F.count(F.lit(1)).alias("raw"), F.count_if(F.col("reason") == "works").alias("works"))

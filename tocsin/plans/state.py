@@ -173,6 +173,28 @@ def alarm_rules(feed: DataFrame) -> DataFrame:
     return feed.groupBy("object_id", "type").applyInPandas(run, RULE_OUTPUT)
 
 
+MEMORY = "object_id bigint, type string, start bigint, last_on bigint, rejected bigint, muted_until bigint"
+
+
+def advance(feed: DataFrame, memory: DataFrame) -> DataFrame:
+    """The state machine over new rows only, from the stored memory of every
+    pair.  Rows of ``RULE_OUTPUT`` have ``of = 'rule'``; rows with ``of =
+    'memory'`` are the memory afterwards, also of pairs without new rows."""
+    fields = MEMORY.replace("object_id bigint, type string, ", "")
+    names = [f.split(" ")[0] for f in fields.split(", ")]
+
+    def run(key, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+        was = old.iloc[0][names] if len(old) else []
+        rules = PairRules(*(None if pd.isna(x) else int(x) for x in was))
+        rows = [(*r, "rule", *[None] * len(names)) for r in play(rules, new)]
+        rows.append((int(key[0]), key[1], *[None] * (len(OUT_COLUMNS) - 2), "memory", *rules.dump()))
+        out = pd.DataFrame(rows, columns=[*OUT_COLUMNS, "of", *names], dtype=object)
+        return out.astype({n: "Int64" for n in ("object_id", "h", "since", *names)} | {"alarm": "boolean"})
+
+    keyed = memory.selectExpr("object_id AS _object", "type AS _type", *names)
+    return keyed.groupBy("_object", "_type").cogroup(feed.groupBy("object_id", "type")).applyInPandas(run, f"{RULE_OUTPUT}, of string, {fields}")
+
+
 def recurred(decisions: DataFrame, onsets: DataFrame, horizon: int = HORIZON) -> DataFrame:
     """Rejected or muted pairs that later had an episode: hours after the last
     decision before it."""

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..plans import state as S
-from ..plans.metrics import threshold_for_share
 from .common import put, run_available
 
 
@@ -40,29 +39,48 @@ def once(commands: DataFrame, at: str, late: str) -> DataFrame:
     return commands.withWatermark(at, late).dropDuplicatesWithinWatermark(["command_id"])
 
 
-def hourly_job(scores: DataFrame, facts: DataFrame, decisions: DataFrame, works: DataFrame, share: float, base: str, checkpoint: str, version: str = "v1") -> dict[str, str]:
-    """Each micro-batch of scores is an hour or more of the fleet: thresholds
-    from the hours before and this one, rules, work windows, statuses,
-    messages, and the log written under the batch's number.
+def hourly_job(
+    scores: DataFrame, facts: DataFrame, decisions: DataFrame, works: DataFrame, share: float, base: str, checkpoint: str,
+    version: str = "v1", window: int = S.THRESHOLD_HOURS,
+) -> dict[str, str]:
+    """Each micro-batch of scores is an hour or more of the fleet: a threshold
+    for each of its hours from the ``window`` hours up to it, rules, work
+    windows, statuses, messages, and all of it written under the batch's number.
 
-    ``scores`` is a stream of type, object_id, collector_id, h, p; the others
-    are tables.
+    ``scores`` is a stream of type, object_id, collector_id, h, p, its hours in
+    order; the others are tables.  A threshold once written stays.  The rules
+    go on from the memory that the batch before left, and read the facts and
+    decisions since its last hour, so a batch reads one window of scores and
+    no other history; replayed, it starts from the same memory.
     """
-    paths = {n: f"{base}/{n}" for n in ("scores", "status", "messages")}
+    paths = {n: f"{base}/{n}" for n in ("scores", "thresholds", "memory", "status", "messages")}
 
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         put(batch, paths["scores"], number)
-        history = spark.read.parquet(paths["scores"]).where(F.col("batch") <= number)
-        thr = threshold_for_share(history, ["type"], [share]).select("type", "thr")
-        now = batch.join(thr, "type")
-        # rules replay the pair's own history: it is one row an hour, and a
-        # failed batch replays to the same statuses
-        past = history.join(thr, "type")
-        ticks = past.select(
+        stored = spark.read.parquet(paths["scores"])
+        batch = stored.where(F.col("batch") == number).drop("batch")
+        lo, hi = batch.agg(F.min("h"), F.max("h")).first()
+        if hi is None:
+            lo = hi = -1
+        near = stored.where((F.col("batch") <= number) & (F.col("h") > lo - window) & (F.col("h") <= hi))
+        asks = batch.select("type", "h").distinct()
+        shares = asks.select("type").distinct().withColumn("share", F.lit(share))
+        put(S.threshold_90d(near, asks, shares, window=window), paths["thresholds"], number)
+        thr = spark.read.schema("type string, h bigint, thr double, batch int").parquet(paths["thresholds"])
+        now = batch.join(thr.where(F.col("batch") == number).drop("batch"), ["type", "h"])
+        ticks = now.select(
             "object_id", "type", "h", F.col("p").alias("score"), "thr", F.lit(float("inf")).alias("strict"), F.lit(True).alias("rejectable")
         )
-        played = S.alarm_rules(S.rule_inputs(ticks, facts, decisions)).where("alarm is not null")
+        if number:
+            memory = spark.read.schema(f"{S.MEMORY}, batch int").parquet(paths["memory"]).where(F.col("batch") == number - 1)
+            before = thr.where(F.col("batch") < number).agg(F.max("h")).first()[0]
+        else:
+            memory, before = spark.createDataFrame([], S.MEMORY), None
+        new = F.col("h") <= hi if before is None else (F.col("h") > before) & (F.col("h") <= hi)
+        moved = S.advance(S.rule_inputs(ticks, facts.where(new), decisions.where(new)), memory).persist()
+        put(moved.where("of = 'memory'").select(*[f.split(" ")[0] for f in S.MEMORY.split(", ")]), paths["memory"], number)
+        played = moved.where("of = 'rule' AND alarm IS NOT NULL").select("object_id", "type", "h", "alarm", "since", "status")
         hours = now.select("object_id", "type", "h", (F.col("p") >= F.col("thr")).alias("raw"))
         rows = played.join(hours, ["object_id", "type", "h"]).select(
             "object_id", "type", "h", "raw", "alarm", "since",
@@ -78,6 +96,7 @@ def hourly_job(scores: DataFrame, facts: DataFrame, decisions: DataFrame, works:
             put(S.forecast_message(blocks, version), paths["messages"], number)
         finally:
             rows.unpersist()
+            moved.unpersist()
 
     run_available(scores, each, checkpoint)
     return paths
