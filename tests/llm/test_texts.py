@@ -107,6 +107,25 @@ def test_pseudonyms_keep_the_format():
     assert one == two
 
 
+PHONES = ["+1 (017) 555-7713", "+1 (132) 555-1352", "(017) 155-7713", "132-055-1352", "+1-132-055-1352", "+11320551352", "001 132 055 1352", "+44 20 7946 0958", "+44 (0)20 7946 0958", "(+44) 20 7946 0958"[1:], "+442079460958", "0049 30 1234567", "+33.1.23.45.67.89", "+91 (22) 2778-1234", "+7 495 123-45-67", "+353 1 234 5678", "+290 23456"]
+
+
+def test_phones_of_any_code():
+    c = pseudonyms.Cipher(b"one")
+    for v in PHONES:
+        new, spans = pseudonyms.replace(c, f"x {v}, y")
+        assert spans == [("phone", 2, 2 + len(v))], v
+        assert new != f"x {v}, y" and re.sub("[0-9]", "0", new) == re.sub("[0-9]", "0", f"x {v}, y")
+        assert pseudonyms.replace(c, new)[1] == spans and pseudonyms.replace(c, new, back=True)[0] == f"x {v}, y"
+    bare = {re.sub("[^0-9]", "", pseudonyms.replace(c, v)[0])[-10:] for v in PHONES[3:7]}
+    assert len(bare) == 1
+    assert len({pseudonyms.replace(c, v)[0].replace("(0)", "").replace(" ", "") for v in ("+44 20 7946 0958", "+44 (0)20 7946 0958", "+442079460958")}) == 1
+    assert [k for k, _, _ in pseudonyms.replace(c, "+49 30 1234567 4111111111111111")[1]] == ["phone", "card"]
+    assert [k for k, _, _ in pseudonyms.replace(c, "+2024-02-29 +49 30 12345 2024-02-29")[1]] == ["date", "phone", "date"]
+    for v in ("+1000000", "+12", "+99 1", "0012345678901", "+1234567890123456"):
+        assert pseudonyms.replace(c, v) == (v, []), v
+
+
 def test_permutations():
     c = pseudonyms.Cipher(b"k")
     for below in (1, 2, 7, 30, 1000):

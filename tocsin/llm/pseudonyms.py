@@ -3,7 +3,9 @@
 Found values are validated (check digits, ranges, calendar), then permuted within
 their format by a keyed Feistel network over two mixed-radix halves: a card number
 gives a card number of the same network and spacing with a right check digit, a
-date gives a date.  A value has the same pseudonym wherever it occurs under one
+date gives a date.  Phones have any area and office code, or + or 00 and a country
+code, which is kept; behind such a code all groups of digits up to 15 digits belong
+to the number, as the plans of the countries are not known.  A value has the same pseudonym wherever it occurs under one
 key, so documents stay linked; other numbers stay as they are.  Each kind is a
 permutation of its format, so different values stay different.
 
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from datetime import date, timedelta
 from math import isqrt
@@ -32,12 +35,17 @@ PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![0-9A-Za-z.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]|[.-][0-9])",
-    "phone": r"(?<![0-9A-Za-z+])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9A-Za-z])",
+    "phone": r"(?<![0-9A-Za-z+])(?:\+?1[ .-]?)?(?:\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?|[0-9]{3}[ .-][0-9]{3}[ .-])[0-9]{4}(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "ip": r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])",
     "date": r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}([./])[0-9]{2}\1[0-9]{4})(?![0-9A-Za-z]|[./-][0-9])",
 }
 FIND = {k: re.compile(v) for k, v in PATTERNS.items()}
+#: Phones with a country code: + or 00, the code, a trunk 0 in brackets, groups of digits.
+ABROAD = re.compile(r"(?<![0-9A-Za-z+])(?:\+|(?<![0-9]{2}[ .-])00)(?:[1-9][0-9]{0,2}\)(?=[ ./-]?[0-9(])|[1-9][0-9]*)(?:[ .-]?\(0\))?(?:[ ./-]?(?:\([0-9]{2,5}\)|[0-9]+))*")
+TRUNK, GROUP = "(0)", re.compile(r"[0-9]+\)?")
+#: Country codes of one and two digits; all others have three.
+COUNTRIES = {*"1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()}
 #: A text without any of these holds no value.
 SIGN = re.compile(r"@|[0-9]")
 FIRST_DAY, LAST_DAY = date(1900, 1, 1), date(2099, 12, 31)
@@ -136,13 +144,44 @@ def card(c: Cipher, v: str, back: bool) -> str | None:
     return refill(v, body + check_digit(body), str.isdigit)
 
 
+def own_digits(v: str) -> tuple[str, list[int]] | None:
+    """Country code of a phone, 1 where it has none, and the places of its other digits."""
+    if FIND["phone"].fullmatch(v):
+        return "1", [k for k, x in enumerate(v) if x.isdigit()][-10:]
+    lead, trunk = 1 if v[0] == "+" else 2, v.find(TRUNK)
+    at = [k for k, x in enumerate(v) if k >= lead and x.isdigit() and (trunk < 0 or k != trunk + 1)]
+    digits = "".join(v[k] for k in at)
+    code = next((digits[:n] for n in (1, 2) if digits[:n] in COUNTRIES), digits[:3])
+    size, n = len(code), len(digits) - len(code)
+    if n != 10 if code in ("1", "7") else n < 4 or not 7 <= n + size <= 15:
+        return None
+    if v[lead : lead + size] != code or lead == 2 and v[2 + size].isdigit():  # behind 00 only a code that stands apart
+        return None
+    return code, at[size:]
+
+
 def phone(c: Cipher, v: str, back: bool) -> str:
-    digits = re.sub("[^0-9]", "", v)
-    lead, d = digits[:-10], digits[-10:]
-    value = ((int(d[:3]) - 200) * 800 + int(d[3:6]) - 200) * 10_000 + int(d[6:])
-    rest, line = divmod(c.permute("phone", value, 6_400_000_000, back), 10_000)
-    area, office = divmod(rest, 800)
-    return refill(v, f"{lead}{area + 200}{office + 200}{line:04d}", str.isdigit)
+    code, at = own_digits(v)
+    out = list(v)
+    new = c.permute("phone" + code.removeprefix("1"), int("".join(v[k] for k in at)), 10 ** len(at), back)
+    for k, x in zip(at, f"{new:0{len(at)}d}", strict=True):
+        out[k] = x
+    return "".join(out)
+
+
+def abroad(text: str, found: list[tuple[int, int, int, str]]) -> Iterator[tuple[int, int]]:
+    """Phones with a country code: of each the longest that ends at a group and leaves
+    the other values in ``found`` (in order) whole, but those inside that are cards by chance."""
+    reach = max((e - s for s, _, e, _ in found), default=0)
+    for m in ABROAD.finditer(text):
+        start = m.start()
+        near = found[bisect_left(found, (start - reach,)) : bisect_left(found, (m.end(),))]
+        for end in reversed([g.end() for g in GROUP.finditer(text, start, m.end())]):
+            if text[end : end + 1].isalnum() or own_digits(text[start:end]) is None:
+                continue
+            if not any(s < end and start < e and (s < start or end < e or KINDS[k] not in ("card", "phone")) for s, k, e, _ in near):
+                yield start, end
+                break
 
 
 def ssn(c: Cipher, v: str, back: bool) -> str | None:
@@ -198,8 +237,10 @@ def replace(cipher: Cipher, text: str, back: bool = False) -> tuple[str, list[tu
         for m in FIND[kind].finditer(text):
             if (new := MAKE[kind](cipher, m[0], back)) is not None:
                 found.append((m.start(), order, m.end(), new))
+    found.sort()
+    far = [(s, KINDS.index("phone"), e, phone(cipher, text[s:e], back)) for s, e in abroad(text, found)]
     out, spans, at = [], [], 0
-    for start, order, end, new in sorted(found):
+    for start, order, end, new in sorted(far + found, key=lambda f: f[0]):
         if start >= at:
             out += [text[at:start], new]
             spans.append((KINDS[order], start, end))
