@@ -126,6 +126,20 @@ def test_phones_of_any_code():
         assert pseudonyms.replace(c, v) == (v, []), v
 
 
+@pytest.mark.parametrize("card", ["4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111", "3782 822463 10005", "411111 1111111111"])
+def test_cards_beside_digits(card):
+    c = pseudonyms.Cipher(b"one")
+    for text in ("card {} 123", "{} 12/26", "{} 4 left", "No. 2 {}", "2-{}-7", "12345 67890 {} 12 2024", "1 2 3 {} 4 5 6", "v2 {} 3rd", "2024-02-29 {}", "{} 5500005555555559"):
+        new, spans = pseudonyms.replace(c, text.format(card))
+        at = text.index("{")
+        assert any(k == "card" and s <= at and at + len(card) <= e for k, s, e in spans), (text, spans)
+        assert card not in new
+    assert [k for k, _, _ in pseudonyms.replace(c, f"{card} 5500005555555559")[1]] == ["card", "card"]
+    assert pseudonyms.replace(c, f"x{card.replace(' ', '').replace('-', '')}")[1] == []
+    many = f"{'12 ' * 20000}{card}"
+    assert any(s <= 60000 and e == len(many) for _, s, e in pseudonyms.replace(c, many)[1])
+
+
 def test_permutations():
     c = pseudonyms.Cipher(b"k")
     for below in (1, 2, 7, 30, 1000):

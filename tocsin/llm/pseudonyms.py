@@ -3,7 +3,9 @@
 Found values are validated (check digits, ranges, calendar), then permuted within
 their format by a keyed Feistel network over two mixed-radix halves: a card number
 gives a card number of the same network and spacing with a right check digit, a
-date gives a date.  Phones have any area and office code, or + or 00 and a country
+date gives a date.  Beside a card may stand other digits: any groups of a run that
+have a card's length and check digit are one, so every tenth such span of other
+numbers is taken for a card by chance.  Phones have any area and office code, or + or 00 and a country
 code, which is kept; behind such a code all groups of digits up to 15 digits belong
 to the number, as the plans of the countries are not known.  A value has the same pseudonym wherever it occurs under one
 key, so documents stay linked; other numbers stay as they are.  Each kind is a
@@ -34,7 +36,7 @@ ROUNDS = 10
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "card": r"(?<![0-9A-Za-z.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]|[.-][0-9])",
+    "card": r"[0-9](?:[ -]?[0-9]){12,}",  # a run of groups, any of which may begin or end a card
     "phone": r"(?<![0-9A-Za-z+])(?:\+?1[ .-]?)?(?:\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?|[0-9]{3}[ .-][0-9]{3}[ .-])[0-9]{4}(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "ip": r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])",
@@ -43,7 +45,12 @@ PATTERNS = {
 FIND = {k: re.compile(v) for k, v in PATTERNS.items()}
 #: Phones with a country code: + or 00, the code, a trunk 0 in brackets, groups of digits.
 ABROAD = re.compile(r"(?<![0-9A-Za-z+])(?:\+|(?<![0-9]{2}[ .-])00)(?:[1-9][0-9]{0,2}\)(?=[ ./-]?[0-9(])|[1-9][0-9]*)(?:[ .-]?\(0\))?(?:[ ./-]?(?:\([0-9]{2,5}\)|[0-9]+))*")
-TRUNK, GROUP = "(0)", re.compile(r"[0-9]+\)?")
+#: Groups that cards are written in; also one of all digits.
+LAYOUTS = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), *((4, 4, 4, 4, n) for n in (1, 2, 3)), *((4, 4, 4, n) for n in (1, 2, 3))}
+LEAST_CARD, MOST_CARD = 13, 19
+#: What cannot come before the first digit of a card, and after the last.
+BEFORE_CARD, AFTER_CARD = re.compile("[0-9A-Za-z.-]"), re.compile("[0-9A-Za-z]|[.-][0-9]")
+TRUNK, DIGITS, GROUP = "(0)", re.compile("[0-9]+"), re.compile(r"[0-9]+\)?")
 #: Country codes of one and two digits; all others have three.
 COUNTRIES = {*"1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()}
 #: A text without any of these holds no value.
@@ -135,9 +142,37 @@ def iban(c: Cipher, v: str, back: bool) -> str | None:
     return refill(v, flat[:2] + iban_rest(flat[:2], account) + account, lambda x: x != " ")
 
 
+def is_card(digits: str) -> bool:
+    return check_digit(digits[:-1]) == digits[-1] and len(set(digits)) > 1
+
+
+def cards(text: str) -> Iterator[tuple[int, int]]:
+    """In each run of groups of digits, spans of whole groups with the length and the check
+    digit of a card that do not overlap: first those written as cards are, then the longest."""
+    for run in FIND["card"].finditer(text):
+        groups = [g.span() for g in DIGITS.finditer(text, *run.span())]
+        first = int(run.start() > 0 and BEFORE_CARD.match(text, run.start() - 1) is not None)
+        last = len(groups) - int(AFTER_CARD.match(text, run.end()) is not None)
+        found = []
+        for a in range(first, last):
+            digits, sizes = "", ()
+            for b in range(a, last):
+                start, end = groups[b]
+                if len(digits) + end - start > MOST_CARD:
+                    break
+                digits, sizes = digits + text[start:end], (*sizes, end - start)
+                if len(digits) >= LEAST_CARD and is_card(digits):
+                    found.append((len(sizes) > 1 and sizes not in LAYOUTS, digits[0] not in "3456", -len(digits), a, b))
+        taken = bytearray(len(groups))
+        for *_, a, b in sorted(found):
+            if not any(taken[a : b + 1]):
+                taken[a : b + 1] = b"\1" * (b + 1 - a)
+                yield groups[a][0], groups[b][1]
+
+
 def card(c: Cipher, v: str, back: bool) -> str | None:
     digits = re.sub("[^0-9]", "", v)
-    if check_digit(digits[:-1]) != digits[-1] or len(set(digits)) == 1:
+    if not is_card(digits):
         return None
     n = len(digits) - 2
     body = digits[0] + f"{c.permute('card' + digits[0], int(digits[1:-1]), 10**n, back):0{n}d}"
@@ -234,9 +269,9 @@ def replace(cipher: Cipher, text: str, back: bool = False) -> tuple[str, list[tu
     for order, kind in enumerate(KINDS):
         if kind == "email" and "@" not in text:
             continue
-        for m in FIND[kind].finditer(text):
-            if (new := MAKE[kind](cipher, m[0], back)) is not None:
-                found.append((m.start(), order, m.end(), new))
+        for start, end in cards(text) if kind == "card" else (m.span() for m in FIND[kind].finditer(text)):
+            if (new := MAKE[kind](cipher, text[start:end], back)) is not None:
+                found.append((start, order, end, new))
     found.sort()
     far = [(s, KINDS.index("phone"), e, phone(cipher, text[s:e], back)) for s, e in abroad(text, found)]
     out, spans, at = [], [], 0
