@@ -140,6 +140,15 @@ def test_cards_beside_digits(card):
     assert any(s <= 60000 and e == len(many) for _, s, e in pseudonyms.replace(c, many)[1])
 
 
+def test_addresses_of_all_ranges():
+    c = pseudonyms.Cipher(b"one")
+    for v in ("0.0.0.0", "0.12.200.7", "223.255.255.255", "224.0.0.1", "240.56.125.154", "248.40.198.62", "255.255.255.255"):
+        new, spans = pseudonyms.replace(c, f"x {v}, y")
+        assert spans == [("ip", 2, 2 + len(v))] and new != f"x {v}, y"
+        assert [k for k, _, _ in pseudonyms.replace(c, new)[1]] == ["ip"]
+        assert pseudonyms.replace(c, new, back=True)[0] == f"x {v}, y"
+
+
 def test_permutations():
     c = pseudonyms.Cipher(b"k")
     for below in (1, 2, 7, 30, 1000):

@@ -231,11 +231,9 @@ def ssn(c: Cipher, v: str, back: bool) -> str | None:
 
 def ip(c: Cipher, v: str, back: bool) -> str | None:
     parts = [int(x) for x in v.split(".")]
-    if any(p > 255 for p in parts) or any(len(x) > 1 and x[0] == "0" for x in v.split(".")) or not 1 <= parts[0] <= 223:
+    if any(p > 255 for p in parts) or any(len(x) > 1 and x[0] == "0" for x in v.split(".")):
         return None
-    value = int.from_bytes(bytes([parts[0] - 1, *parts[1:]]), "big")
-    out = c.permute("ip", value, 223 << 24, back).to_bytes(4, "big")
-    return f"{out[0] + 1}.{out[1]}.{out[2]}.{out[3]}"
+    return ".".join(map(str, c.permute("ip", int.from_bytes(bytes(parts), "big"), 1 << 32, back).to_bytes(4, "big")))
 
 
 def day(c: Cipher, v: str, back: bool) -> str | None:
