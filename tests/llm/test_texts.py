@@ -187,3 +187,26 @@ def test_pipeline(spark):
     packed = cp.sequences(spark, clean, sf).collect()
     assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in clean.collect()}
     assert cp.run(spark, sf).count() > 0
+
+
+def test_pipeline_drops_unknown_languages(spark):
+    import base64
+
+    import corpus_pipeline as cp
+
+    rng = random.Random(3)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    bad = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+        "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan.",
+        "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di coscienza.",
+        *(base64.b64encode(rng.randbytes(n)).decode() for n in (60, 300, 3000)),
+        *(" ".join(letters(rng.randint(2, 9)) for _ in range(n)) for n in (10, 100, 1000)),
+    ]
+    good = ["The cat is on the mat.", "Thank you", "hello world", "All human beings are born free and equal in dignity and rights.", "Alle Menschen sind frei und gleich an Würde und Rechten geboren.", "Le chat est sur la table.", "El gato está en la mesa."]
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    added = spark.createDataFrame([(10**9 + k, t, "en", "s", len(t)) for k, t in enumerate(bad + good)], docs.schema)
+    known = {r["doc_id"] for r in language.keep_known(docs.unionByName(added), language.train(docs), cp.LEAST_SCORE).collect()}
+    assert known == {r["doc_id"] for r in docs.collect()} | {10**9 + len(bad) + k for k in range(len(good))}
