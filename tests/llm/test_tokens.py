@@ -174,3 +174,51 @@ def test_registered(spark, sp):
         y = x[: n // 2] + x[:20] + x[n // 2 + 40 :]
         y = y[: n // 3] + x[:20] + y[n // 3 :]
         assert (r["n_tokens"], r["edited_tokens"], r["edited_sha256"]) == (len(t.encode(x).ids), len(t.encode(y).ids), sha(y))
+
+
+MARKED = st.lists(st.sampled_from([*PARTS, "<|endoftext|>", "<|end", "oftext|>", "<", "|>", "!!"]), max_size=25).map("".join)
+
+
+@settings(max_examples=600, deadline=None)
+@given(texts=st.lists(MARKED, max_size=4))
+def test_added_tokens_equal_library(texts):
+    from tokenizers import Tokenizer
+
+    t = CACHE.setdefault("added", Tokenizer.from_file(BYTES))
+    got = [np.frombuffer(x, "<u4").tolist() for x in byte_bpe.model(BYTES, added=True).encode(texts)]
+    assert got == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+@settings(max_examples=600, deadline=None)
+@given(text=MARKED, edits=st.lists(st.tuples(st.integers(0, 60), st.integers(0, 12), MARKED), max_size=4))
+def test_counts_follow_edits_of_added_tokens(text, edits):
+    from tokenizers import Tokenizer
+
+    t = CACHE.setdefault("added", Tokenizer.from_file(BYTES))
+    bpe = byte_bpe.model(BYTES, added=True)
+    [parts] = token_counts.leaves(BYTES, added=True)([text])
+    tree = token_counts.Tree(np.frombuffer(b"".join(c for c, _ in parts), "<i4"), np.frombuffer(b"".join(n for _, n in parts), "<i4"))
+    for start, deleted, inserted in edits:
+        at = min(start, len(text))
+        want = text[:at] + inserted + text[at + deleted :]
+        text, _ = tree.edit(text, start, deleted, inserted, bpe)
+        assert text == want
+        assert tree.sums[1].tolist() == [len(text), len(t.encode(text, add_special_tokens=False).ids)]
+
+
+def test_operators_read_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(BYTES)
+    rows = [(1, "a <|endoftext|> b"), (2, "<|endoftext|>"), (3, "a  <|endoftext|><|endoftext|>\n\n b"), (4, "a <|endof"), (5, None)]
+    want = {i: [*t.encode(x or "", add_special_tokens=False).ids, 1] for i, x in rows}
+    assert want[1] == [64, 220, 50256, 275, 1]
+    got = {r["doc_id"]: r for r in packing.cut(frame(spark, rows), BYTES, keep_ids=True).collect()}
+    for i, ids in want.items():
+        assert got[i]["ids"] == ids
+        assert (got[i]["length"], got[i]["doc_tokens"], got[i]["ids_crc32"]) == (len(ids), len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    trees = token_counts.grow(frame(spark, rows), BYTES)
+    assert {r["doc_id"]: r["n_tokens"] + 1 for r in trees.collect()} == {i: len(x) for i, x in want.items()}
+    edits = F.expr("array(named_struct('start', 9L, 'deleted', 0L, 'inserted', 'text|>'), named_struct('start', 3L, 'deleted', 1L, 'inserted', ''))")
+    for r in token_counts.recount(trees.withColumn("edits", edits), BYTES).collect():
+        assert r["n_tokens"] == len(t.encode(r["text"], add_special_tokens=False).ids)

@@ -4,6 +4,9 @@ The pre-tokens of a byte-level pattern begin at a blank unless blanks meet, so a
 text falls into chunks at its single blanks and each chunk encodes as it does in
 the text.  Chunks repeat; what is computed for one is kept in a bounded cache.
 Texts in which white space meets a blank are cut only at the other blanks.
+
+Strings of added tokens (``<|endoftext|>``) are one token each where a model has
+them; the texts between them encode alone.
 """
 
 from __future__ import annotations
@@ -36,13 +39,23 @@ class ChunkCache:
 
     Words after a blank are looked up without the blank.  Only words without white
     space at their edges are kept there, so a text whose words are all found has
-    no blank that meets other white space."""
+    no blank that meets other white space.
+
+    ``added`` has the values of strings that ``mark`` finds: they are chunks of their
+    own, and texts end before and begin behind them."""
 
-    def __init__(self, compute: Callable[[list[str]], list], empty):
-        self.compute, self.kept, self.bare, self.empty = compute, {}, {}, empty
+    def __init__(self, compute: Callable[[list[str]], list], empty, mark: re.Pattern | None = None, added: dict | None = None):
+        self.compute, self.kept, self.bare, self.empty, self.mark, self.added = compute, {}, {}, empty, mark, added
 
     def __call__(self, texts: list[str | None]) -> list[list]:
         """Values of the chunks of each text, in order."""
+        if not self.mark or not any(t and self.mark.search(t) for t in texts):
+            return self.plain(texts)
+        parts = [self.mark.split(t or "") for t in texts]  # every other one is an added token
+        found = iter(self.plain([p for ps in parts for p in ps[::2]]))
+        return [[v for k, p in enumerate(ps) for v in ([self.added[p]] if k % 2 else next(found))] for ps in parts]
+
+    def plain(self, texts: list[str | None]) -> list[list]:
         kept, bare = self.kept, self.bare
         if len(kept) + len(bare) > CACHE:
             kept.clear()
@@ -89,11 +102,11 @@ def byte_characters() -> dict[str, int]:
 
 
 class ByteBpe:
-    """The ids that ``tokenizers`` gives with the vocabulary file at ``path``, special
-    tokens' strings being ordinary text.  Single chunks are merged by ``tiktoken``
-    under ranks read from that file, which takes half the time."""
+    """The ids that ``tokenizers`` gives with the vocabulary file at ``path``; strings of
+    added tokens are those tokens if ``added``, else ordinary text.  Single chunks are
+    merged by ``tiktoken`` under ranks read from that file, which takes half the time."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
@@ -105,10 +118,17 @@ class ByteBpe:
         if any(vocabulary[a + b] != 256 + k for k, (a, b) in enumerate(merges)):
             raise ValueError("merges must have their ids in order")
         own = byte_characters()
-        special = {t["content"] for t in spec["added_tokens"]}
+        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        if added and any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
+            raise ValueError("added tokens must be found wherever their strings are")
+        if added and any(a[k:] == b[: len(a) - k] or b in a[k:] for a in special for b in special for k in range(1, len(a))):
+            raise ValueError("strings of added tokens must not overlap")
         ranks = {bytes(own[c] for c in t): i for t, i in vocabulary.items() if t not in special}
         self.one = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.ids = ChunkCache(lambda new: [np.array(self.one(x), "<u4").tobytes() for x in new], b"")
+        self.added = special if added else {}
+        self.mark = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if self.added else None
+        self.longest = max(map(len, self.added), default=0)
+        self.ids = ChunkCache(lambda new: [np.array(self.one(x), "<u4").tobytes() for x in new], b"", self.mark, {t: np.array([i], "<u4").tobytes() for t, i in self.added.items()})
         self.counts: dict[str, int] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -121,14 +141,14 @@ class ByteBpe:
             self.counts.clear()
         new = [p for p in dict.fromkeys(pre_tokens) if p not in self.counts]
         if new:
-            self.counts.update((p, len(self.one(p))) for p in new)
+            self.counts.update((p, 1 if p in self.added else len(self.one(p))) for p in new)
         return [self.counts[p] for p in pre_tokens]
 
 
-MODELS: dict[str, ByteBpe] = {}
+MODELS: dict[tuple[str, bool], ByteBpe] = {}
 
 
-def model(path: str) -> ByteBpe:
-    if path not in MODELS:
-        MODELS[path] = ByteBpe(path)
-    return MODELS[path]
+def model(path: str, added: bool = False) -> ByteBpe:
+    if (path, added) not in MODELS:
+        MODELS[path, added] = ByteBpe(path, added)
+    return MODELS[path, added]

@@ -8,7 +8,8 @@ are only counted.  Pieces then find their place by their rank among pieces of
 their length.  Ranks come from counts of small buckets, so a length that many
 pieces share is not ordered in one task.
 
-A null or empty text is just the end token.  Rows may repeat, ids may be null;
+Strings of the vocabulary's added tokens become their ids, as in ``tokenizers``.  A
+null or empty text is just the end token.  Rows may repeat, ids may be null;
 each row is a document of its own.
 """
 
@@ -38,7 +39,7 @@ def cut(df: DataFrame, vocabulary: str, size: int = SIZE, end: int = END, keep_i
     tail = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = model(vocabulary)
+        bpe = model(vocabulary, added=True)
         for whole in batches:
             for b in slices(whole):
                 row, start, length, crc, total, parts = [], [], [], [], [], []

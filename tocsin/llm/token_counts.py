@@ -6,7 +6,8 @@ points.  Only pre-tokens it touches, with the context that the pre-token pattern
 looks at beside them, are read again, until a new boundary falls on an old one;
 from there on the text and so its pre-tokens are as before.  The new pre-tokens
 go to the first touched leaf, the others become empty, and the sums above them
-are renewed.  Counts equal those of tokenizing the edited text anew.
+are renewed.  Counts equal those of tokenizing the edited text anew.  The string of
+an added token is a pre-token, also where an edit makes it or breaks it up.
 
 Null and empty texts have an empty tree and no tokens.  Edits apply in order;
 positions are code points of the text as left by the edits before, those outside
@@ -15,6 +16,7 @@ it are moved to its end.  Null edits and null fields of one count as nothing.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +31,16 @@ from .common import int_lists, narrow, slices
 PRE_TOKEN = regex.compile(PATTERN)
 #: Code points before a change that the pattern may have looked across from an earlier pre-token.
 CONTEXT = 2
-LEAVES: dict[str, ChunkCache] = {}
+LEAVES: dict[tuple[str, bool], ChunkCache] = {}
+
+
+def pre_tokens(text: str, at: int, mark: re.Pattern | None) -> Iterator:
+    """Matches of the pre-tokens from ``at`` on, of added tokens too."""
+    for m in mark.finditer(text, at) if mark else ():
+        yield from PRE_TOKEN.finditer(text, at, m.start())
+        yield m
+        at = m.end()
+    yield from PRE_TOKEN.finditer(text, at)
 
 
 class Tree:
@@ -68,14 +79,18 @@ class Tree:
         end = min(len(text), start + max(0, deleted))
         new = text[:start] + inserted + text[end:]
         shift, touched = len(new) - len(text), start + len(inserted)
-        first, at = self.leaf(max(0, start - CONTEXT)) if text else (self.size, 0)
+        begins = start
+        if bpe.mark:  # an added token across the start changes what it begins with
+            near = max(0, start - bpe.longest)
+            begins = min([start, *(m.start() for t in (text, new) for m in bpe.mark.finditer(t, near, start + bpe.longest))])
+        first, at = self.leaf(max(0, begins - CONTEXT)) if text else (self.size, 0)
         found, old_end, stop = [], len(text), None
-        for m in PRE_TOKEN.finditer(new, at):
+        for m in pre_tokens(new, at, bpe.mark):
             found.append(m[0])
             old = m.end() - shift
             if m.end() >= touched and end <= old < len(text):
-                stop, begins = self.leaf(old)
-                if begins == old:
+                stop, edge = self.leaf(old)
+                if edge == old:
                     old_end = old
                     break
         last = stop if stop is not None and old_end < len(text) else 2 * self.size
@@ -86,16 +101,16 @@ class Tree:
         return new, len(found)
 
 
-def leaves(path: str) -> ChunkCache:
+def leaves(path: str, added: bool = False) -> ChunkCache:
     """For chunks of text: the code points and the tokens of their pre-tokens."""
-    if path not in LEAVES:
-        bpe = model(path)
+    if (path, added) not in LEAVES:
+        bpe = model(path, added)
 
         def compute(new: list[str]) -> list[tuple[bytes, bytes]]:
             return [(np.array([len(p) for p in ps], "<i4").tobytes(), np.array(bpe.count(ps), "<i4").tobytes()) for ps in map(PRE_TOKEN.findall, new)]
 
-        LEAVES[path] = ChunkCache(compute, (b"", b""))
-    return LEAVES[path]
+        LEAVES[path, added] = ChunkCache(compute, (b"", b""), bpe.mark, {t: (np.array([len(t)], "<i4").tobytes(), np.array([1], "<i4").tobytes()) for t in bpe.added})
+    return LEAVES[path, added]
 
 
 def grow(df: DataFrame, vocabulary: str, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -104,7 +119,7 @@ def grow(df: DataFrame, vocabulary: str, id: str = "doc_id", text: str = "text")
     ints = ArrayType(IntegerType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = leaves(vocabulary)
+        cache = leaves(vocabulary, added=True)
         for whole in batches:
             for b in slices(whole):
                 parts = cache(b.column(1).to_pylist())
@@ -129,7 +144,7 @@ def recount(trees: DataFrame, vocabulary: str, edits: str = "edits", keep: tuple
         return [values[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = model(vocabulary)
+        bpe = model(vocabulary, added=True)
         for whole in batches:
             for b in slices(whole):
                 rows = []
