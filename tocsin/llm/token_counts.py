@@ -90,7 +90,7 @@ class Tree:
             old = m.end() - shift
             if m.end() >= touched and end <= old < len(text):
                 stop, edge = self.leaf(old)
-                if edge == old:
+                if edge == old and stop > first:  # the first leaf takes the new pre-tokens
                     old_end = old
                     break
         last = stop if stop is not None and old_end < len(text) else 2 * self.size
