@@ -244,3 +244,12 @@ def test_urls_beside_sql(spark):
 
     sf = "/root/testdata/sf0.01"
     assert compare("op10_urls", QUERIES["op10_urls"](spark, sf), duck(sf), ORACLES["op10_urls"]) == ""
+
+
+def test_short_texts_that_share_a_half_are_alike(spark):
+    words = "the quick brown fox jumps over a lazy dog while seven wizards mix potions and jugglers vex quiet monks by night".split()
+    rng = random.Random(8)
+    docs = [(k, " ".join(rng.choice(words) for _ in range(60))[: 46 + 2 * k]) for k in range(75)]
+    rows = winnowing.with_next(frame(spark, docs)).collect()
+    assert len(rows) == 75
+    assert all(r["near_edited"] > r["near_next"] for r in rows)
