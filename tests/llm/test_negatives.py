@@ -30,7 +30,7 @@ def brute(rows, positives=5, negatives=10, lower=30, upper=90, scale=256):
 
 
 def frame(spark, rows):
-    return spark.createDataFrame([(i, v, lab, "s", 1, "r") for i, v, lab in rows], SCHEMA)
+    return spark.createDataFrame([(i, None if v is None else [None if x is None else float(x) for x in v], lab, "s", 1, "r") for i, v, lab in rows], SCHEMA)
 
 
 def found(spark, rows):
