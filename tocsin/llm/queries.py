@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hard_negatives, language, near_duplicates, neighbours, packing, pieces, pseudonyms, secret_scan, token_counts, urls, winnowing
+from . import hard_negatives, language, near_duplicates, neighbours, packing, pieces, prefix_trie, pseudonyms, secret_scan, token_counts, urls, winnowing
 from .common import sha256_of_ids
 
 PIECES, BYTES = "piece_bpe_32k.model", "byte_bpe_50k.json"
@@ -159,3 +159,41 @@ SELECT p.anchor_id, p.positive_id, row_number() OVER (PARTITION BY p.anchor_id,
 FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
   AND 30 * p.positive_score <= 100 * n.score AND 100 * n.score <= 90 * p.positive_score
 QUALIFY rank <= 10"""
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations that share first turns are made from the table: up to five of each
+    are those of the conversation with the next lower multiple of 100."""
+    talks = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    c = F.col("conv_id")
+    return prefix_trie.trie(*prefix_trie.with_shared_heads(talks, c - c % 100, F.crc32(c.cast("string")) % 6, 5))
+
+
+ORACLES["op11_prefix_trie"] = """
+WITH ordered AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS i,
+    coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+sizes AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, count(*) AS n, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, range(0, 8 * length(conv_id::VARCHAR))),
+    lambda crc, j: CASE WHEN xor(crc, CASE WHEN j % 8 = 0 THEN ascii(substr(conv_id::VARCHAR, j // 8 + 1, 1)) ELSE 0 END) & 1 = 1
+      THEN xor(xor(crc, CASE WHEN j % 8 = 0 THEN ascii(substr(conv_id::VARCHAR, j // 8 + 1, 1)) ELSE 0 END) >> 1, 3988292384)
+      ELSE xor(crc, CASE WHEN j % 8 = 0 THEN ascii(substr(conv_id::VARCHAR, j // 8 + 1, 1)) ELSE 0 END) >> 1 END)) % 6 AS h
+  FROM ordered GROUP BY conv_id),
+heads AS (SELECT c.*, least(c.h, coalesce(b.n, 0)) AS m FROM sizes c LEFT JOIN sizes b ON b.conv_id = c.base),
+rebuilt AS (
+  SELECT s.conv_id, o.i AS pos, o.role, o.text FROM heads s JOIN ordered o ON o.conv_id = s.base AND o.i <= s.m
+  UNION ALL SELECT s.conv_id, o.i - s.h + s.m, o.role, o.text FROM heads s JOIN ordered o ON o.conv_id = s.conv_id AND o.i > s.h),
+paths AS (
+  SELECT conv_id, pos AS depth, length(text) AS chars, md5(string_agg(md5(length(role) || ':' || role || text), '') OVER (PARTITION BY conv_id ORDER BY pos)) AS path FROM rebuilt
+  UNION ALL SELECT conv_id, 0, 0, '' FROM sizes),
+nodes AS (SELECT min(conv_id) AS conv_id, depth, path, count(*) AS n_convs, max(chars) AS chars FROM paths GROUP BY depth, path),
+up AS (SELECT v.conv_id, v.depth, v.path, u.conv_id AS parent_conv_id, u.path AS parent FROM nodes v JOIN paths p ON p.conv_id = v.conv_id AND p.depth = v.depth - 1 JOIN nodes u ON u.depth = p.depth AND u.path = p.path),
+kids AS (SELECT depth - 1 AS depth, parent AS path, count(*) AS n FROM up GROUP BY ALL),
+below AS (
+  SELECT v.depth, v.path, count(*) FILTER (k.n IS NULL) AS n_leaves, sum((u.n_convs - 1) * u.chars)::BIGINT AS saved_tokens
+  FROM nodes v JOIN paths p ON p.depth = v.depth AND p.path = v.path JOIN nodes u ON u.conv_id = p.conv_id AND u.depth >= v.depth
+  LEFT JOIN kids k ON k.depth = u.depth AND k.path = u.path GROUP BY v.depth, v.path),
+ends AS (SELECT depth, path, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM (SELECT * FROM paths QUALIFY depth = max(depth) OVER (PARTITION BY conv_id)) GROUP BY depth, path)
+SELECT v.conv_id, v.depth, up.parent_conv_id, v.n_convs, coalesce(k.n, 0) AS n_children, b.n_leaves, b.saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM nodes v JOIN below b USING (depth, path) LEFT JOIN up USING (depth, path) LEFT JOIN kids k ON k.depth = v.depth AND k.path = v.path LEFT JOIN ends e ON e.depth = v.depth AND e.path = v.path"""
