@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hard_negatives, language, near_duplicates, neighbours, packing, pieces, prefix_trie, pseudonyms, secret_scan, token_counts, urls, winnowing
+from . import combination_join, hard_negatives, language, near_duplicates, neighbours, packing, pieces, prefix_trie, pseudonyms, secret_scan, token_counts, urls, winnowing
 from .common import sha256_of_ids
 
 PIECES, BYTES = "piece_bpe_32k.model", "byte_bpe_50k.json"
@@ -197,3 +197,8 @@ below AS (
 ends AS (SELECT depth, path, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM (SELECT * FROM paths QUALIFY depth = max(depth) OVER (PARTITION BY conv_id)) GROUP BY depth, path)
 SELECT v.conv_id, v.depth, up.parent_conv_id, v.n_convs, coalesce(k.n, 0) AS n_children, b.n_leaves, b.saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
 FROM nodes v JOIN below b USING (depth, path) LEFT JOIN up USING (depth, path) LEFT JOIN kids k ON k.depth = v.depth AND k.path = v.path LEFT JOIN ends e ON e.depth = v.depth AND e.path = v.path"""
+
+
+@query
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return combination_join.join(documents(spark, sf_dir), words=3, similarity=90)
