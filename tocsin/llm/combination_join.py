@@ -48,8 +48,8 @@ from .near_duplicates import BLANK, LOWER, PLACE, mix, word_hashes
 BUCKETS = 1 << 17
 #: A token beyond this many documents more than a bucket holds by chance is frequent; times STEP, of the next class.
 RARE, STEP = 64, 64
-#: Tokens of a set to a group of a frequent class.
-GROUP = 40
+#: Tokens of a prefix to a group of a frequent class, about.
+CHANCES = 4
 #: Sets of a list that one comparison takes from each side.
 BLOCK = 512
 
@@ -123,14 +123,15 @@ def least_overlap(a: int, b: int, similarity: int) -> int:
     return -(-similarity * (a + b) // (100 + similarity))
 
 
-def keys_for(tokens: np.ndarray, kind: np.ndarray, band: int, low: int, missing: int) -> np.ndarray:
+def keys_for(tokens: np.ndarray, kind: np.ndarray, band: int, low: int, missing: int, similarity: int) -> np.ndarray:
     """The keys of a set of ordered ``tokens`` of classes ``kind`` in a band whose least
     size is ``low``, if a similar set lacks ``missing`` of them at most."""
     salt = np.uint64(band + 1) * PLACE[1]
     if kind[min(missing, len(kind) - 1)] == 1:  # classes ascend
         return mix(tokens[: missing + 1] + salt)
-    groups = max(1, low // GROUP)
-    kind = np.minimum(kind, 3 if low >= GROUP else 2 if low >= 4 else 1)
+    # small sets have too few tokens to spare for groups; eight tokens a group leave enough chances to others
+    groups = max(1, low // max(8, CHANCES * 100 // max(1, 100 - similarity)))
+    kind = np.minimum(kind, 3 if low >= 40 else 2 if low >= 4 else 1)
     of = np.where(kind > 1, kind * groups + (tokens % np.uint64(groups)).astype(np.int64), 0)
     order = np.argsort(of, kind="stable")
     begin = np.flatnonzero(np.diff(of[order], prepend=-1))
@@ -171,7 +172,7 @@ def keys(tokens: np.ndarray, seen: np.ndarray, rare: float, similarity: int, low
     for b in (band, band - 1):
         if b >= 0 and smallest < low[b + 1]:
             partner = max(int(low[b]), smallest)
-            out.append(keys_for(tokens, kind, b, int(low[b]), n - least_overlap(n, partner, similarity)))
+            out.append(keys_for(tokens, kind, b, int(low[b]), n - least_overlap(n, partner, similarity), similarity))
     return np.unique(np.concatenate(out).view(np.int64))
 
 
