@@ -157,7 +157,7 @@ def keys_for(tokens: np.ndarray, kind: np.ndarray, band: int, low: int, missing:
 
 def parity(tokens: np.ndarray) -> bytes:
     """A bit for each of some buckets of tokens: whether an odd number of tokens is in it."""
-    size = 1 << max(9, int(len(tokens) - 1).bit_length())
+    size = 1 << max(8, int(len(tokens) - 1).bit_length() - 1)
     odd = np.bincount((tokens >> np.uint64(20)).astype(np.int64) & (size - 1), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -277,7 +277,7 @@ def with_pivots(rows: DataFrame) -> DataFrame:
 
 
 def across(rows: DataFrame, nodes: DataFrame, limit: int, similarity: int) -> DataFrame:
-    """``a, b, more``: pairs (a > b) of different components in one list that bitmaps allow; of a
+    """``key, a, b, more``: pairs (a > b) of different components in one list that bitmaps allow; of a
     set the ``limit`` nearest in each other component, ``more`` if others were held back."""
     count = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     rows = rows.join(count, "key").join(nodes.select("node", "n", "bits"), "node")
@@ -322,9 +322,10 @@ def across(rows: DataFrame, nodes: DataFrame, limit: int, similarity: int) -> Da
                     keep = place < limit
                     out.append((np.maximum(node[to], node[k])[keep], np.minimum(node[to], node[k])[keep], more[keep]))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["a", "b", "more"])
+                a, b, more = (pa.array(np.concatenate(c)) for c in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), g.column("key")[0].as_py())), a, b, more], ["key", "a", "b", "more"])
 
-    return dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(run, f"a {kind}, b {kind}, more boolean")
+    return dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(run, f"key long, a {kind}, b {kind}, more boolean")
 
 
 def join(df: DataFrame, words: int = 3, similarity: int = 90, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -364,12 +365,14 @@ def join(df: DataFrame, words: int = 3, similarity: int = 90, id: str = "doc_id"
 
     for _ in range(2):
         confirm(near(with_pivots(placed(shared, found)), nodes, similarity))
-    limit = 2
+    limit, mixed = 2, stage(placed(shared, found), "mixed")
     while True:
-        pairs = stage(across(stage(placed(shared, found), "mixed"), nodes, limit, similarity), "across")
+        pairs = stage(across(mixed, nodes, limit, similarity), "across")
         confirm(pairs)
-        if not pairs.where("more").limit(1).count():
+        held = stage(pairs.where("more").select("key").distinct(), "held")  # all pairs of the other lists are tested
+        if not held.limit(1).count():
             break
+        mixed = stage(placed(mixed.join(held, "key", "left_semi").select("key", "node"), found), "mixed")
         limit *= 8
     if found is None:
         found = components(links)
