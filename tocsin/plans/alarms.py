@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.timebase import hour_start
 from ..operators.interval import interval_join
 from ..operators.ranks import exact_quantiles, ranked
+from ..operators.sliding import sliding_quantiles
 from ..operators.runs import mark_runs, run_table
 from ..operators.scan import asof_join
 from .metrics import HORIZON, RUN_CAP, alarm_rows, catches, measure, positive, seen_episodes, signals, threshold_for_share, windows_of
@@ -316,26 +317,22 @@ def watchlist(scores: DataFrame, by: list[str], share: float, horizon: int = HOR
 # ---- thresholds that move ------------------------------------------------------
 
 
-def rolling_threshold(scores: DataFrame, by: list[str], days: int, share: float, least: int = 100) -> DataFrame:
-    """Each day's threshold: the fleet's quantile over the previous days, NULL
-    under ``least`` scores.
+def rolling_thresholds(scores: DataFrame, by: list[str], days: list[int], shares: list[float], least: int = 100) -> DataFrame:
+    """``by, day, days, share, thr``: each day's thresholds, the fleet's quantiles over the
+    previous days, for all window lengths and shares in one pass; none under ``least`` scores."""
+    daily = scores.select(*by, F.floor(F.col("h") / 24).alias("_d"), "p")
+    period = daily.groupBy(*by).agg(F.min("_d").alias("_from"), F.max("_d").alias("_to"))
+    windows = period.withColumn("day", F.explode(F.sequence("_from", "_to"))).withColumn("days", F.explode(F.array(*[F.lit(d) for d in days])))
+    qs = F.array(*[F.lit(1.0 - s) for s in shares])
+    windows = windows.select(*by, "day", "days", (F.col("day") - F.col("days")).alias("a"), F.col("day").alias("b"), qs.alias("qs"))
+    out = sliding_quantiles(daily, by, "_d", "p", windows, ["day", "days"], max(days)).where(F.col("n") >= least)
+    share = F.element_at(F.array(*[F.lit(s) for s in shares]), F.col("i") + 1)
+    return out.select(*by, "day", "days", share.alias("share"), F.col("value").alias("thr"))
 
-    Scores collapse to counts per (day, value) first; every day's counts are
-    copied to the days that look back on it, and ranks are distributed.
-    """
-    daily = scores.groupBy(*by, F.floor(F.col("h") / 24).alias("_d"), "p").agg(F.count(F.lit(1)).alias("_n"))
-    last = scores.groupBy(*by).agg(F.max(F.floor(F.col("h") / 24)).alias("_last"))
-    seen = (
-        daily.join(last, by)
-        .withColumn("day", F.explode(F.sequence(F.col("_d") + 1, F.col("_d") + days)))
-        .where(F.col("day") <= F.col("_last"))
-        .groupBy(*by, "day", "p")
-        .agg(F.sum("_n").alias("_n"))
-    )
-    full = seen.groupBy(*by, "day").agg(F.sum("_n").alias("_t")).where(F.col("_t") >= least)
-    enough = seen.join(full.drop("_t"), [*by, "day"], "left_semi")
-    out = exact_quantiles(enough, [*by, "day"], "p", [1 - share], weight="_n")
-    return out.select(*by, "day", F.col("value").alias("thr"))
+
+def rolling_threshold(scores: DataFrame, by: list[str], days: int, share: float, least: int = 100) -> DataFrame:
+    """``by, day, thr`` for one window length and one share."""
+    return rolling_thresholds(scores, by, [days], [share], least).select(*by, "day", "thr")
 
 
 def threshold_transfer(scores: DataFrame, by: list[str], share: float, days: int, least: int = 100) -> DataFrame:
@@ -367,16 +364,9 @@ def threshold_transfer(scores: DataFrame, by: list[str], share: float, days: int
 
 def calibration_windows(scores: DataFrame, by: list[str], days: list[int], shares: list[float], least: int = 100) -> DataFrame:
     """Recall and cost of rolling thresholds over windows of several lengths."""
-    parts = []
-    for d in days:
-        for share in shares:
-            roll = rolling_threshold(scores, by, d, share, least)
-            t = scores.where("split = 'test'").withColumn("day", F.floor(F.col("h") / 24)).join(roll, [*by, "day"])
-            a = t.where(F.col("p") >= F.col("thr")).withColumn("y", positive())
-            parts.append(a.withColumn("days", F.lit(d)).withColumn("share", F.lit(share)))
-    alarms = parts[0]
-    for p in parts[1:]:
-        alarms = alarms.unionByName(p)
+    roll = rolling_thresholds(scores, by, days, shares, least)
+    test = scores.where("split = 'test'").withColumn("day", F.floor(F.col("h") / 24))
+    alarms = test.join(roll, [*by, "day"]).where(F.col("p") >= F.col("thr")).withColumn("y", positive())
     eps = seen_episodes(scores.where("split = 'test'"), by)
     return measure(alarms, eps, by, ["days", "share"])
 

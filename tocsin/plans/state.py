@@ -10,6 +10,7 @@ from ..operators.interval import interval_join
 from ..operators.ranks import exact_quantiles
 from ..operators.runs import mark_runs
 from ..operators.scan import asof_join
+from ..operators.sliding import sliding_quantiles
 
 # fixed values of the alarm rules, hours
 CHATTER_GAP = 6
@@ -56,10 +57,8 @@ def threshold_90d(history: DataFrame, asks: DataFrame, share: DataFrame, ignored
         .withColumn("_b", F.when(F.col("h") < F.col("_first"), F.col("_last")).otherwise(F.col("_b")))
         .select("type", F.col("h").alias("at"), (F.col("_b") - window + 1).alias("_a"), (F.col("_b") + 1).alias("_b"))
     )
-    # one row per (type, hour, value) before copying rows to the asked windows
-    hit = interval_join(rows, spans, ["type"], "h", "_a", "_b", width=window)
-    qs = spans.join(share, "type").select("type", "at", (1 - F.col("share")).alias("q"))
-    out = exact_quantiles(hit, ["type", "at"], "p", qs)
+    windows = spans.join(share, "type").withColumn("qs", F.array(1 - F.col("share")))
+    out = sliding_quantiles(rows, ["type"], "h", "p", windows.select("type", "at", F.col("_a").alias("a"), F.col("_b").alias("b"), "qs"), ["at"], window)
     return out.select("type", F.col("at").alias("h"), F.col("value").alias("thr"))
 
 
