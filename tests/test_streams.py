@@ -137,3 +137,99 @@ def test_advance_from_memory_equals_one_pass(spark):
         memory = spark.createDataFrame(out.where("of = 'memory'").select(*[f.split(" ")[0] for f in S.MEMORY.split(", ")]).collect(), S.MEMORY)
         assert memory.count() == 2
     assert sorted(got) == sorted(map(repr, S.alarm_rules(feed).select(*cols).collect()))
+
+
+def test_intake_reads_only_days_of_late_rows(spark, monkeypatch):
+    """A hundred days of journal, then rows of the newest hours, repeats and late rows:
+    no batch lists or reads other days than those of its late rows."""
+    base = scratch(spark, "bounded-intake")
+    body = lambda day, second, v: '{"channel_id": 1, "ts": "2024-%02d-%02dT00:00:%02d", "value": "%s"}' % (1 + day // 28, 1 + day % 28, second, v)
+    first = [body(d, k, "on") for d in range(100) for k in range(3)]
+    second = [body(99, 1, "on"), body(99, 5, "off"), body(99, 5, "off")]  # a repeat, a new row twice
+    third = [body(7, 1, "on"), body(7, 9, "late"), body(40, 2, "on"), body(99, 5, "off"), body(100, 1, "on")]
+    fourth = [body(7, 9, "late"), body(100, 1, "on"), body(200, 1, "on")]
+    rows = [(n, b) for n, part in enumerate((first, second, third, fourth)) for b in part]
+    df = spark.createDataFrame(rows, "n int, body string")
+    for n in range(4):
+        df.where(F.col("n") == n).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    channels = spark.createDataFrame([(1, "door", 1)], "channel_id bigint, stype string, object_id bigint")
+    read, real = [], ingest.of_days
+
+    def watched(spark_, journal, days):
+        out = real(spark_, journal, days)
+        read.append((sorted(days), 0 if out is None else len({f.split("day=")[1][:10] for f in out.inputFiles()})))
+        return out
+
+    monkeypatch.setattr(ingest, "of_days", watched)
+    run = lambda: ingest.intake(files(spark, f"{base}/in", "*.parquet", 1), channels, f"{base}/t", f"{base}/ck", "guard", "1 day")
+    paths = run()
+    assert read == [([], 0), (["2024-01-08", "2024-02-13"], 2), (["2024-01-08"], 1)]
+    assert spark.read.parquet(paths["journal"]).count() == 300 + 1 + 2 + 1
+    assert spark.read.parquet(f"{paths['seen']}/batch=3").count() == 1  # only keys within a day of the newest
+    assert spark.read.parquet(paths["counters"]).agg(F.sum("accepted")).first()[0] == len(rows)
+    # the last batch replayed: its commit is lost, its rows are there
+    before = sorted(map(repr, spark.read.parquet(paths["journal"]).collect()))
+    import os
+
+    folder = f"{base}/ck/commits".replace("file:", "")
+    for name in ("3", ".3.crc"):
+        os.remove(f"{folder}/{name}")
+    run()
+    assert sorted(map(repr, spark.read.parquet(paths["journal"]).collect())) == before
+
+
+def test_recurrence_twin_with_late_rows(spark):
+    """Onsets and decisions out of order by up to 30 hours, joined as streams."""
+    from tocsin.functions.timebase import hour_start
+    from tocsin.streaming import recurrence
+    from tocsin.streaming.common import put
+
+    rnd = random.Random(12)
+    onsets = sorted({(o, t, rnd.randint(0, 900)) for o in (1, 2, 3) for t in ("fire", "gas") for _ in range(25)})
+    told = sorted({(o, t, rnd.randint(0, 900), rnd.choice(["REJECT", "MUTE", "TAKE"])) for o in (1, 2, 3) for t in ("fire", "gas") for _ in range(25)})
+    base = scratch(spark, "twin-recurrence")
+
+    def live(rows, schema, name, far):
+        late = sorted(rows, key=lambda r: r[2] + rnd.randint(0, 30))
+        for k in range(3):
+            spark.createDataFrame(late[k * len(late) // 3 : (k + 1) * len(late) // 3], schema).coalesce(1).write.mode("append").parquet(f"{base}/{name}")
+        spark.createDataFrame([far], schema).coalesce(1).write.mode("append").parquet(f"{base}/{name}")
+        return files(spark, f"{base}/{name}", "*.parquet", 1).withColumn("at", F.timestamp_micros(hour_start("h")))
+
+    schema = "object_id bigint, type string, h bigint"
+    a, b = live(onsets, schema, "onsets", (-1, "", 10**6)), live(told, f"{schema}, action string", "told", (-1, "", 10**6, "MUTE"))
+    out = recurrence.recurred(a, b, "40 hours", reach=120)
+    run_available(out, lambda d, n: put(d, f"{base}/out", n), f"{base}/ck")
+    got = sorted(tuple(r) for r in spark.read.schema(out.schema).parquet(f"{base}/out").select(*out.columns).collect())
+    batch = S.recurred(spark.createDataFrame([(*r, "c") for r in told], f"{schema}, action string, command_id string"), spark.createDataFrame(onsets, schema))
+    want = sorted(tuple(r) for r in batch.where("hours_after_decision <= 120").select(*out.columns).collect())
+    assert got == want and len(want) > 30
+
+
+def test_cards_twin_with_late_rows(spark):
+    """Hours out of order by up to ten, missing hours among them; open counts by type."""
+    from tocsin.functions.timebase import hour_start
+    from tocsin.streaming import cards
+
+    rnd = random.Random(6)
+    rows = [(t, o, h, rnd.random() < 0.6) for t in ("fire", "gas") for o in (1, 2, 3) for h in range(80) if rnd.random() < 0.9]
+    schema = "type string, object_id bigint, h bigint, alarm boolean"
+    base = scratch(spark, "twin-cards")
+    late = sorted(rows, key=lambda r: r[2] + rnd.randint(0, 10))
+    for part in (late[: len(late) // 2], late[len(late) // 2 :], [("", 0, 10**6, False)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    try:
+        live = files(spark, f"{base}/in", "*.parquet", 1).withColumn("at", F.timestamp_micros(hour_start("h")))
+        paths = cards.card_lifecycle(live, base, f"{base}/ck", "12 hours")
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    df = spark.createDataFrame(rows, schema)
+    want = [tuple(r) for r in S.card_lifecycle(df.where("alarm"), df).select("type", "object_id", "start", F.when(F.col("closed").isNotNull(), F.col("last")), "closed", "open").collect()]
+    got = [tuple(r) for r in cards.cards_of(spark, paths).select("type", "object_id", "start", "last", "closed", "open").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and len(want) > 60
+    import glob
+
+    newest = max(glob.glob(f"{paths['counts']}/at=*".replace("file:", "")), key=lambda p: int(p.rsplit("=", 1)[1]))
+    counts = {r["type"]: r["cards"] for r in spark.read.parquet(newest).collect()}
+    assert counts == {t: sum(w[0] == t and w[5] for w in want) for t in ("fire", "gas")}

@@ -1,14 +1,14 @@
 """Streaming jobs run to completion over the given tables."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ..functions.timebase import hour_of, us_of
+from ..functions.timebase import HOUR, ORIGIN_US, hour_of, hour_start, us_of
 from ..sources import sinks
-from ..streaming import ingest, rules, silence
+from ..streaming import cards as streamed_cards, ingest, recurrence, rules, silence
 from ..streaming.common import ROCKSDB, files, put, run_available
 from .q_detect import LIMIT
 from .q_sources import channel_map, messages
-from .q_state import decisions, feed, schedule
+from .q_state import busy, decisions, feed, schedule
 from .registry import part, query
 from .site import SCORED, SHARE, Site
 
@@ -114,3 +114,52 @@ def hourly_job(s: Site):
     paths = rules.hourly_job(live, facts, decisions(s), schedule(s), SHARE, base, f"{base}/offsets", window=WINDOW)
     st = s.spark.read.parquet(paths["status"])
     return st.groupBy("type").agg(F.count(F.lit(1)).alias("raw"), F.count_if(F.col("reason") == "works").alias("works"))
+
+
+FAR = 10**6  # an hour after all others: its row lets the watermark pass them
+
+
+def hours_in_files(s: Site, rows: DataFrame, folder: str, n: int, **far: str) -> DataFrame:
+    """The rows as a stream of n files, one after the other, and a last one far ahead of a
+    pair by itself, with the values ``far``; ``at`` is the moment of the hour."""
+    lo, hi = rows.agg(F.coalesce(F.min("h"), F.lit(0)), F.coalesce(F.max("h"), F.lit(0))).first()
+    step = (hi - lo) // n + 1
+    for k in range(n):
+        rows.where(F.col("h").between(lo + k * step, lo + (k + 1) * step - 1)).coalesce(1).write.mode("append").parquet(folder)
+    last = [F.lit(({"h": FAR, "object_id": -1, "type": ""} | far).get(f.name)).cast(f.dataType).alias(f.name) for f in rows.schema]
+    s.spark.range(1).select(*last).coalesce(1).write.mode("append").parquet(folder)
+    return files(s.spark, folder, "*.parquet", 1).withColumn("at", F.timestamp_micros(hour_start("h")))
+
+
+REACH = 168
+
+
+@query(
+    "recurred_audit_stream",
+    "dec inc",
+    f"""SELECT object_id, type, h, decided, h - decided AS hours_after_decision, h - decided <= 24 AS within_horizon FROM (
+ SELECT i.object_id, i.type, i.h, (SELECT max(d.h) FROM dec d WHERE d.action IN ('REJECT', 'MUTE') AND d.object_id = i.object_id AND d.type = i.type AND d.h < i.h AND d.h >= i.h - {REACH}) AS decided
+ FROM (SELECT DISTINCT object_id, type, (t0 - {ORIGIN_US}) // {HOUR} AS h FROM inc WHERE noise IS NULL) i) WHERE decided IS NOT NULL""",
+)
+def recurred_audit_stream(s: Site):
+    """Onsets and decisions as two streams, joined within the life of a rejection."""
+    base = spot(s, "recurred")
+    onsets = s.episodes.where("noise is null").select("object_id", "type", hour_of("t0").alias("h")).distinct()
+    facts, told = hours_in_files(s, onsets, f"{base}/onsets", 3), hours_in_files(s, decisions(s).select("object_id", "type", "h", "action"), f"{base}/decisions", 3, action="REJECT")
+    out = recurrence.recurred(facts, told, "2 hours", REACH)
+    run_available(out, lambda b, n: put(b, f"{base}/rows", n), f"{base}/offsets")
+    return s.spark.read.schema(out.schema).parquet(f"{base}/rows").select(out.columns)
+
+
+@query("card_lifecycle_stream", "cards1", "SELECT type, object_id, start, CASE WHEN closed IS NOT NULL THEN last END AS last, closed, closed IS NULL AS open FROM cards1")
+def card_lifecycle_stream(s: Site):
+    """The cards of the busy score run from its hours as a stream."""
+    base = spot(s, "cards")
+    rows = busy(s).select("type", "object_id", "h", (F.col("p") >= F.col("thr")).alias("alarm"))
+    old = s.spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    s.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    try:
+        paths = streamed_cards.card_lifecycle(hours_in_files(s, rows, f"{base}/hours", 3), base, f"{base}/offsets", "2 hours")
+    finally:
+        s.spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+    return streamed_cards.cards_of(s.spark, paths)

@@ -31,10 +31,16 @@ def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], che
     q.awaitTermination()
 
 
-def put(rows: DataFrame, path: str, batch: int) -> None:
+def put(rows: DataFrame, path: str, batch: int, by: tuple[str, ...] = ()) -> None:
     """Write one micro-batch under its own number: a batch replayed after a
     failure replaces itself instead of doubling."""
     from pyspark.sql import functions as F
 
     out = rows.withColumn("batch", F.lit(batch))
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by, "batch").parquet(path)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared storage, if it is there."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
