@@ -13,7 +13,7 @@ SF = f"{DATA}/sf0.001"
 # state machines, model training and pieces whose check is elsewhere in tests
 NO_SQL = {
     "feature_families", "snapshot_diff", "budget_split", "train_gbt",
-    "importance_table", "isotonic_fit", "cascade_oof", "walk_forward", "notice_filter_oof", "sensor_model", "route_extent", "alarm_rules",
+    "importance_table", "cascade_oof", "walk_forward", "notice_filter_oof", "sensor_model", "route_extent", "alarm_rules",
     "decision_events", "fact_clears", "alarm_rules_stream", "walk_compare",
 }
 CHECKED = """trig_classify guard_timeline arrival_flag noise_mass visit_trace episodes episode_confirmed noise_works restart_flag service_sessions

@@ -73,3 +73,30 @@ def test_thresholds_of_days_and_hours(spark):
     for r in state.threshold_90d(df, asks, share, ignored, window=60).collect():
         to = r["h"] if 0 <= r["h"] <= last + 59 else last
         assert r["thr"] == pytest.approx(float(np.quantile([p for h, p in kept if to - 60 < h <= to], 0.98)))
+
+
+@pytest.mark.parametrize("sizes", [(1_000, 16), (7, 2)])
+def test_isotonic_blocks_and_lines(spark, sizes):
+    """Blocks beside the max-min formula, however the scores are cut; lines beside numpy."""
+    from fractions import Fraction
+
+    from tocsin.operators.isotonic import along, isotonic
+
+    rng = np.random.default_rng(3)
+    rows = [(g, float(round(x, 2)), int(rng.random() < x)) for g in "ab" for x in rng.random(300)] + [("c", 0.5, 1), ("d", 0.1, 1), ("d", 0.9, 0), ("a", None, 1)]
+    df = spark.createDataFrame(rows, "g string, p double, y int")
+    blocks = isotonic(df, ["g"], "p", F.col("y"), *sizes)
+    got = {}
+    for r in blocks.collect():
+        got.setdefault(r["g"], []).append((r["lo"], r["hi"], r["n"], r["value"]))
+    for g in "abcd":
+        at = sorted({p for k, p, _ in rows if k == g and p is not None})
+        total, n = ([sum(y if w else 1 for k, p, y in rows if k == g and p == q) for q in at] for w in (1, 0))
+        mean = lambda a, b: Fraction(sum(total[a : b + 1]), sum(n[a : b + 1]))  # noqa: B023, E731
+        fit = [max(min(mean(a, b) for b in range(i, len(at))) for a in range(i + 1)) for i in range(len(at))]
+        want = [(min(p for p, f in zip(at, fit) if f == v), max(p for p, f in zip(at, fit) if f == v), sum(k for k, f in zip(n, fit) if f == v), float(v)) for v in sorted(set(fit))]
+        assert sorted(got[g]) == want
+        asked = spark.createDataFrame([(g, x / 40) for x in range(-4, 45)], "g string, p double")
+        for r in along(blocks, asked, ["g"], "p", "c").collect():
+            assert r["c"] == pytest.approx(float(np.interp(r["p"], at, [float(f) for f in fit])))
+    assert isotonic(df.where("false"), ["g"], "p", F.col("y")).count() == 0

@@ -126,12 +126,35 @@ def horizon_sweep(s: Site):
     return h.select(*BY, "horizon", F.round("base_rate", 6).alias("base_rate"), F.round("pr_auc", 6).alias("pr_auc"))
 
 
-@query("isotonic_fit")
+part("ipts", "scores", f"SELECT {K}, p, count(*) AS n, count(*) FILTER (next <= 24) AS s, row_number() OVER (PARTITION BY {K} ORDER BY p) AS i FROM scores GROUP BY {K}, p")
+part("isum", "ipts", f"SELECT *, sum(n) OVER w AS cn, sum(s) OVER w AS cs FROM ipts WINDOW w AS (PARTITION BY {K} ORDER BY i)")
+part("imean", "isum", f"SELECT {K}, a.i AS a, b.i AS b, (b.cs - a.cs + a.s)::DOUBLE / (b.cn - a.cn + a.n)::DOUBLE AS m FROM isum a JOIN isum b USING ({K}) WHERE a.i <= b.i")
+# the fit at a point: the largest over all starts before it of the least mean over all ends after it
+part(
+    "iso",
+    "ipts imean",
+    f"SELECT {K}, p, n, v FROM ipts JOIN (SELECT {K}, i, max(m) AS v FROM (SELECT {K}, b AS i, min(m) OVER (PARTITION BY {K}, a ORDER BY b DESC) AS m FROM imean) GROUP BY {K}, i) USING ({K}, i)",
+)
+
+
+@query("isotonic_blocks", "iso", f"SELECT {K}, min(p) AS lo, max(p) AS hi, sum(n)::BIGINT AS n, round(v, 6) AS value FROM iso GROUP BY {K}, v")
+def isotonic_blocks(s: Site):
+    """The calibration of every run, type and split."""
+    return P.isotonic_fit(s.scores, BY).withColumn("value", F.round("value", 6))
+
+
+@query(
+    "isotonic_fit",
+    "scores iso",
+    """SELECT t.run, t.type, t.object_id, t.h, t.p, round(CASE WHEN a.p IS NULL THEN b.v WHEN b.p IS NULL OR a.p = b.p THEN a.v ELSE a.v + (b.v - a.v) * (t.p - a.p) / (b.p - a.p) END, 6) AS confidence
+ FROM (SELECT * FROM scores WHERE split = 'test') t ASOF LEFT JOIN (SELECT * FROM iso WHERE split = 'val') a ON a.run = t.run AND a.type = t.type AND t.p >= a.p
+ ASOF LEFT JOIN (SELECT * FROM iso WHERE split = 'val') b ON b.run = t.run AND b.type = t.type AND t.p <= b.p""",
+)
 def isotonic_fit(s: Site):
-    val = s.scores.where("run = 'busy' and type = 'equipment' and split = 'val'")
-    model = P.isotonic_fit(val)
-    test = s.scores.where("run = 'busy' and type = 'equipment' and split = 'test'")
-    return P.confidence(model, test).select("object_id", "h", "p", "confidence")
+    """Test scores of every run and type, calibrated on validation."""
+    by = ["run", "type"]
+    out = P.confidence(P.isotonic_fit(s.scores.where("split = 'val'"), by), s.scores.where("split = 'test'"), by)
+    return out.select("run", "type", "object_id", "h", "p", F.round("confidence", 6).alias("confidence"))
 
 
 part("imp", "", "SELECT * FROM (VALUES ('fire', 'events_24h', 0.5), ('fire', 'since_fire', 0.3), ('fire', 'hour', 0.2), ('gas', 'since_gas', 0.6), ('gas', 'events_24h', 0.4)) v(type, feature, importance)")

@@ -6,11 +6,11 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.timebase import DAY, HOUR, MINUTE, ts_of
 from ..operators.interval import interval_join
+from ..operators.isotonic import along, isotonic
 from ..operators.ranks import exact_quantiles, ranked
 from ..operators.settle import settle
 from . import metrics as M
@@ -125,17 +125,14 @@ def horizon_sweep(scores: DataFrame, by: list[str], horizons: list[int], per_day
     return out
 
 
-def isotonic_fit(scores: DataFrame, horizon: int = 24):
-    """Isotonic regression of the score to the outcome.  Equal scores collapse
-    to one weighted point first."""
-    y = M.positive(horizon).cast("double")
-    points = scores.groupBy("p").agg(F.avg(y).alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
-    return IsotonicRegression(featuresCol="p", labelCol="label", weightCol="weight", predictionCol="confidence").fit(points)
+def isotonic_fit(scores: DataFrame, by: list[str], horizon: int = 24) -> DataFrame:
+    """``by, lo, hi, n, value``: the share of scores that came true, rising with the score, for every group."""
+    return isotonic(scores, by, "p", M.positive(horizon))
 
 
-def confidence(model, scores: DataFrame) -> DataFrame:
-    """Linear interpolation between the knots, clamped at the ends."""
-    return model.transform(scores)
+def confidence(blocks: DataFrame, scores: DataFrame, by: list[str]) -> DataFrame:
+    """``scores`` with ``confidence``: linear between the blocks, level at the ends."""
+    return along(blocks, scores, by, "p", "confidence")
 
 
 def reasons_topk(rows: DataFrame, importances: DataFrame, labels: DataFrame, features: list[str], k: int) -> DataFrame:
