@@ -100,3 +100,20 @@ def test_isotonic_blocks_and_lines(spark, sizes):
         for r in along(blocks, asked, ["g"], "p", "c").collect():
             assert r["c"] == pytest.approx(float(np.interp(r["p"], at, [float(f) for f in fit])))
     assert isotonic(df.where("false"), ["g"], "p", F.col("y")).count() == 0
+
+
+def test_counts_between_moments(spark):
+    """Windows that share ends, points on the ends, keys without points."""
+    from tocsin.operators.moments import counts_within
+
+    rng = np.random.default_rng(8)
+    points = [(int(k), int(t), int(v)) for k, t, v in zip(rng.integers(0, 3, 500), rng.integers(0, 300, 500), rng.integers(0, 5, 500))]
+    rows = [(k, t, k * 1000 + t) for k in range(5) for t in range(-20, 330, 9)]
+    df, e = spark.createDataFrame(points, "k int, t long, v int"), spark.createDataFrame(rows, "k int, at long, id long")
+    windows = {"short": (F.col("at") - 10, F.col("at")), "long": (F.col("at") - 100, F.col("at")), "next": (F.col("at"), F.col("at") + 7)}
+    got = counts_within(df, ["k"], "t", {"n": F.lit(1), "v": F.col("v")}, e, ["k", "id", "at"], windows, 16).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        for name, (a, b) in {"short": (-10, 0), "long": (-100, 0), "next": (0, 7)}.items():
+            hit = [v for k, t, v in points if k == r["k"] and r["at"] + a <= t < r["at"] + b]
+            assert (r[f"{name}_n"], r[f"{name}_v"]) == (len(hit), sum(hit))

@@ -232,9 +232,13 @@ part(
     "nfeat",
     "inc trig noise",
     """SELECT e.object_id, e.type, e.t0, CAST(e.noise IS NULL AS DOUBLE) AS real, (SELECT count(DISTINCT t.channel_id) FROM trig t WHERE t.object_id = e.object_id AND t.us BETWEEN e.t0 AND e.t0 + 600000000) AS ch10,
+ (SELECT count(*) FROM trig t WHERE t.object_id = e.object_id AND t.us BETWEEN e.t0 AND e.t0 + 600000000) AS tr10,
+ (SELECT count(*) FROM trig t WHERE t.object_id = e.object_id AND t.type = e.type AND t.us >= e.t0 - 3600000000 AND t.us < e.t0) AS prev_1h,
  (SELECT count(*) FROM trig t WHERE t.object_id = e.object_id AND t.type = e.type AND t.us >= e.t0 - 86400000000 AND t.us < e.t0) AS prev_24h,
+ (SELECT count(*) FROM trig t WHERE t.object_id = e.object_id AND t.type = e.type AND t.us >= e.t0 - 604800000000 AND t.us < e.t0) AS prev_168h,
  (SELECT count(*) FROM noise t WHERE t.object_id = e.object_id AND t.type = e.type AND t.us BETWEEN e.t0 AND e.t0 + 600000000) AS marked10,
  (SELECT count(*) FROM inc i WHERE i.object_id = e.object_id AND i.type = e.type AND i.t0 < e.t0 AND i.t0 >= e.t0 - 2592000000000) AS ep_30d,
+ (SELECT count(*) FROM inc i WHERE i.object_id = e.object_id AND i.type = e.type AND i.t0 < e.t0 AND i.t0 >= e.t0 - 15552000000000) AS ep_180d, CAST(hour(make_timestamp(e.t0)) AS DOUBLE) AS hour,
  coalesce((SELECT avg(CAST(i.noise IS NOT NULL AS INT)) FROM inc i WHERE i.object_id = e.object_id AND i.type = e.type AND i.t0 < e.t0 AND i.t0 >= e.t0 - 15552000000000), -1.0) AS noise_180d, CAST(dayofweek(make_timestamp(e.t0)) AS DOUBLE) AS dow FROM inc e""",
 )
 
@@ -242,7 +246,7 @@ part(
 @query("notice_filter_features", "nfeat", "SELECT * REPLACE (round(noise_180d, 6) AS noise_180d) FROM nfeat")
 def notice_filter_features(s: Site):
     f = P.notice_features(s.episodes, s.triggers, s.noise)
-    return f.select("object_id", "type", "t0", "real", "ch10", "prev_24h", "marked10", "ep_30d", F.round("noise_180d", 6).alias("noise_180d"), "dow")
+    return f.select("object_id", "type", "t0", "real", *P.NOTICE_FEATURES).withColumn("noise_180d", F.round("noise_180d", 6))
 
 
 @query("notice_filter_oof")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.timebase import DAY, HOUR, MINUTE, ts_of
 from ..operators.interval import interval_join
 from ..operators.isotonic import along, isotonic
+from ..operators.moments import counts_within
 from ..operators.ranks import exact_quantiles, ranked
 from ..operators.settle import settle
 from . import metrics as M
@@ -282,34 +283,33 @@ def walk_forward(
 
 
 def notice_features(eps: DataFrame, triggers: DataFrame, noise: DataFrame, wait: int = 10 * MINUTE) -> DataFrame:
-    """What is known about an episode ``wait`` after its start."""
-    key = ["object_id", "type", "t0"]
-    e = eps.select(*key, (F.col("t0") + wait).alias("_w"), F.col("noise").isNull().cast("double").alias("real"))
-
-    def count(points: DataFrame, on: list[str], a: Column, b: Column, aggs: list[Column], width: int, closed: bool) -> DataFrame:
-        spans = e.select(*key, a.alias("_a"), b.alias("_b"))
-        return interval_join(points, spans, on, "us", "_a", "_b", width, closed=closed).groupBy(*key).agg(*aggs)
-
-    t0, n = F.col("t0"), F.count(F.lit(1))
-    tr = triggers.select("object_id", "channel_id", "us")
-    own = triggers.select("object_id", "type", "us")
-    marks = noise.select("object_id", "type", "us")
-    starts = eps.select("object_id", "type", F.col("t0").alias("us"), F.col("noise").isNotNull().cast("double").alias("_nz"))
-    both = ["object_id", "type"]
+    """What is known about an episode ``wait`` after its start.
+
+    Counts over windows are differences of running counts at the windows' ends, so a
+    trigger is one row however many episodes' windows hold it."""
+    key, both, t0 = ["object_id", "type", "t0"], ["object_id", "type"], F.col("t0")
+    e = eps.select(*key, F.col("noise").isNull().cast("double").alias("real"))
+    one, soon = {"n": F.lit(1)}, {"w10": (t0, t0 + (wait + 1))}
+    starts = eps.select(*both, F.col("t0").alias("us"), F.col("noise").isNotNull().alias("_nz"))
+    back = {f"prev_{h}h": (t0 - h * HOUR, t0) for h in (1, 24, 168)}
+    long = {f"ep_{d}d": (t0 - d * DAY, t0) for d in (30, 180)}
+    spans = e.select(*key, t0.alias("_a"), (t0 + wait).alias("_b"))
+    near = interval_join(triggers.select("object_id", "channel_id", "us").distinct(), spans, ["object_id"], "us", "_a", "_b", HOUR, closed=True)
     parts = [
-        count(tr, ["object_id"], t0, F.col("_w"), [F.count_distinct("channel_id").alias("ch10"), n.alias("tr10")], HOUR, True),
-        count(marks, both, t0, F.col("_w"), [n.alias("marked10")], HOUR, True),
-        *[count(own, both, t0 - h * HOUR, t0, [n.alias(f"prev_{h}h")], max(h, 6) * HOUR, False) for h in (1, 24, 168)],
-        count(starts, both, t0 - 30 * DAY, t0, [n.alias("ep_30d")], 30 * DAY, False),
-        count(starts, both, t0 - 180 * DAY, t0, [n.alias("ep_180d"), F.avg("_nz").alias("noise_180d")], 60 * DAY, False),
+        near.groupBy(*key).agg(F.count_distinct("channel_id").alias("ch10")),  # of the ten minutes only
+        counts_within(triggers, ["object_id"], "us", one, e, key, soon, DAY).withColumnRenamed("w10_n", "tr10"),
+        counts_within(noise, both, "us", one, e, key, soon, DAY).withColumnRenamed("w10_n", "marked10"),
+        counts_within(triggers, both, "us", one, e, key, back, DAY).withColumnsRenamed({f"{w}_n": w for w in back}),
+        counts_within(starts, both, "us", one | {"nz": F.col("_nz")}, e, key, long, 30 * DAY).withColumnsRenamed({f"{w}_n": w for w in long}).drop("ep_30d_nz"),
     ]
-    out = e.drop("_w")
+    out = e
     for p in parts:
         out = out.join(p, key, "left")
-    counts = ["ch10", "tr10", "marked10", "prev_1h", "prev_24h", "prev_168h", "ep_30d", "ep_180d"]
+    share = F.when(F.col("ep_180d") > 0, F.col("ep_180d_nz") / F.col("ep_180d")).otherwise(F.lit(-1.0))
     return (
-        out.fillna(0, subset=counts)
-        .withColumn("noise_180d", F.coalesce("noise_180d", F.lit(-1.0)))
+        out.fillna(0, subset=["ch10", "tr10", "marked10", *back, *long])
+        .withColumn("noise_180d", share)
+        .drop("ep_180d_nz")
         .withColumn("hour", F.hour(ts_of("t0")).cast("double"))
         .withColumn("dow", (F.dayofweek(ts_of("t0")) - 1).cast("double"))
     )
