@@ -6,8 +6,7 @@ Minima of many universal hashes form bands; documents that share a band's minima
 are candidates, which their short signatures and then their full sets confirm.
 
 A bucket of a band is never paired with itself.  First each of its documents is
-compared with one pivot, another in each bucket, and confirmed links give first
-components.  Then only buckets that still hold several components are compared
+compared with one pivot, and confirmed links give first components.  Then only buckets that still hold several components are compared
 once more, across components, in blocks of bounded size; a pair that the
 components already join needs no comparison.  So no link between components of
 the result is lost to a cap, and groups of near copies cost a comparison a row.
@@ -223,8 +222,9 @@ def confirmed(pairs: DataFrame, df: DataFrame, id: str, text: str) -> DataFrame:
 
 
 def pivot_pairs(buckets: DataFrame) -> DataFrame:
-    """Each document of a bucket with the bucket's pivot (a > b)."""
-    pivots = buckets.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key").alias("by"), "node"))["node"].alias("pivot"), F.count("*").alias("n")).where("n > 1").select("key", "pivot")
+    """Each document of a bucket with the bucket's pivot (a > b), by an order of documents
+    that all buckets share, so that a group of near copies has few pivots."""
+    pivots = buckets.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("by"), "node"))["node"].alias("pivot"), F.count("*").alias("n")).where("n > 1").select("key", "pivot")
     pairs = buckets.join(pivots, "key").where(F.col("node") != F.col("pivot"))
     return pairs.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
 
