@@ -6,10 +6,11 @@ Minima of many universal hashes form bands; documents that share a band's minima
 are candidates, which their short signatures and then their full sets confirm.
 
 A bucket of a band is never paired with itself.  First each of its documents is
-compared with one pivot, and confirmed links give first components.  Then only buckets that still hold several components are compared
-once more, across components, in blocks of bounded size; a pair that the
-components already join needs no comparison.  So no link between components of
-the result is lost to a cap, and groups of near copies cost a comparison a row.
+compared with one pivot, and confirmed links give first components.  Then only
+buckets that still hold several components are compared once more, across
+components, in blocks of bounded size; a pair that the components already join needs
+no comparison.  So no link between components of the result is lost to a cap, and
+groups of near copies cost a comparison a row.
 
 Documents without words have an empty set and are linked with nothing; those of
 fewer than five words have all of them as their one shingle.  Rows with the same
