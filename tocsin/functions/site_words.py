@@ -77,6 +77,43 @@ COUNTERS = [
     ("norm", Sign((), ("Норма",))),
 ]
 
+# Families of activations, and the pairs of families that are counted per incident type.
+FAMILIES = [
+    ("smoke", Sign(("Датчик дыма",), ("Обнаружен дым",))),
+    ("heat", Sign(("Тепловой датчик",), ("Не замкнут",))),
+    ("temp_hi", Sign(("Датчик температуры",), ("Температура выше 40ºC",))),
+    ("manual", Sign(("Ручной извещатель",), ("Не замкнут", "Рычаг сдернут"))),
+    ("gas", Sign(("Газовый датчик",), ("Обнаружен газ",))),
+    ("flood", Sign(("Датчик затопления",), ("Не замкнут",))),
+    ("pump_bad", Sign(("Состояние насоса",), ("Затоплен", "Неисправен", "Обесточен"))),
+    ("phase_off", Sign(("Состояние фазы",), ("Обесточен",))),
+    ("ups_batt", Sign(("ИБП",), ("Питание от батарей", "Батарея разряжена", "Батарея неисправна"))),
+    ("unit_bad", Sign(("Состояние вентилятора", "Состояние насоса"), ("Неисправен", "Обесточен"))),
+    ("door", Sign(("КД Дверь", "КД АВ"), ("Не замкнут",))),
+    ("hatch", Sign(("КД Люк", "9-секционный люк", "Стекло"), ("Не замкнут",))),
+    ("motion", Sign((), ("Обнаружено движение",))),
+    ("fault", Sign((), ("Неисправен", "Не определено", "Неопределен"))),
+]
+PAIRS = [
+    ("fire", "smoke", "heat"),
+    ("fire", "smoke", "temp_hi"),
+    ("fire", "heat", "temp_hi"),
+    ("fire", "smoke", "smoke"),
+    ("fire", "smoke", "manual"),
+    ("gas", "gas", "gas"),
+    ("gas", "gas", "unit_bad"),
+    ("flood", "flood", "pump_bad"),
+    ("flood", "flood", "flood"),
+    ("flood", "pump_bad", "unit_bad"),
+    ("equipment", "phase_off", "ups_batt"),
+    ("equipment", "phase_off", "unit_bad"),
+    ("equipment", "unit_bad", "unit_bad"),
+    ("sensor", "fault", "fault"),
+    ("intrusion", "door", "motion"),
+    ("intrusion", "hatch", "motion"),
+    ("intrusion", "door", "door"),
+]
+
 SITE = Vocabulary(
     triggers=TRIGGERS,
     counters=COUNTERS,

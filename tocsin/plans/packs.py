@@ -23,43 +23,85 @@ def active_hours(journal: DataFrame, pickets: DataFrame, families: list[tuple[st
     )
 
 
-def pair_hours(act: DataFrame, a: str, b: str, hours: int = PAIR_HOURS, near: int = PAIR_PICKETS) -> DataFrame:
-    """Hours when families ``a`` and ``b`` fired on different channels at most
-    ``near`` pickets and ``hours`` apart, known at the later hour, with the
-    number of distinct channel pairs.
-
-    Pairs are counted, not listed.  A channel's state in an hour says for each
-    family whether it fired now, within the look-back or not; per (object, hour,
-    picket) only the number of channels in each of the nine states matters.  A
-    channel may be of both families: it makes no pair with itself, and two such
-    channels are one pair whichever way they are read.
+def pair_name(pair: tuple[str, str, str]) -> str:
+    return "_".join(pair)
+
+
+def channel_states(act: DataFrame, families: list[str], hours: int = PAIR_HOURS) -> DataFrame:
+    """One row per (object, hour, channel) that fired in the hour or the ``hours``
+    before it: bit i of ``now`` and of ``recent`` says that family i did."""
+    bit = F.lit(None).cast("bigint")
+    for i, f in enumerate(families):
+        bit = F.when(F.col("fam") == f, F.lit(1 << i).cast("bigint")).otherwise(bit)
+    own = act.where(F.col("fam").isin(*families)).groupBy("object_id", "pk", "channel_id", "h").agg(F.bit_or(bit).alias("_m"))
+    later = F.explode(F.sequence(F.lit(0), F.lit(hours))).alias("_o")
+    now = F.when(F.col("_o") == 0, F.col("_m")).otherwise(F.lit(0).cast("bigint"))
+    spread = own.select("object_id", "pk", "channel_id", "_m", "h", later).select("object_id", "pk", "channel_id", (F.col("h") + F.col("_o")).alias("h"), "_m", now.alias("_n"))
+    return spread.groupBy("object_id", "h", "pk", "channel_id").agg(F.bit_or("_n").alias("now"), F.bit_or("_m").alias("recent"))
+
+
+def pair_counters(act: DataFrame, pairs: list[tuple[str, str, str]], hours: int = PAIR_HOURS, near: int = PAIR_PICKETS) -> DataFrame:
+    """All pair counters in one pass: ``object_id``, ``h`` and for every pair
+    (type, a, b) the number of distinct channel pairs of which one fired as a,
+    the other as b, at most ``near`` pickets and ``hours`` apart; known at the
+    later hour.  Rows where a counter is above 0.
+
+    Pairs are counted, neither listed nor joined.  With R "fired recently" and S
+    "recently, but not now", channels x and y make a pair read one way if
+    ``Ra(x) Rb(y) - Sa(x) Sb(y)`` is 1, and a pair read both ways is one pair.
+    Both are sums of products of something about x and something about y, so
+    counts per picket, their sums over the neighbouring pickets and one product
+    a picket give every counter.  A channel of both families makes no pair with
+    itself.  An (object, hour) is one row per picket, whatever its channels.
     """
-    mine = act.where(F.col("fam").isin(a, b)).select("object_id", "h", "pk", "fam", "channel_id").distinct()
-    spread = mine.select("object_id", "pk", "fam", "channel_id", F.explode(F.sequence(F.col("h"), F.col("h") + hours)).alias("h"), F.col("h").alias("_own"))
-    state = lambda fam: F.coalesce(F.max(F.when(F.col("fam") == fam, F.when(F.col("h") == F.col("_own"), 2).otherwise(1))), F.lit(0))
-    states = spread.groupBy("object_id", "h", "pk", "channel_id").agg(state(a).alias("sa"), state(b).alias("sb"))
-    cells = states.groupBy("object_id", "h", "pk", "sa", "sb").agg(F.count(F.lit(1)).alias("n"))
-    other = cells.select("object_id", "h", F.explode(F.sequence(F.col("pk") - near, F.col("pk") + near)).alias("pk"), F.col("sa").alias("ta"), F.col("sb").alias("tb"), F.col("n").alias("m"))
-    other = other.groupBy("object_id", "h", "pk", "ta", "tb").agg(F.sum("m").alias("m"))
-    reads = lambda x, y: (F.col(x) > 0) & (F.col(y) > 0) & (F.greatest(x, y) == 2)
-    j = cells.join(other, ["object_id", "h", "pk"]).where(reads("sa", "tb") | reads("ta", "sb"))
-    self_pairs = F.when((F.col("sa") == F.col("ta")) & (F.col("sb") == F.col("tb")), F.col("n")).otherwise(0)
-    # every pair was met from both of its channels
-    total = F.sum(F.col("n") * F.col("m") - self_pairs)
-    return j.groupBy("object_id", "h").agg((total / 2).cast("bigint").alias("n")).where("n > 0")
+    families = list(dict.fromkeys(f for _, *two in pairs for f in two))
+    states = channel_states(act, families, hours)
+    at = {f: 1 << i for i, f in enumerate(families)}
+    recent = lambda f: F.col("recent").bitwiseAND(F.lit(at[f])) > 0
+    stale = lambda f: recent(f) & (F.col("now").bitwiseAND(F.lit(at[f])) == 0)
+    count = lambda x: F.sum(F.when(x, 1).otherwise(0))
+    sums = {}
+    for f in families:
+        sums[f"R_{f}"], sums[f"S_{f}"] = count(recent(f)), count(stale(f))
+    for a, b in dict.fromkeys((a, b) for _, a, b in pairs if a != b):
+        sums[f"RR_{a}_{b}"] = count(recent(a) & recent(b))
+        sums[f"RS_{a}_{b}"] = count(recent(a) & stale(b))
+        sums[f"SR_{a}_{b}"] = count(stale(a) & recent(b))
+        sums[f"SS_{a}_{b}"] = count(stale(a) & stale(b))
+    pickets = states.groupBy("object_id", "h", "pk").agg(*[c.alias(n) for n, c in sums.items()])
+    around = Window.partitionBy("object_id", "h").orderBy("pk").rangeBetween(-near, near)
+    met = lambda mine, others: F.col(mine) * F.sum(others).over(around)
+
+    def counted(a: str, b: str) -> Column:
+        one_way = met(f"R_{a}", f"R_{b}") - met(f"S_{a}", f"S_{b}")
+        if a == b:
+            return (one_way - F.col(f"R_{a}") + F.col(f"S_{a}")) / 2
+        rr, rs, sr, ss = (f"{x}_{a}_{b}" for x in ("RR", "RS", "SR", "SS"))
+        alone = F.col(rr) - F.col(ss)
+        both = met(rr, rr) - 2 * met(rs, sr) + met(ss, ss)
+        return one_way - alone - (both - alone) / 2
+
+    names = [pair_name(p) for p in pairs]
+    each = pickets.select("object_id", "h", *[counted(a, b).alias(n) for n, (_, a, b) in zip(names, pairs)])
+    # a half may belong to each of two pickets: whole numbers come after the sum
+    whole = each.groupBy("object_id", "h").agg(*[F.sum(n).cast("bigint").alias(n) for n in names])
+    return whole.where(F.greatest(*names, F.lit(0)) > 0)
+
+
+def pair_hours(act: DataFrame, pairs: list[tuple[str, str, str]], hours: int = PAIR_HOURS, near: int = PAIR_PICKETS) -> DataFrame:
+    """The counters of ``pair_counters`` as rows ``object_id, h, pair, n`` with
+    n above 0."""
+    wide = pair_counters(act, pairs, hours, near)
+    cells = F.array(*[F.struct(F.lit(n).alias("pair"), F.col(n).alias("n")) for n in map(pair_name, pairs)])
+    return wide.select("object_id", "h", F.inline(cells)).where("n > 0")
 
 
 def pair_features(act: DataFrame, pairs: list[tuple[str, str, str]], objects: DataFrame, lo: int, hi: int, windows=(6, 24, 168)) -> DataFrame:
     """Trailing sums of every pair counter; rows only where some window is not
     empty."""
-    parts = None
-    for tp, a, b in pairs:
-        p = pair_hours(act, a, b).withColumn("name", F.lit(f"{tp}_{a}_{b}"))
-        parts = p if parts is None else parts.unionByName(p)
-    names = [f"{tp}_{a}_{b}" for tp, a, b in pairs]
-    wide = parts.groupBy("object_id", "h").agg(*[F.sum(F.when(F.col("name") == n, F.col("n")).otherwise(0)).alias(n) for n in names])
+    names = [pair_name(p) for p in pairs]
     hours = F.explode(F.sequence(F.lit(lo).cast("bigint"), F.lit(hi - 1).cast("bigint")))
-    grid = objects.select("object_id").withColumn("h", hours).join(wide, ["object_id", "h"], "left").fillna(0, subset=names)
+    grid = objects.select("object_id").withColumn("h", hours).join(pair_counters(act, pairs), ["object_id", "h"], "left").fillna(0, subset=names)
     sums = G.trailing_sums(grid, ["object_id"], {n: list(windows) for n in names}, name="co_{c}_{w}h").drop(*names)
     longest = [F.col(f"co_{n}_{max(windows)}h") for n in names]
     return sums.where(F.greatest(*longest, F.lit(0.0)) > 0)
