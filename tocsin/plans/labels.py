@@ -13,6 +13,7 @@ from ..functions.rules import Vocabulary, any_sign, first_match
 from ..functions.timebase import DAY, HOUR, MINUTE, SECOND, year_of
 from ..operators.interval import interval_join
 from ..operators.scan import asof_join, distinct_within, sessions
+from ..operators.settle import settle
 
 
 @dataclass(frozen=True)
@@ -374,35 +375,44 @@ def fire_temp_only(eps: DataFrame, triggers: DataFrame, temperature_stype: str)
     )
 
 
-def service_sessions(guard: DataFrame, limit: int = DAY) -> DataFrame:
+def service_sessions(guard: DataFrame, limit: int = DAY, width: int = HOUR) -> DataFrame:
     """Pair disarm and arm of an object into sessions no longer than ``limit``.
     A repeated disarm does not move the start unless the open session is
     already older than the limit.
 
     The disarms between two arms form a block, found by a backward as-of to
-    the last arm; the block ends at the next arm.  Only blocks longer than the
-    limit need their disarms walked in order, and those hold no arm for a day.
+    the last arm; the block ends at the next arm.  In a block longer than the
+    limit every disarm points at the first one more than the limit later (an
+    as-of join in cells of ``width``), and pointers are followed by doubling:
+    as many joins as the longest block has binary digits of limits, a row per
+    disarm, and no block in one row or task.
     """
     arms = guard.where("armed").select("object_id", F.col("us").alias("arm_us"))
     offs = guard.where("not armed").select("object_id", "collector_id", "us").distinct()
-    ended = asof_join(offs, arms, ["object_id"], "us", "arm_us", {"arm_us": "t1"}, direction="forward", strict=True)
-    blocks = ended.groupBy("object_id", "collector_id", "t1").agg(
-        F.min("us").alias("first"),
-        F.max("us").alias("last"),
-    )
+    ended = asof_join(offs, arms, ["object_id"], "us", "arm_us", {"arm_us": "t1"}, direction="forward", strict=True, width=width)
+    block = ["object_id", "collector_id", "t1"]
+    blocks = ended.groupBy(*block).agg(F.min("us").alias("first"), F.max("us").alias("last"))
+    # no start is later than the last disarm
+    blocks = settle(blocks.where(F.col("t1") - F.col("last") <= limit))
     short = blocks.where(F.col("last") - F.col("first") <= limit).select(
         "object_id", "collector_id", F.col("first").alias("t0"), "t1"
     )
     long = blocks.where(F.col("last") - F.col("first") > limit)
-    walked = (
-        ended.join(long.select("object_id", "t1"), ["object_id", "t1"], "left_semi")
-        .groupBy("object_id", "collector_id", "t1")
-        .agg(F.sort_array(F.collect_list("us")).alias("_d"))
-        .select(
-            "object_id",
-            "collector_id",
-            F.aggregate("_d", F.element_at("_d", 1), lambda s, d: F.when(d - s > limit, d).otherwise(s)).alias("t0"),
-            "t1",
-        )
-    )
+    most = long.agg(F.max(F.floor((F.col("last") - F.col("first")) / limit))).first()[0]
+    if most is None:
+        return short.where(F.col("t1") - F.col("t0") <= limit)
+    nodes = ended.join(long.select(*block), block, "left_semi").select(*block, "us")
+    later = nodes.select(*block, F.col("us").alias("_n"))
+    due = nodes.withColumn("_due", F.col("us") + limit)
+    step = asof_join(due, later, block, "_due", "_n", {"_n": "to"}, direction="forward", strict=True, width=width).select(*block, "us", "to")
+    # the last disarms of a block, without a successor, have no row: pointers stop there
+    step = settle(step)
+    at = long.select(*block, F.col("first").alias("us"))
+    jumps = [step]
+    while 2 ** len(jumps) <= most:
+        far = jumps[-1].select(*block, F.col("us").alias("to"), F.col("to").alias("_z"))
+        jumps.append(settle(jumps[-1].join(far, [*block, "to"]).select(*block, "us", F.col("_z").alias("to"))))
+    for jump in reversed(jumps):
+        at = at.join(jump, [*block, "us"], "left").select(*block, F.coalesce("to", "us").alias("us"))
+    walked = at.select("object_id", "collector_id", F.col("us").alias("t0"), "t1")
     return short.unionByName(walked).where(F.col("t1") - F.col("t0") <= limit)
