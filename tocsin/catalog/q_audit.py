@@ -138,13 +138,17 @@ part("edges2", "", "SELECT s_suppkey // 3 AS parent, s_suppkey AS child FROM sup
 part("clo", "edges2", "SELECT s_suppkey AS ancestor, s_suppkey AS descendant, 0 AS depth FROM supplier UNION SELECT c.ancestor, e.child, c.depth + 1 FROM clo c JOIN edges2 e ON e.parent = c.descendant")
 
 
+def hierarchy(s: Site):
+    k = F.col("s_suppkey")
+    t = s.table("supplier")
+    e = t.where(k > 0).select(F.floor(k / 3).alias("parent"), k.alias("child"))
+    e = e.unionByName(t.where((k >= 9) & (k % 5 == 0)).select(F.floor(k / 9).alias("parent"), k.alias("child")))
+    return e, t.select(k.alias("code"))
+
+
 def closure(s: Site):
     if not hasattr(s, "_closure"):
-        k = F.col("s_suppkey")
-        t = s.table("supplier")
-        e = t.where(k > 0).select(F.floor(k / 3).alias("parent"), k.alias("child"))
-        e = e.unionByName(t.where((k >= 9) & (k % 5 == 0)).select(F.floor(k / 9).alias("parent"), k.alias("child")))
-        s._closure = A.group_closure(e, t.select(k.alias("code")))
+        s._closure = A.group_closure(*hierarchy(s))
     return s._closure
 
 
@@ -172,8 +176,9 @@ def access_scope(s: Site):
     users = s.spark.createDataFrame([(u, u == 5) for u in range(1, 6)], "user_id int, sees_all boolean")
     assigned = s.spark.createDataFrame([(u, x) for u in range(1, 6) for x in (u, u * 7)], "user_id int, object_id bigint")
     rows = s.table("lineitem").select(F.col("l_suppkey").alias("object_id"), "l_quantity")
-    seen = A.access_scope(rows, users, assigned, closure(s))
-    return seen.groupBy("user_id").agg(F.count(F.lit(1)).alias("rows"), F.sum("l_quantity").alias("quantity"))
+    numbers = A.tree_numbers(*hierarchy(s))
+    spans = A.scope_spans(users, assigned, closure(s), numbers)
+    return A.scope_totals(rows, spans, numbers, {"quantity": F.sum("l_quantity")})
 
 
 @query(

@@ -9,6 +9,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..operators.scan import running_total
 from ..operators.settle import settle
 
 # fixed values of the audit journal
@@ -234,17 +235,81 @@ def permission_mask(grants: DataFrame) -> DataFrame:
     return g.groupBy("grp", "resource").agg(F.bit_or(bit).alias("mask"))
 
 
-def access_scope(rows: DataFrame, users: DataFrame, assigned: DataFrame, closure: DataFrame) -> DataFrame:
-    """Rows each user may see: all of them, or those of the assigned objects
-    and what lies below.  ``users``: user_id, sees_all; ``assigned``: user_id,
-    object_id; ``closure``: ancestor, descendant."""
-    below = assigned.join(closure.withColumnRenamed("ancestor", "object_id"), "object_id").select("user_id", F.col("descendant").alias("object_id"))
-    limited = below.join(users.where("not sees_all"), "user_id").select("user_id", "object_id").distinct()
-    own = rows.join(limited, "object_id")
-    # users who see everything are few people: one array rides on every row
-    free = users.where("sees_all").agg(F.collect_list("user_id").alias("_u")).withColumn("_k", F.lit(1))
-    whole = rows.withColumn("_k", F.lit(1)).join(free, "_k").withColumn("user_id", F.explode("_u"))
-    return own.unionByName(whole.select(*own.columns))
+#: The number of rows whose object no hierarchy names.
+UNKNOWN = -1
+
+
+def tree_numbers(edges: DataFrame, codes: DataFrame, width: int = 4096) -> DataFrame:
+    """Each code's place in a walk through the hierarchy: ``code, parent, enter,
+    leave``; the codes below it and itself have the numbers from ``enter`` up
+    to, but without, ``leave``.  Of several parents the least is the tree's.
+
+    A code's number is the sum, over it and its ancestors, of one and the sizes
+    of earlier siblings' subtrees; siblings are summed in cells of ``width``.
+    """
+    known = codes.select("code").where("code IS NOT NULL").distinct()
+    ends = known.withColumnRenamed("code", "parent")
+    real = edges.where("parent <> child").join(ends, "parent", "left_semi")
+    tree = real.groupBy(F.col("child").alias("code")).agg(F.min("parent").alias("parent"))
+    below = group_closure(tree.select("parent", F.col("code").alias("child")), known)
+    sizes = below.groupBy(F.col("ancestor").alias("code")).agg(F.count(F.lit(1)).alias("_size"))
+    nodes = settle(known.join(tree, "code", "left").join(sizes, "code").withColumn("_up", F.coalesce("parent", F.lit(UNKNOWN))))
+    sums = running_total(nodes, ["_up"], "code", [], "_size", "_upto", width)
+    step = sums.select(F.col("code").alias("ancestor"), (F.col("_upto") - F.col("_size") + 1).alias("_step"))
+    enter = below.join(step, "ancestor").groupBy(F.col("descendant").alias("code")).agg((F.sum("_step") - 1).alias("enter"))
+    return settle(nodes.join(enter, "code").select("code", "parent", "enter", (F.col("enter") + F.col("_size")).alias("leave")))
+
+
+def scope_spans(users: DataFrame, assigned: DataFrame, closure: DataFrame, numbers: DataFrame) -> DataFrame:
+    """What each user may see as disjoint ranges of numbers: ``user_id, enter,
+    leave``.  A user who sees everything has one range, unknown objects within;
+    others have one for each object in their scope whose tree parent is not.
+    ``users``: user_id, sees_all; ``assigned``: user_id, object_id; ``closure``:
+    ancestor, descendant."""
+    free = users.where("sees_all").select("user_id").distinct()
+    bound = users.where("not sees_all").join(free, "user_id", "left_anti").select("user_id").distinct()
+    mine = assigned.join(bound, "user_id", "left_semi").join(closure.withColumnRenamed("ancestor", "object_id"), "object_id")
+    scope = mine.select("user_id", F.col("descendant").alias("code")).distinct().join(numbers, "code")
+    tops = scope.join(scope.select("user_id", F.col("code").alias("parent")), ["user_id", "parent"], "left_anti")
+    n = numbers.count()
+    whole = free.select("user_id", F.lit(UNKNOWN).cast("bigint").alias("enter"), F.lit(n).cast("bigint").alias("leave"))
+    return tops.select("user_id", "enter", "leave").unionByName(whole)
+
+
+def scope_totals(rows: DataFrame, spans: DataFrame, numbers: DataFrame, sums: dict[str, Column], width: int = 4096) -> DataFrame:
+    """Sums over the rows each user may see.  Rows collapse to one per object,
+    running sums go over the objects' numbers, and a range is the difference of
+    two of them: no row is copied for a user.  Users who see no row are left out.
+    ``rows``: object_id and what ``sums`` reads."""
+    names = ["_rows", *sums]
+    each = rows.groupBy(F.col("object_id").alias("code")).agg(F.count(F.lit(1)).alias("_rows"), *[c.alias(k) for k, c in sums.items()])
+    at = F.coalesce("enter", F.lit(UNKNOWN)).alias("_at")
+    empty = numbers.select("enter").unionByName(numbers.sparkSession.range(1).select(F.lit(UNKNOWN).cast("bigint").alias("enter")))
+    found = each.join(numbers.select("code", "enter"), "code", "left").select(at, *names)
+    points = found.unionByName(empty.select(F.col("enter").alias("_at")), allowMissingColumns=True)
+    points = points.groupBy("_at").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names])
+    cell = F.floor(F.col("_at") / width)
+    inside = Window.partitionBy("_c").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    # one row per cell
+    over = Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    points = settle(points.withColumn("_c", cell))
+    base = points.groupBy("_c").agg(*[F.sum(c).alias(f"_s_{c}") for c in names]).withColumns({f"_s_{c}": F.coalesce(F.sum(f"_s_{c}").over(over), F.lit(0)) for c in names})
+    upto = points.withColumns({f"_i_{c}": F.sum(c).over(inside) for c in names}).join(base, "_c")
+    ends = lambda key, less: upto.select(F.col("_at").alias(key), *[(F.col(f"_i_{c}") + F.col(f"_s_{c}") - (F.col(c) if less else F.lit(0))).alias(f"{key}{c}") for c in names])
+    j = spans.select("user_id", F.col("enter").alias("_a"), (F.col("leave") - 1).alias("_b")).join(ends("_a", True), "_a").join(ends("_b", False), "_b")
+    got = j.groupBy("user_id").agg(*[F.sum(F.col(f"_b{c}") - F.col(f"_a{c}")).alias(c) for c in names])
+    return got.where("_rows > 0").withColumnRenamed("_rows", "rows")
+
+
+def visible_rows(rows: DataFrame, numbers: DataFrame, spans: list[tuple[int, int]]) -> DataFrame:
+    """The rows one user may see: a range test on the number of a row's object.
+    ``spans`` are that user's, as a session keeps them."""
+    if any(a <= UNKNOWN for a, _ in spans):
+        return rows
+    test = F.lit(False)
+    for a, b in spans:
+        test = test | ((F.col("enter") >= a) & (F.col("enter") < b))
+    return rows.join(numbers.where(test).select(F.col("code").alias("object_id")), "object_id", "left_semi")
 
 
 def work_intervals(days: DataFrame, leave: DataFrame) -> DataFrame:
