@@ -6,8 +6,10 @@ from ..functions.timebase import HOUR, ORIGIN_US
 from ..operators.settle import settle
 from ..plans import metrics as M
 from ..plans import study as S
+from ..plans.features import feature_groups
 from .q_alarms import curve
-from .q_features import past, since_sql
+from .q_features import KEYS as COUNTERS
+from .q_features import TYPES, nudged, past, since_sql
 from .q_metrics import K
 from .registry import part, query
 from .site import BY, SCORED, SHARE, Site
@@ -222,21 +224,55 @@ def seed_sweep(s: Site):
 
 
 # ---- drift: reference = the first stretch of valid hours, then 24-hour windows
-DRIFT = ["events_24h", "smoke_24h", "door_24h", "hour"]
 REF_H, WIN_H = 100, 24
+KEYS_OF_MART = {"object_id", "collector_id", "h", "ts", "year"}
 
 
-def drift_frame(s: Site):
-    end = s.bounds[0] + 168 + REF_H
-    return settle(S.feature_drift(S.unpivot_features(s.mart, DRIFT), end, REF_H, WIN_H, 2))
+def drift_features(s: Site):
+    """Every feature of the mart."""
+    return [c for c in s.mart.columns if c not in KEYS_OF_MART and not c.startswith("next_")]
 
 
+def drift_frame(s: Site):
+    if not hasattr(s, "_drift"):
+        end = s.bounds[0] + 168 + REF_H
+        cols = drift_features(s)
+        # sums in another order differ in the last place: both sides round
+        rows = s.mart.select("h", *[nudged(F.col(c).cast("double")).alias(c) for c in cols])
+        s._drift = settle(S.feature_drift(rows, cols, end, REF_H, WIN_H, 2))
+    return s._drift
+
+
+def mean_sql(c, w):
+    return f"{past(f'sum({c}_sum)', w)} / nullif({past(f'sum({c}_n)', w)}, 0)"
+
+
+ONSETS = [f"onset_{t}" for t in TYPES] + ["noise_fire", "noise_flood"]
+WIDE = {f"{c}_{w}h": past(f"sum({c})", w) for c in COUNTERS for w in (1, 6, 24, 168)}
+WIDE |= {f"events_{w}h": past("sum(n_events)", w) for w in (1, 6, 24, 168)}
+WIDE |= {f"channels_{w}h": f"{past('sum(n_channels)', w)} / {w}" for w in (1, 6, 24, 168)}
+WIDE |= {f"gas_max_{w}h": past("max(gas_max)", w) for w in (1, 6, 24, 168)}
+WIDE |= {f"{c}_mean_{w}h": mean_sql(c, w) for c in ("gas", "temp") for w in (1, 24, 168)}
+WIDE |= {f"temp_{f}_{w}h": past(f"{f}(temp_{f})", w) for f in ("max", "min") for w in (24, 168)}
+WIDE |= {f"since_{n}": since_sql(x) for n, x in (("event", "n_events > 0"), ("temp", "temp_n > 0"), ("guard", "arm + disarm > 0"), ("visit", "visit > 0"))}
+WIDE |= {f"since_{t}": since_sql(f"onset_{t} > 0") for t in TYPES}
+WIDE |= {"armed": "last_value(guard_last IGNORE NULLS) OVER (PARTITION BY object_id ORDER BY h)"}
+WIDE |= {f"{c}_{w}h": past(f"sum({c})", w) for c in ONSETS for w in (24, 168, 720, 2160)}
+WIDE |= {f"trig_{t}_{w}h": past(f"sum(trig_{t})", w) for t in TYPES for w in (1, 6, 24)}
+WIDE |= {f"{c}_{w}h": past(f"sum({c})", w) for c in ("arrival", "visit") for w in (24, 168)}
+WIDE |= {f"{c}_trend": f"{mean_sql(c, 24)} - {mean_sql(c, 168)}" for c in ("gas", "temp")}
+part("wide", "g", "SELECT object_id, collector_id, h, " + ", ".join(f"CAST({x} AS DOUBLE) AS {n}" for n, x in WIDE.items()) + " FROM g")
+TOGETHER = ONSETS + [f"trig_{t}" for t in TYPES]
+part("collw", "g", "SELECT collector_id, h, " + ", ".join(f"CAST({past(f'sum({c})', w, 'collector_id')} AS DOUBLE) AS coll_{c}_{w}h" for c in TOGETHER for w in (24, 168)) + " FROM (SELECT collector_id, h, " + ", ".join(f"sum({c}) AS {c}" for c in TOGETHER) + " FROM g GROUP BY 1, 2)")
 part(
     "dlong",
-    "smart counters_w cal lim",
-    f"SELECT h - lo - 268 AS r, u.feature, u.v FROM (SELECT s.object_id, s.h, events_24h, smoke_24h, door_24h, hour FROM smart s JOIN counters_w USING (object_id, h) JOIN cal USING (h)) z, lim, LATERAL (SELECT unnest(['events_24h', 'smoke_24h', 'door_24h', 'hour']) AS feature, unnest([CAST(events_24h AS DOUBLE), smoke_24h, door_24h, hour]) AS v) u",
+    "wide valid collw cal comp lim",
+    """SELECT r, feature, round(v + 1e-9, 6) AS v FROM (UNPIVOT (SELECT h - lo - 268 AS r, CAST(COLUMNS(* EXCLUDE (object_id, collector_id, h, lo, hi)) AS DOUBLE)
+ FROM wide JOIN valid USING (object_id, h) JOIN collw USING (collector_id, h) JOIN cal USING (h) JOIN comp USING (object_id), lim WHERE events_168h > 0) ON COLUMNS(* EXCLUDE (r)) INTO NAME feature VALUE v)""",
 )
-part("counters_w", "g", f"SELECT object_id, h, CAST({past('sum(smoke)', 24)} AS DOUBLE) AS smoke_24h, CAST({past('sum(door)', 24)} AS DOUBLE) AS door_24h FROM g")
+FAMILY_SQL = """CASE WHEN feature IN ('hour', 'dow', 'month', 'doy_sin', 'doy_cos', 'holiday', 'long_holiday', 'may9', 'days_to_holiday') THEN 'calendar' WHEN feature LIKE 'comp\\_%' ESCAPE '\\' THEN 'composition' WHEN feature LIKE 'coll\\_%' ESCAPE '\\' THEN 'collector'
+ WHEN regexp_matches(feature, '^(onset|noise)_') OR feature IN ('since_fire', 'since_gas', 'since_flood', 'since_equipment', 'since_sensor', 'since_intrusion') THEN 'history' WHEN feature LIKE 'trig\\_%' ESCAPE '\\' THEN 'triggers'
+ WHEN regexp_matches(feature, '^(gas|temp)_(max|min|mean|trend)') OR feature = 'since_temp' THEN 'readings' WHEN regexp_matches(feature, '^(armed|since_guard|arrival|visit|since_visit)') THEN 'guard' ELSE 'counters' END"""
 part("dref", "dlong", "SELECT feature, v FROM dlong WHERE r >= -100 AND r < 0")
 part("dcur", "dlong", "SELECT feature, r // 24 + 1 AS lag, v FROM dlong WHERE r >= 0 AND r < 48")
 part("dbin", "dref", "SELECT feature, list_sort(list_distinct(quantile_cont(v, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS q, list_sort(list(DISTINCT v)) AS u FROM dref GROUP BY feature")
@@ -254,18 +290,24 @@ def feature_drift(s: Site):
     return drift_frame(s).withColumns(r6("psi"))
 
 
-@query("drift_families", "dpsi", "SELECT CASE feature WHEN 'hour' THEN 'calendar' ELSE 'counters' END AS family, lag, round(median(psi), 6) AS median_psi, count(*) AS features FROM dpsi GROUP BY 1, 2")
+@query("drift_families", "dpsi", f"SELECT {FAMILY_SQL} AS family, lag, round(median(psi), 6) AS median_psi, count(*) AS features FROM dpsi GROUP BY 1, 2")
 def drift_families(s: Site):
     return S.family_drift(drift_frame(s), families(s)).withColumns(r6("median_psi"))
 
 
+@query("drift_fastest", "dpsi", f"SELECT feature, {FAMILY_SQL} AS family, round(psi, 6) AS psi FROM dpsi WHERE lag = 2 ORDER BY round(psi, 6) DESC, feature LIMIT 15")
+def drift_fastest(s: Site):
+    return S.drift_fastest(drift_frame(s), families(s), 2).withColumns(r6("psi"))
+
+
 @query("drift_crossings", "dpsi", "SELECT feature, min(lag) FILTER (psi >= 0.1) AS moderate, min(lag) FILTER (psi >= 0.25) AS strong, round(max(psi), 6) AS worst FROM dpsi GROUP BY 1")
 def drift_crossings(s: Site):
     return S.drift_crossings(drift_frame(s)).withColumns(r6("worst"))
 
 
 def families(s: Site):
-    return s.spark.createDataFrame([(f, "calendar" if f == "hour" else "counters") for f in DRIFT], "feature string, family string")
+    groups = feature_groups(drift_features(s), TYPES)
+    return s.spark.createDataFrame([(f, g) for g, fs in groups.items() for f in fs], "feature string, family string")
 
 
 @query(
