@@ -295,7 +295,7 @@ def drift_families(s: Site):
     return S.family_drift(drift_frame(s), families(s)).withColumns(r6("median_psi"))
 
 
-@query("drift_fastest", "dpsi", f"SELECT feature, {FAMILY_SQL} AS family, round(psi, 6) AS psi FROM dpsi WHERE lag = 2 ORDER BY round(psi, 6) DESC, feature LIMIT 15")
+@query("drift_fastest", "dpsi", f"SELECT feature, {FAMILY_SQL} AS family, round(psi, 6) AS psi FROM dpsi QUALIFY lag = 2 AND row_number() OVER (PARTITION BY lag ORDER BY round(psi, 6) DESC, feature) <= 15")
 def drift_fastest(s: Site):
     return S.drift_fastest(drift_frame(s), families(s), 2).withColumns(r6("psi"))
 
