@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +17,10 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 2 << 20
 
 
+#: Lists that take the paths of the stages written while they are open.
+NOTED: ContextVar[tuple[list[str], ...]] = ContextVar("NOTED", default=())
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the session names in ``spark.checkpoint.dir``; where it is
     unset, as in tests, one under the warehouse, which all executors share too."""
@@ -27,10 +33,39 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     again: computed once, without lineage, and there when an executor is lost."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    for paths in NOTED.get():
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete folders of stages that nothing reads any more."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def noted() -> Iterator[list[str]]:
+    """The paths of all stages that are written inside the block."""
+    paths: list[str] = []
+    token = NOTED.set((*NOTED.get(), paths))
+    try:
+        yield paths
+    finally:
+        NOTED.reset(token)
+
+
+def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` gives, written as a stage; the stages that it wrote on the way are then removed."""
+    with noted() as paths:
+        df = make()
+    out = stage(df, name)
+    remove(spark, paths)
+    return out
+
+
 def narrow(df: DataFrame, id: str, text: str) -> DataFrame:
     """Only the two columns that an operator reads, under its own names, so that
     other columns of the table cannot clash with what it adds."""

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import settled, stage
 
 
 def star(links: DataFrame, large: bool) -> DataFrame:
@@ -39,7 +39,8 @@ def components(links: DataFrame) -> DataFrame:
     before, is_now = None, mark(now)
     while before != is_now and is_now[0]:
         before = is_now
-        now = stage(star(stage(star(now, True), "large"), False), "small")
+        last = now
+        now = settled(links.sparkSession, "small", lambda: star(stage(star(last, True), "large"), False))  # noqa: B023
         is_now = mark(now)
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import narrow, slices, stage
+from .common import narrow, settled, slices, stage
 from .components import components
 
 WORDS, SIMILARITY = 5, 75  # words in a shingle; similarity in hundredths
@@ -282,7 +282,13 @@ def across(nodes: DataFrame, first: DataFrame, tested: DataFrame, df: DataFrame,
 
 
 def groups(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every row of ``df``; ids are longs."""
+    """``doc_id, n_shingles, component_id, kept`` of every row of ``df``; ids are longs.
+    The result is a written stage; the tables that led to it are removed."""
+    return settled(df.sparkSession, "groups", lambda: grouped(df, id, text))
+
+
+def grouped(df: DataFrame, id: str, text: str) -> DataFrame:
+    spark = df.sparkSession
     marks = stage(signatures(df, id, text), "signatures")
     classes = marks.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"))
     classes = stage(classes, "classes")
@@ -292,9 +298,9 @@ def groups(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     short = nodes.select("node", "signature")
     tested = stage(pivot_pairs(buckets), "pivots")
     signed = tested.join(short.select(F.col("node").alias("a"), F.col("signature").alias("sa")), "a").join(short.select(F.col("node").alias("b"), F.col("signature").alias("sb")), "b").select("a", "b", "sa", "sb")
-    links = stage(confirmed(agreeing(signed), df, id, text), "confirmed")
-    first = components(links)
-    more = confirmed(across(nodes, first, tested, df, id, text), df, id, text)
+    links = settled(spark, "confirmed", lambda: confirmed(agreeing(signed), df, id, text))
+    first = settled(spark, "first", lambda: components(links))
+    more = settled(spark, "confirmed", lambda: confirmed(across(nodes, first, tested, df, id, text), df, id, text))
     whole = components(links.unionByName(more)).withColumnRenamed("component", "least")
     named = classes.join(whole, "node", "left").select("digest", F.coalesce("least", "node").alias("least"))
     out = marks.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
