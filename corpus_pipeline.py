@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tocsin.llm import language, near_duplicates, packing, pseudonyms
-from tocsin.llm.common import stage
+from tocsin.llm import bloom, language, near_duplicates, packing, pseudonyms
+from tocsin.llm.common import noted, remove, settled, stage
 
 #: Least score for a language: the labelled rows have 0.36 and more, junk and Polish, Turkish,
 #: Finnish or Italian texts 0.18 to 0.30.  Near relatives (Dutch: 0.32 and more) may pass.
@@ -23,13 +23,17 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The least document of each group of near-duplicates; of rows with one id, one.
-    Rows without an id stay."""
-    groups = stage(near_duplicates.groups(docs), "groups")
-    copies = groups.where("not kept").select(F.col("doc_id").alias("of")).distinct()
-    again = groups.where("kept").groupBy(F.col("doc_id").alias("of")).count().where("count > 1").select("of")
-    left = docs.join(copies, docs["doc_id"] == F.col("of"), "left_anti")
-    once = left.join(again, left["doc_id"] == F.col("of"), "left_anti")
-    return once.unionByName(left.join(again, left["doc_id"] == F.col("of"), "left_semi").dropDuplicates(["doc_id"]))
+    Rows without an id stay.  A Bloom filter tells the rows whose id is surely not
+    concerned; they stay where they are, and only the others' texts are shuffled."""
+    groups = near_duplicates.groups(docs)
+    copies = groups.where("not kept and doc_id is not null").select("doc_id").distinct().withColumn("goes", F.lit(True))
+    again = groups.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(False).alias("goes"))
+    concerned = stage(copies.unionByName(again).groupBy(F.col("doc_id").alias("of")).agg(F.max("goes").alias("goes")), "concerned")
+    table, blocks = bloom.build(concerned, "of", concerned.count())
+    marked = bloom.possible(docs.withColumn("_row", F.struct(*docs.columns)).select("_row"), F.col("_row.doc_id"), stage(table, "filter"), blocks)
+    met = marked.where("maybe").join(concerned, F.col("_row.doc_id") == F.col("of"), "left")
+    once = met.where("not goes").select("of", "_row").dropDuplicates(["of"])
+    return marked.where("not maybe").select("_row.*").unionByName(met.where("goes is null").select("_row.*")).unionByName(once.select("_row.*"))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,6 +53,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before: list[str] = []
     for name, fn in STAGES[:-1]:
-        docs = stage(fn(spark, docs, sf_dir), f"stage-{name}")
+        read = docs
+        with noted() as written:
+            docs = settled(spark, f"stage-{name}", lambda: fn(spark, read, sf_dir))  # noqa: B023
+        remove(spark, before)  # the next stage reads this one's table only
+        before = written
     return STAGES[-1][1](spark, docs, sf_dir)
