@@ -18,10 +18,11 @@ from __future__ import annotations
 import codecs
 import re
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
@@ -32,6 +33,8 @@ SPACE = "▁"
 CACHE, CACHED_LENGTH = 300_000, 48
 #: Pairs of pieces whose compatibility is kept.
 PAIRS = 1_000_000
+#: Ids whose bytes are gathered in one step.
+GATHERED = 1 << 18
 PROBE = "ﬁÅÅ①Ａ  　x \ty "
 
 codecs.register_error("one_byte", lambda e: ("�", e.start + 1))
@@ -61,6 +64,11 @@ class PieceTable:
             elif not sp.is_control(i):
                 self.piece[i], self.score[i], self.id_of[piece] = piece, sp.get_score(i), i
                 self.bytes_of[i] = piece.replace(SPACE, " ").encode()
+        #: each id's bytes in a row of equal width, and which of them count
+        self.width = np.array([len(b) for b in self.bytes_of])
+        self.padded = np.array(self.bytes_of, f"S{max(1, self.width.max())}").view(np.uint8).reshape(n, -1)
+        self.counts = np.arange(self.padded.shape[1]) < self.width[:, None]
+        self.spaced = np.array([p.startswith(SPACE) for p in self.piece])
         if not all(c in self.id_of for p in self.id_of for c in p):
             raise ValueError("each character of a piece must be a piece")
         self.pairs = {p[k : k + 2] for p in self.id_of for k in range(len(p) - 1)}
@@ -165,11 +173,23 @@ class PieceTable:
         return b"".join(out)
 
     def decode(self, ids: list[int]) -> str:
-        """The text of ids; without the blank that encoding puts in front."""
-        data = b"".join(map(self.bytes_of.__getitem__, ids))
-        if self.piece[next((i for i in ids if self.bytes_of[i]), 0)].startswith(SPACE):
-            data = data[1:]
-        return data.decode("utf-8", "one_byte")
+        return self.texts(pa.array([ids], pa.list_(pa.int32())))[0]
+
+    def texts(self, ids: pa.ListArray) -> list[str]:
+        """The text of each row's ids, without the blank that encoding puts in front; null rows have none."""
+        length = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+        flat = ids.flatten().to_numpy(zero_copy_only=False)
+        parts = [flat[k : k + GATHERED] for k in range(0, len(flat), GATHERED)]
+        data = b"".join([self.padded[p][self.counts[p]].tobytes() for p in parts])
+        place = np.concatenate([[0], np.cumsum(self.width[flat])])
+        first = np.concatenate([[0], np.cumsum(length)])
+        out = []
+        for a, b in zip(first.tolist(), first[1:].tolist(), strict=False):
+            begin, end = int(place[a]), int(place[b])
+            if end > begin:  # the id that gives the first byte
+                begin += bool(self.spaced[flat[np.searchsorted(place, begin, "right") - 1]])
+            out.append(data[begin:end].decode("utf-8", "one_byte"))
+        return out
 
 
 TABLES: dict[str, PieceTable] = {}
@@ -181,30 +201,34 @@ def table(path: str) -> PieceTable:
     return TABLES[path]
 
 
-def encode(df: DataFrame, model: str, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, ids``: the ids of every whole text, without begin and end ids."""
+def encode(df: DataFrame, model: str, id: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
+    """``doc_id, ids``: the ids of every whole text, without begin and end ids; with
+    ``decoded`` also the text of the ids, made in the same pass."""
     src = narrow(df, id, text)
+    more = [StructField("decoded", StringType())] if decoded else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = table(model)
         for whole in batches:
             for b in slices(whole):
-                yield pa.RecordBatch.from_arrays([b.column(0), int_lists([t.encode(x) for x in b.column(1).to_pylist()])], ["doc_id", "ids"])
+                ids = int_lists([t.encode(x) for x in b.column(1).to_pylist()])
+                texts = [pa.array(t.texts(ids), pa.string())] if decoded else []
+                yield pa.RecordBatch.from_arrays([b.column(0), ids, *texts], ["doc_id", "ids", *(f.name for f in more)])
 
-    return src.mapInArrow(run, StructType([src.schema["doc_id"], StructField("ids", ArrayType(IntegerType()))]))
+    return src.mapInArrow(run, StructType([src.schema["doc_id"], StructField("ids", ArrayType(IntegerType())), *more]))
 
 
 def decode(df: DataFrame, model: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` and its ids' text in a column ``out``; null ids are taken as none."""
     at = df.columns.index(ids)
     fields = [f for f in df.schema.fields if f.name != out]
-    keep: list[Callable] = [df.columns.index(f.name) for f in fields]
+    keep = [df.columns.index(f.name) for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = table(model)
         for whole in batches:
-            for b in slices(whole, at, 1 << 18):
-                texts = pa.array([t.decode(x or []) for x in b.column(at).to_pylist()], pa.string())
+            for b in slices(whole, at, GATHERED):
+                texts = pa.array(t.texts(b.column(at)), pa.string())
                 yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), texts], [*(f.name for f in fields), out])
 
     return df.mapInArrow(run, StructType([*fields, StructField(out, StringType())]))
