@@ -7,9 +7,8 @@ from ..plans import alarms as A
 from ..plans import models as P
 from .q_metrics import K
 from .registry import part, query
-from .site import BY, SHARE, SPLIT_H, Site
+from .site import BY, SCORED, SHARE, SPLIT_H, Site
 
-FEATURES = ["events_24h", "events_168h", "smoke_24h", "gas_mean_24h", "temp_mean_24h", "since_fire", "since_equipment", "onset_fire_168h", "onset_equipment_168h", "trig_equipment_24h", "hour", "dow"]
 NULLABLE = ["gas_mean_24h", "temp_mean_24h"]
 TARGET = "next_equipment"
 
@@ -42,29 +41,33 @@ def baseline_rules(s: Site):
     return b.select("object_id", "h", F.round("rules", 6).alias("rules"), "recency")
 
 
-def labelled(s: Site):
-    y = (F.col(TARGET) <= 24).cast("double")
-    return weeks(s).withColumn("y", y)
+#: Fixed order of all types of the journal; those without incidents stay as rows without a score.
+TYPES = ["fire", "gas", "flood", "equipment", "sensor", "intrusion"]
+COMMON = ["events_24h", "events_168h", "smoke_24h", "gas_mean_24h", "temp_mean_24h", "hour", "dow"]
+VAL_HOURS = 72
+
+
+def features_of(t: str) -> list[str]:
+    """What all types read, and the type's own counters beside those of its neighbours."""
+    return [*COMMON, *(f"since_{x}" for x in TYPES), *(f"onset_{x}_168h" for x in TYPES), f"trig_{t}_24h"]
 
 
 def fitted(s: Site):
+    """One model a type; the last days before the split are validation, a horizon apart."""
     if not hasattr(s, "_gbt"):
-        rows = settle(labelled(s).where("split = 'train'").withColumn("is_val", F.col("h") % 4 == 0).withColumn("w", F.when(F.col("y") > 0, 2.0).otherwise(1.0)))
-        s._gbt = P.train_gbt(rows, FEATURES, NULLABLE, "y", "w", "is_val", trees=8, depth=4)
+        rows = weeks(s).where("split = 'train'")
+        s._gbt = P.train_types(rows, TYPES, features_of, NULLABLE, s.bounds[0] + SPLIT_H - VAL_HOURS, trees=8, depth=4)
     return s._gbt
 
 
 @query("train_gbt")
 def train_gbt(s: Site):
-    model, _ = fitted(s)
-    out = P.score(model, labelled(s).where("split = 'test'"), FEATURES, NULLABLE)
-    return out.select("object_id", "h", F.col(TARGET).alias("next"), "p")
+    return P.score_types(fitted(s), weeks(s).where("split = 'test'"), features_of, NULLABLE)
 
 
 @query("importance_table")
 def importance_table(s: Site):
-    model, names = fitted(s)
-    return P.importance_table(s.spark, model, names)
+    return P.importance_of_types(s.spark, fitted(s))
 
 
 @query(
@@ -211,21 +214,18 @@ def cascade_features(s: Site):
 
 @query("cascade_oof")
 def cascade_oof(s: Site):
-    rows = second(s).where("type = 'gas'").withColumn("label", F.col("y").cast("double"))
-    out = P.second_stage(rows, "h", ["p", "near", "run_hours", "disarmed", "visiting"], "label", 3, 0.95)
-    return out.select("object_id", "h", "split", "y", "oof", "passed", "unscored")
+    """Every type's second stage; folds keep the horizon of a target apart."""
+    rows = second(s).withColumn("label", F.col("y").cast("double"))
+    out = P.second_stages(rows, SCORED, "h", ["p", "near", "run_hours", "disarmed", "visiting"], "label", 3, 0.95, gap=24)
+    return out.select("type", "object_id", "h", "split", "y", "oof", "passed", "unscored")
 
 
 @query("walk_forward")
 def walk_forward(s: Site):
-    """Five days' folds over the whole period, for all strategies; early folds
+    """Five days' folds over the whole period, for all types and strategies; folds
     without enough positives stay as rows without a score."""
     lo, hi = s.bounds
-    out = None
-    for st in ("all", "d10", "decay5", "frozen", "thrfix"):
-        w = P.walk_forward(s.mart, "equipment", FEATURES, NULLABLE, lo + 120, hi, 120, st, val_hours=48, trees=4, depth=3)
-        out = w if out is None else out.unionByName(w)
-    return out
+    return P.walks(s.mart, TYPES, ("all", "d10", "decay5", "frozen", "thrfix"), features_of, NULLABLE, lo + 120, hi, 120, val_hours=48, trees=4, depth=3)
 
 
 part(
@@ -251,9 +251,10 @@ def notice_filter_features(s: Site):
 
 @query("notice_filter_oof")
 def notice_filter_oof(s: Site):
-    rows = P.notice_features(s.episodes, s.triggers, s.noise).where("type = 'sensor'")
-    rows = rows.withColumns({c: F.col(c).cast("double") for c in P.NOTICE_FEATURES})
-    out = P.second_stage(settle(rows), "t0", P.NOTICE_FEATURES, "real", 3, 0.95)
+    """Every type's filter of notices by what is known ten minutes after the start."""
+    rows = P.notice_features(s.episodes, s.triggers, s.noise)
+    rows = settle(rows.withColumns({c: F.col(c).cast("double") for c in P.NOTICE_FEATURES}))
+    out = P.second_stages(rows, TYPES, "t0", P.NOTICE_FEATURES, "real", 3, 0.95)
     return out.select("object_id", "type", "t0", "real", "oof", "passed", "unscored")
 
 

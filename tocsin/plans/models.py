@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.timebase import DAY, HOUR, MINUTE, ts_of
 from ..operators.interval import interval_join
@@ -72,6 +76,65 @@ def score(model, rows: DataFrame, features: list[str], nullable: list[str], out:
     return p.select("_row.*", out)
 
 
+def each(spark: SparkSession, keys: Iterable, job: Callable, at_once: int = 4) -> dict:
+    """``job`` of every key, ``at_once`` at a time.  Fits do not read each other, so
+    their small stages share the executors instead of waiting in a row."""
+    keys = list(keys)
+    with ThreadPoolExecutor(at_once) as pool:
+        return dict(zip(keys, pool.map(lambda k: inheritable_thread_target(spark)(job)(k), keys), strict=True))
+
+
+def later_block(rows: DataFrame, first: int, horizon: int) -> DataFrame:
+    """Validation is the block from hour ``first`` on (``is_val``).  Hours whose targets
+    look into it belong to neither side and go."""
+    h = F.col("h")
+    return rows.where((h < first - horizon) | (h >= first)).withColumn("is_val", h >= first)
+
+
+def train_types(
+    rows: DataFrame, types: Iterable[str], features: Callable[[str], list[str]], nullable: list[str], first: int, horizon: int = 24,
+    least: int = 5, weight: float = 2.0, **settings,
+) -> dict[str, tuple | str]:
+    """A model and its names for every type, from one table of features and targets;
+    the reason where a type has too few rows of a class before the validation block."""
+    types, blocks = list(types), settle(later_block(rows, first, horizon))
+    hit = lambda t: F.coalesce((F.col(f"next_{t}") <= horizon).cast("double"), F.lit(0.0))
+    seen = blocks.where(~F.col("is_val")).agg(F.count(F.lit(1)).alias("n"), *(F.sum(hit(t)).alias(t) for t in types)).first()
+
+    def fit(t: str):
+        if not seen["n"] or seen[t] < least or seen["n"] - seen[t] < least:
+            return "too few rows of a class"
+        data = blocks.select(*features(t), "is_val", hit(t).alias("y")).withColumn("w", F.when(F.col("y") > 0, weight).otherwise(1.0))
+        return train_gbt(data, features(t), nullable, "y", "w", "is_val", **settings)
+
+    return each(rows.sparkSession, types, fit)
+
+
+def score_types(models: dict[str, tuple | str], rows: DataFrame, features: Callable[[str], list[str]], nullable: list[str]) -> DataFrame:
+    """``type, object_id, h, next, p, unscored`` of every row and type; without a model
+    ``p`` is NULL and ``unscored`` says why."""
+    out = None
+    for t, model in models.items():
+        if isinstance(model, str):
+            part = rows.withColumns({"p": F.lit(None).cast("double"), "unscored": F.lit(model)})
+        else:
+            part = score(model[0], rows, features(t), nullable).withColumn("unscored", F.lit(None).cast("string"))
+        part = part.select(F.lit(t).alias("type"), "object_id", "h", F.col(f"next_{t}").alias("next"), "p", "unscored")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("no types")
+    return out
+
+
+def importance_of_types(spark, models: dict[str, tuple | str], top: int = 20) -> DataFrame:
+    """The importances of every type's model: ``type, feature, importance``."""
+    out = spark.createDataFrame([], "type string, feature string, importance double")
+    for t, model in models.items():
+        if not isinstance(model, str):
+            out = out.unionByName(importance_table(spark, *model, top).withColumn("type", F.lit(t)))
+    return out
+
+
 def soft_labels(rows: DataFrame, target: str, confirmed: str, horizon: int, soft: float) -> DataFrame:
     """Unconfirmed positives as two weighted rows: positive with ``soft`` and
     negative with the rest."""
@@ -184,22 +247,28 @@ def cascade_features(alarms: DataFrame, all_alarms: DataFrame, work: DataFrame,
     )
 
 
-def time_blocks(rows: DataFrame, t: str, folds: int) -> DataFrame:
-    """Contiguous blocks of time with about equally many rows."""
+def time_blocks(rows: DataFrame, t: str, folds: int) -> tuple[DataFrame, list]:
+    """Contiguous blocks of time with about equally many rows, and the last moment of each but the last."""
     edges = [r["value"] for r in exact_quantiles(rows, [], t, [i / folds for i in range(1, folds)]).orderBy("q").collect()]
     block = F.lit(0)
     for e in edges:
         block = block + (F.col(t) > e).cast("int")
-    return rows.withColumn("block", block)
+    return rows.withColumn("block", block), edges
 
 
-def out_of_fold(rows: DataFrame, t: str, features: list[str], label: str, folds: int, trees: int = 10, depth: int = 3) -> DataFrame:
-    """Every row scored by a model that never saw its block of time; where no
-    model could be fitted ``oof`` is NULL and ``unscored`` says why."""
-    blocks = settle(time_blocks(rows, t, folds))
+def out_of_fold(rows: DataFrame, t: str, features: list[str], label: str, folds: int, trees: int = 10, depth: int = 3, gap: int = 0) -> DataFrame:
+    """Every row scored by a model that saw neither its block of time nor rows within
+    ``gap`` of it, whose outcomes overlap; where no model could be fitted ``oof`` is
+    NULL and ``unscored`` says why."""
+    marked, edges = time_blocks(rows, t, folds)
+    blocks = settle(marked)
     out = None
     for b in range(folds):
-        fit, held = blocks.where(F.col("block") != b), blocks.where(F.col("block") == b)
+        held, fit = blocks.where(F.col("block") == b), blocks.where(F.col("block") != b)
+        if gap and 0 < b <= len(edges):
+            fit = fit.where((F.col(t) <= edges[b - 1] - gap) | (F.col("block") > b))
+        if gap and b < len(edges):
+            fit = fit.where((F.col(t) > edges[b] + gap) | (F.col("block") < b))
         n = fit.agg(F.sum(F.col(label)).alias("p"), F.sum(1 - F.col(label)).alias("n")).first()
         if not n["p"] or not n["n"] or n["p"] < 5 or n["n"] < 5:
             part = held.withColumn("oof", F.lit(None).cast("double")).withColumn("unscored", F.lit("too few rows of a class"))
@@ -215,15 +284,26 @@ def keep_threshold(oof: DataFrame, label: str, keep: float) -> DataFrame:
     return exact_quantiles(oof.where(F.col(label) == 1), [], "oof", [1.0 - keep]).select(F.col("value").alias("thr"))
 
 
-def second_stage(rows: DataFrame, t: str, features: list[str], label: str, folds: int, keep: float) -> DataFrame:
+def second_stage(rows: DataFrame, t: str, features: list[str], label: str, folds: int, keep: float, gap: int = 0) -> DataFrame:
     """Out-of-fold scores and which rows the second stage lets through."""
-    oof = settle(out_of_fold(rows, t, features, label, folds))
+    oof = settle(out_of_fold(rows, t, features, label, folds, gap=gap))
     thr = keep_threshold(oof, label, keep).first()
     cutoff = thr["thr"] if thr is not None else None
     passed = F.col("oof").isNull() | (F.col("oof") >= F.lit(cutoff)) if cutoff is not None else F.lit(True)
     return oof.withColumn("passed", passed)
 
 
+def second_stages(rows: DataFrame, types: Iterable[str], t: str, features: list[str], label: str, folds: int, keep: float, gap: int = 0) -> DataFrame:
+    """The second stage of every type, each with folds, models and a threshold of its own."""
+    parts = each(rows.sparkSession, types, lambda k: second_stage(rows.where(F.col("type") == k), t, features, label, folds, keep, gap))
+    out = None
+    for part in parts.values():
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("no types")
+    return out
+
+
 def walk_forward(
     mart: DataFrame, type_: str, features: list[str], nullable: list[str], start: int, end: int, step: int, strategy: str,
     horizon: int = 24, val_hours: int = 14 * 24, share: float = 0.1, trees: int = 10, depth: int = 4,
@@ -258,7 +338,7 @@ def walk_forward(
         if strategy.startswith("decay"):
             age = (F.lit(cut) - F.col("h")) / (int(strategy[5:]) * 24.0)
             seen, weight = seen.withColumn("w", F.pow(F.lit(2.0), -age)), "w"
-        fit = seen.where(~val)
+        fit = seen.where(F.col("h") < cut - val_hours - horizon)  # targets end before validation begins
         n = fit.agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("n")).first()
         trainable = bool(n["p"]) and n["p"] >= 5 and n["p"] != n["n"]
         if not trainable:
@@ -279,6 +359,19 @@ def walk_forward(
     return out.withColumn("strategy", F.lit(strategy))
 
 
+def walks(mart: DataFrame, types: Iterable[str], strategies: Iterable[str], features: Callable[[str], list[str]], *args, **settings) -> DataFrame:
+    """``walk_forward`` of every type and strategy, written one by one: ``type, strategy``
+    and its columns, one row for each object, hour, type and strategy."""
+    keys = [(t, st) for t in types for st in strategies]
+    parts = each(mart.sparkSession, keys, lambda k: settle(walk_forward(mart, k[0], features(k[0]), *args, strategy=k[1], **settings).withColumn("type", F.lit(k[0]))))
+    out = None
+    for part in parts.values():
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("no types or strategies")
+    return out
+
+
 # ---- filter of by-fact notices -----------------------------------------------------
 
 
@@ -344,5 +437,3 @@ def urgent_overlay(daily: DataFrame, urgent: DataFrame, by: list[str], share: fl
         .join(base, by, "left")
         .fillna(0, subset=["gained", "false_runs", "caught_daily"])
     )
-
-
