@@ -101,3 +101,26 @@ def test_silence_of_busy_channel(spark):
 def test_key_flags(spark):
     df = spark.createDataFrame([("Затоплен",), ("Норма",)], "state string")
     assert [r["flag"] for r in Q.key_state_flag(df).collect()] == ["flood", None]
+
+
+def test_silence_walks_whole_channels(spark):
+    """Many channels in few tasks, also one without an id: no Python call a channel, and the spells of
+    each are those of a walk over its rows alone."""
+    limit, now = 10, 1000
+    moments = lambda c: [c % 7, c % 7 + 4, c % 7 + 8, c % 7 + 8, 60 + c, 64 + c, 300 + 3 * c]
+    rows = [(c if c else None, t) for c in range(40) for t in moments(c)]
+    want = set()
+    for c in range(40):
+        last, gap, seen = None, None, 0
+        for t in sorted(set(moments(c))):
+            if last is not None:
+                bound = max(float(limit), Q.LIMIT_FACTOR * (gap or 0.0))
+                if seen >= Q.LEAST_EVENTS and t - last > bound:
+                    want.add((c or None, last, last + int(bound), t))
+                else:
+                    gap = t - last if gap is None else Q.KEEP * gap + Q.TAKE * (t - last)
+            last, seen = t, seen + moments(c).count(t)
+        want.add((c or None, last, last + int(max(float(limit), Q.LIMIT_FACTOR * (gap or 0.0))), None))
+    got = Q.channel_silence(spark.createDataFrame(rows, "channel_id bigint, us bigint"), limit, now)
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()
+    assert len(want) > 80 and sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.timebase import DAY, HOUR, floor_div
@@ -307,27 +310,43 @@ def channel_cells(rows: DataFrame, limit: int) -> DataFrame:
     )
 
 
+SPELL = "channel_id bigint, since bigint, silent_at bigint, back_at bigint"
+
+
 def _silence(limit: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        gap, last, count = None, None, 0
-        out = []
-        for r in pdf.sort_values("cell").itertuples(index=False):
-            if last is not None:
-                pause = r.t0 - last
-                bound = max(float(limit), LIMIT_FACTOR * (gap or 0.0))
-                if count >= LEAST_EVENTS and pause > bound:
-                    out.append((r.channel_id, last, last + int(bound), r.t0))
-                elif pause > 0:
-                    gap = pause if gap is None else KEEP * gap + TAKE * pause
-            # the interval inside the cell
-            if gap is None:
-                gap = None if pd.isna(r.b0) else r.b0
-            else:
-                gap = r.a * gap + r.b
-            last, count = r.t1, count + r.n
-        if last is not None and count >= LEAST_EVENTS:
-            out.append((pdf["channel_id"].iloc[0], last, last + int(max(float(limit), LIMIT_FACTOR * (gap or 0.0))), None))
-        return pd.DataFrame(out, columns=["channel_id", "since", "silent_at", "back_at"]).astype({"back_at": "Int64"})
+    """Cells of whole channels, each channel's in order, to its silent spells.  One
+    walk over a task's rows; what it holds is the state of one channel and a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([(n.split(" ")[0], pa.int64()) for n in SPELL.split(", ")])
+        none = object()
+        channel, gap, last, count = none, None, None, 0
+
+        def bound() -> float:
+            return max(float(limit), LIMIT_FACTOR * (gap or 0.0))
+
+        def still() -> list[tuple]:
+            return [(channel, last, last + int(bound()), None)] if channel is not none and count >= LEAST_EVENTS else []
+
+        for batch in batches:
+            out = []
+            for c, t0, t1, n, a, b, b0 in zip(*[col.to_pylist() for col in batch.columns], strict=True):
+                if c != channel:
+                    out += still()
+                    channel, gap, last, count = c, None, None, 0
+                if last is not None:
+                    pause = t0 - last
+                    if count >= LEAST_EVENTS and pause > bound():
+                        out.append((c, last, last + int(bound()), t0))
+                    elif pause > 0:
+                        gap = pause if gap is None else KEEP * gap + TAKE * pause
+                # the interval inside the cell
+                gap = b0 if gap is None else a * gap + b
+                last, count = t1, count + n
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], schema=schema)
+        if out := still():
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], schema=schema)
 
     return run
 
@@ -335,10 +354,9 @@ def _silence(limit: int):
 def channel_silence(rows: DataFrame, limit: int, now: int) -> DataFrame:
     """Silent spells of channels: since when, when noticed, when they spoke
     again (NULL: silent still at ``now``)."""
-    cells = channel_cells(rows.where(F.col("us") <= now), limit)
-    spells = cells.groupBy("channel_id").applyInPandas(
-        _silence(limit), "channel_id bigint, since bigint, silent_at bigint, back_at bigint"
-    )
+    cells = channel_cells(rows.where(F.col("us") <= now), limit).select("channel_id", "cell", "t0", "t1", "n", "a", "b", "b0")
+    lines = cells.repartition("channel_id").sortWithinPartitions("channel_id", "cell").drop("cell")
+    spells = lines.mapInArrow(_silence(limit), SPELL)
     return spells.where(F.col("back_at").isNotNull() | (F.col("silent_at") < now))
 
 
@@ -355,7 +373,7 @@ def source_silence(rows: DataFrame, limit: int, now: int) -> DataFrame:
 
 def silence_snapshot(spells: DataFrame, limit: int) -> DataFrame:
     """Channels silent now, the oldest first, with the total."""
-    now = spells.where("back_at is null")
+    now = settle(spells.where("back_at is null"))  # read for the total and for the oldest
     total = now.agg(F.count(F.lit(1)).alias("silent"))
     top = now.orderBy("since", "channel_id").limit(limit).select("channel_id", "since").withColumn("_k", F.lit(1))
     return top.join(total.withColumn("_k", F.lit(1)), "_k").drop("_k")
