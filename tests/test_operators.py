@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tocsin.operators.interval import interval_join
 from tocsin.operators.ranks import exact_quantiles, ranked
+from tocsin.operators.settle import settle
 from tocsin.operators.scan import asof_join, distinct_within, previous_row, running_total, sessions
 
 
@@ -111,3 +112,21 @@ def test_quantiles_and_ranks(spark):
         assert x["cum_n"] == sum(1 for k, v in rows if k == x["g"] and v <= x["v"])
     for x in ranked(df, ["g"], "v", descending=True, slices=8).collect():
         assert x["cum_n"] == sum(1 for k, v in rows if k == x["g"] and v >= x["v"])
+
+
+def test_settle_computes_a_stage_once(spark):
+    n = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        n.add(1)
+        return x
+
+    got = settle(spark.range(20).select(F.udf(seen, "bigint")("id").alias("x"), F.lit(None).cast("string").alias("none")))
+    assert n.value == 20  # an eager checkpoint runs its last stage twice
+    assert sorted(r["x"] for r in got.where("none is null").collect()) == list(range(20)) and n.value == 20
+
+
+def test_settle_keeps_types(spark):
+    df = spark.sql("SELECT 1 AS a, CAST(NULL AS BOOLEAN) AS b, null AS v, TIMESTAMP_NTZ '2024-01-01 00:00:00.123456' AS t, named_struct('x', array(1.5D, 'NaN')) AS s")
+    got = settle(df)
+    assert got.dtypes == df.dtypes and str(got.collect()) == str(df.collect())
