@@ -130,3 +130,21 @@ def test_settle_keeps_types(spark):
     df = spark.sql("SELECT 1 AS a, CAST(NULL AS BOOLEAN) AS b, null AS v, TIMESTAMP_NTZ '2024-01-01 00:00:00.123456' AS t, named_struct('x', array(1.5D, 'NaN')) AS s")
     got = settle(df)
     assert got.dtypes == df.dtypes and str(got.collect()) == str(df.collect())
+
+
+def test_packets_take_each_field_once(spark):
+    from tocsin.sources import packets as P
+
+    event = f'{{"{P.EVENT_ID}": " 7 ", "{P.CHANNEL}": 3.9, "{P.DATE}": "2024-01-05", "{P.TIME}": "10:00:01", "{P.ALARM}": " T ", "{P.VALUE}": 2.50}}'
+    bodies = [f"[{event}, 17, {{}}]", f'{{"events": [{event}]}}', f'{{"события": [{event}]}}', f'{{"events": 5, "события": [{event}]}}', "not json", "5", '{"events": null}', "[]"]
+    rows = spark.createDataFrame(list(enumerate(bodies)), "packet int, body string")
+    events, bad = P.unpack(rows)
+    assert sorted(r["packet"] for r in bad.collect()) == [3, 4, 5, 6]
+    assert {r["reason"] for r in bad.collect()} == {P.BAD_PACKET}
+    n = P.normalize(events)
+    got = {(r["packet"], r["pos"]): (r["reason"], r["channel_id"], str(r["ts"]), r["alarm"], r["value"], r["event_id"]) for r in n.collect()}
+    good = (None, 3, "2024-01-05 10:00:01", True, "2.5", 7)
+    assert {k: v for k, v in got.items() if v[0] is None} == {(0, 0): good, (1, 0): good, (2, 0): good}
+    assert (got[0, 1][0], got[0, 2][0]) == (P.NOT_OBJECT, P.NO_CHANNEL) and len(got) == 5
+    plan = n.where("reason is null").select("event_id", "value")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("schemaOfVariant(") <= 7 and plan.count("parseJson(") == 1

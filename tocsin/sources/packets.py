@@ -43,21 +43,24 @@ def kind(v: Column) -> Column:
     return F.schema_of_variant(v)
 
 
-def is_number(v: Column) -> Column:
-    return kind(v).rlike("^(BIGINT|DECIMAL|DOUBLE)")
+def is_number(kind_: Column) -> Column:
+    return kind_.rlike("^(BIGINT|DECIMAL|DOUBLE)")
+
+
+def once(*cols: Column) -> list[Column]:
+    """The columns as one generated row: filters and projections that read them
+    several times are not moved below, so each is computed once a row."""
+    return [F.inline(F.array(F.struct(*cols)))]
 
 
 def unpack(packets: DataFrame, body: str = "body") -> tuple[DataFrame, DataFrame]:
     """Events of the packets with their position, and refused packets.  A
     packet is ``{"events": [..]}``, a bare list or ``{"события": [..]}``."""
-    v = F.try_parse_json(F.col(body))
-    p = packets.withColumn("_v", v)
-    listed = F.when(kind(F.col("_v")).startswith("ARRAY"), F.col("_v")).otherwise(
-        F.coalesce(part(F.col("_v"), "events"), part(F.col("_v"), "события"))
-    )
-    p = p.withColumn("_l", listed)
-    items = F.when(kind(F.col("_l")).startswith("ARRAY"), F.try_variant_get(F.col("_l"), "$", "array<variant>"))
-    p = p.withColumn("_i", items).drop("_v", "_l")
+    v = F.col("_v")
+    p = packets.select("*", *once(F.try_parse_json(F.col(body)).alias("_v")))
+    as_list = lambda c: F.try_variant_get(c, "$", "array<variant>")
+    listed = F.coalesce(as_list(v), as_list(F.coalesce(part(v, "events"), part(v, "события"))))
+    p = p.select(*packets.columns, *once(listed.alias("_i")))
     reason = F.when(F.col("_i").isNull(), BAD_PACKET).when(F.size("_i") > MAX_EVENTS, BIG_PACKET)
     p = p.withColumn("reason", reason)
     bad = p.where("reason is not null").drop("_i")
@@ -67,45 +70,51 @@ def unpack(packets: DataFrame, body: str = "body") -> tuple[DataFrame, DataFrame
     return events, bad
 
 
-def as_integer(v: Column) -> Column:
-    """A number with its fraction dropped, or a string of digits."""
-    text = F.when(kind(v) == "STRING", F.trim(F.try_variant_get(v, "$", "string")))
-    number = F.when(is_number(v), F.try_variant_get(v, "$", "double"))
+def as_integer(v: Column, kind_: Column) -> Column:
+    """A number with its fraction dropped, or a string of digits; ``kind_`` is the value's kind."""
+    text = F.when(kind_ == "STRING", F.trim(F.try_variant_get(v, "$", "string")))
+    number = F.when(is_number(kind_), F.try_variant_get(v, "$", "double"))
     whole = F.when(F.abs(number) < 9.2e18, F.when(number < 0, F.ceil(number)).otherwise(F.floor(number)))
     return F.coalesce(F.when(text.rlike("^[+-]?[0-9]+$"), text.try_cast("bigint")), whole.cast("bigint"))
 
 
 def normalize(events: DataFrame) -> DataFrame:
     """Typed fields and ``reason``: the first rule an event breaks, else NULL.
-    The reason never carries the sensor value."""
+    The reason never carries the sensor value.  Fields, their kinds and the typed
+    values are each taken out of the event once."""
     e = F.col("event")
-    f = {n: part(e, n) for n in (EVENT_ID, CHANNEL, DATE, TIME, ALARM, VALUE)}
-    has = lambda n: f[n].isNotNull() & (kind(f[n]) != "VOID")
-    text = lambda n: F.when(kind(f[n]) == "STRING", F.try_variant_get(f[n], "$", "string"))
-    channel = as_integer(f[CHANNEL])
-    stamp = F.concat_ws(" ", text(DATE), text(TIME))
+    names = (EVENT_ID, CHANNEL, DATE, TIME, ALARM, VALUE)
+    at = {n: f"_f{i}" for i, n in enumerate(names)}
+    parts = events.select("*", *once(*[part(e, n).alias(at[n]) for n in names]))
+    kinds = parts.select("*", *once(kind(e).startswith("OBJECT").alias("_ko"), *[kind(F.col(at[n])).alias(f"_k{at[n]}") for n in names]))
+    f = {n: F.col(at[n]) for n in names}
+    k = {n: F.col(f"_k{at[n]}") for n in names}
+    has = lambda n: f[n].isNotNull() & (k[n] != "VOID")
+    text = lambda n: F.when(k[n] == "STRING", F.try_variant_get(f[n], "$", "string"))
+    texts = kinds.select("*", *once(F.concat_ws(" ", text(DATE), text(TIME)).alias("_stamp"), F.lower(F.trim(text(ALARM))).alias("_flag")))
+    stamp, flag_text = F.col("_stamp"), F.col("_flag")
     shape = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2} [0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}$"
     ts = F.when(stamp.rlike(shape), stamp.try_cast("timestamp_ntz"))
-    flag_text = F.lower(F.trim(text(ALARM)))
     flag = (
         F.when(f[ALARM].isNull(), F.lit(False))
-        .when(kind(f[ALARM]) == "BOOLEAN", F.try_variant_get(f[ALARM], "$", "boolean"))
+        .when(k[ALARM] == "BOOLEAN", F.try_variant_get(f[ALARM], "$", "boolean"))
         .when(flag_text.isin("true", "t", "1"), F.lit(True))
         .when(flag_text.isin("false", "f", "0"), F.lit(False))
     )
-    value = F.coalesce(text(VALUE), F.when(is_number(f[VALUE]), F.try_variant_get(f[VALUE], "$", "string")))
-    event_id = as_integer(f[EVENT_ID])
-    typed = events.select(
-        "*",
-        F.when(kind(e).startswith("OBJECT"), 1).alias("_obj"),
-        F.when(f[CHANNEL].isNotNull(), 1).alias("_chan"),
-        channel.alias("channel_id"),
-        F.when(has(DATE) & has(TIME), 1).alias("_time"),
-        ts.alias("ts"),
-        flag.alias("alarm"),
-        value.alias("value"),
-        event_id.alias("event_id"),
-        F.when(has(EVENT_ID), 1).alias("_id"),
+    value = F.coalesce(text(VALUE), F.when(is_number(k[VALUE]), F.try_variant_get(f[VALUE], "$", "string")))
+    typed = texts.select(
+        *events.columns,
+        *once(
+            F.when(F.col("_ko"), 1).alias("_obj"),
+            F.when(f[CHANNEL].isNotNull(), 1).alias("_chan"),
+            as_integer(f[CHANNEL], k[CHANNEL]).alias("channel_id"),
+            F.when(has(DATE) & has(TIME), 1).alias("_time"),
+            ts.alias("ts"),
+            flag.alias("alarm"),
+            value.alias("value"),
+            as_integer(f[EVENT_ID], k[EVENT_ID]).alias("event_id"),
+            F.when(has(EVENT_ID), 1).alias("_id"),
+        ),
     )
     c = F.col
     reason = (
