@@ -9,8 +9,10 @@ A bucket of a band is never paired with itself.  First each of its documents is
 compared with one pivot, and confirmed links give first components.  Then only
 buckets that still hold several components are compared once more, across
 components, in blocks of bounded size; a pair that the components already join needs
-no comparison.  So no link between components of the result is lost to a cap, and
-groups of near copies cost a comparison a row.
+no comparison.  A block holds the full sets and gives only links that join what it has
+not joined yet, fewer than its rows, so that no pair is written before it is confirmed.
+So no link between components of the result is lost to a cap, and groups of near copies
+cost a comparison a row.
 
 Documents without words have an empty set and are linked with nothing; those of
 fewer than five words have all of them as their one shingle.  Rows with the same
@@ -35,15 +37,15 @@ ROWS, BANDS = 4, 32
 HASHES = ROWS * BANDS
 #: Standard deviations below the expected agreement of signatures from which a candidate is left out.
 SLACK = 5.5
-#: Hashes of the longer signature, for documents of buckets that hold several components.
-FINE = 1024
-#: Documents of a bucket that one comparison takes from each side.
-BLOCK = 512
+#: Documents of a bucket that one comparison takes from each side, and their shingles.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+#: Hashes that are drawn; signatures use the first of them.
+DRAWN = HASHES + 1024
 
 with np.errstate(over="ignore"):
     MIXED = np.random.default_rng(20240517)
-    FACTOR = MIXED.integers(1, 1 << 63, HASHES + FINE, np.uint64) * np.uint64(2) + np.uint64(1)
-    SHIFT = MIXED.integers(0, 1 << 63, HASHES + FINE, np.uint64) * np.uint64(2)
+    FACTOR = MIXED.integers(1, 1 << 63, DRAWN, np.uint64) * np.uint64(2) + np.uint64(1)
+    SHIFT = MIXED.integers(0, 1 << 63, DRAWN, np.uint64) * np.uint64(2)
     BYTE = MIXED.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
     PLACE = MIXED.integers(1, 1 << 63, WORDS + 1, np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = 0x9E3779B97F4A7C15
@@ -112,15 +114,15 @@ def shingles(texts: list[str | None]) -> list[np.ndarray]:
         return out
 
 
-def minima(sets: list[np.ndarray], first: int = 0, hashes: int = HASHES) -> np.ndarray:
+def minima(sets: list[np.ndarray]) -> np.ndarray:
     """For each non-empty set the least of its values under each universal hash, of 32 bits."""
     with np.errstate(over="ignore"):
         flat = np.concatenate(sets)
         begin = np.cumsum([0, *(len(s) for s in sets[:-1])])
-        out = np.empty((len(sets), hashes), np.uint32)
+        out = np.empty((len(sets), HASHES), np.uint32)
         flat = flat >> np.uint64(32) ^ flat
-        for k in range(hashes):
-            out[:, k] = np.minimum.reduceat((flat * FACTOR[first + k] + SHIFT[first + k]) >> np.uint64(32), begin)
+        for k in range(HASHES):
+            out[:, k] = np.minimum.reduceat((flat * FACTOR[k] + SHIFT[k]) >> np.uint64(32), begin)
         return out
 
 
@@ -156,15 +158,15 @@ def signatures(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
     return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_shingles long, digest binary, bands array<long>, signature binary")
 
 
-def least_agreement(hashes: int) -> int:
+def least_agreement() -> int:
     """Equal bytes of two signatures below which sets are, but for SLACK, not similar enough."""
     p = SIMILARITY / 100 + (1 - SIMILARITY / 100) / 256
-    return int(hashes * p - SLACK * (hashes * p * (1 - p)) ** 0.5)
+    return int(HASHES * p - SLACK * (HASHES * p * (1 - p)) ** 0.5)
 
 
 def agreeing(pairs: DataFrame) -> DataFrame:
     """Pairs (a, b, sa, sb) whose signatures agree often enough, without the signatures."""
-    at, least = [pairs.columns.index(c) for c in ("a", "b", "sa", "sb")], least_agreement(HASHES)
+    at, least = [pairs.columns.index(c) for c in ("a", "b", "sa", "sb")], least_agreement()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in batches:
@@ -191,12 +193,13 @@ def of_nodes(named: DataFrame, df: DataFrame, id: str, text: str, column: str, m
     return maybe.mapInArrow(run, f"node {kind}, {column} binary").join(named, "node", "left_semi")
 
 
-def fine_signatures(sets: list[np.ndarray]) -> list[bytes | None]:
+def signed_sets(sets: list[np.ndarray]) -> list[bytes | None]:
+    """The signature of each set, of HASHES bytes, and behind it the set; null for empty ones."""
     out: list[bytes | None] = [None] * len(sets)
     full = [k for k, s in enumerate(sets) if len(s)]
     if full:
-        for k, row in zip(full, minima([sets[k] for k in full], HASHES, FINE).astype(np.uint8), strict=True):
-            out[k] = row.tobytes()
+        for k, row in zip(full, minima([sets[k] for k in full]).astype(np.uint8), strict=True):
+            out[k] = row.tobytes() + sets[k].tobytes()
     return out
 
 
@@ -230,21 +233,24 @@ def pivot_pairs(buckets: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
 
 
-def across(nodes: DataFrame, first: DataFrame, tested: DataFrame, df: DataFrame, id: str, text: str) -> DataFrame:
-    """Candidates (a > b) of different components of ``first`` that share a bucket, each
-    from the first bucket that its two share.  (One of two documents has its pair tested.)"""
-    buckets = nodes.select("node", F.explode("bands").alias("key"))
+def across(nodes: DataFrame, first: DataFrame, df: DataFrame, id: str, text: str) -> DataFrame:
+    """Links (a > b) between documents of different components of ``first`` that share a
+    bucket, confirmed on full sets.  Each pair is compared in the first bucket that its two
+    share, unless links found before in the same block join them.  (One of two documents
+    has its pair tested.)"""
+    buckets = nodes.select("node", "n_shingles", F.explode("bands").alias("key"))
     placed = buckets.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("n > 2 and low <> high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = stage(placed.join(mixed, "key"), "mixed")
-    fine = of_nodes(stage(rows.select("node").distinct(), "named"), df, id, text, "signature", fine_signatures)
-    rows = rows.join(stage(fine.where("signature is not null").join(nodes.select("node", "bands"), "node"), "fine"), "node")
+    parts = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+    mixed = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"), parts.alias("blocks")).where("n > 2 and low <> high").select("key", "blocks")
+    rows = stage(placed.drop("n_shingles").join(mixed, "key"), "mixed")
+    full = of_nodes(stage(rows.select("node").distinct(), "named"), df, id, text, "members", signed_sets)
+    rows = rows.join(stage(full.where("members is not null").join(nodes.select("node", "bands"), "node"), "sets"), "node")
     block = F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int")
     # a row meets each block of its bucket once: from the left if its own is the lower one
     dealt = rows.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "component", "signature", "bands")
+    dealt = dealt.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "component", "members", "bands")
     kind = dealt.schema["node"].dataType.simpleString()
-    few, least = least_agreement(HASHES), least_agreement(FINE)
+    few = least_agreement()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def groups() -> Iterator[pa.Table]:
@@ -263,22 +269,38 @@ def across(nodes: DataFrame, first: DataFrame, tested: DataFrame, df: DataFrame,
 
         for g in groups():
             p, q = g.column(1)[0].as_py(), g.column(2)[0].as_py()
-            own, node, part = (g.column(k).to_numpy() for k in (3, 4, 5))
-            long = np.frombuffer(b"".join(g.column(6).to_pylist()), np.uint8).reshape(-1, FINE)
+            own, node = (g.column(k).to_numpy() for k in (3, 4))
+            part = np.unique(g.column(5).to_numpy(), return_inverse=True)[1]
+            both = g.column(6).to_pylist()
+            short = np.frombuffer(b"".join([x[:HASHES] for x in both]), np.uint8).reshape(-1, HASHES)
+            size = np.array([len(x) - HASHES for x in both]) // 8
             bands, key = g.column(7).combine_chunks().flatten().to_numpy().reshape(-1, BANDS), g.column(0)[0].as_py()
             left, right = np.flatnonzero(own == p), np.flatnonzero(own == q)
+            sets, a, b = None, [], []
             for k in left:
                 hit = right[(part[right] != part[k]) & ((p != q) | (right > k))]
-                hit = hit[(long[hit, :HASHES] == long[k, :HASHES]).sum(axis=1) >= few]
-                hit = hit[(long[hit] == long[k]).sum(axis=1) >= least]
+                hit = hit[np.minimum(size[hit], size[k]) * 100 >= SIMILARITY * np.maximum(size[hit], size[k])]
+                hit = hit[(short[hit] == short[k]).sum(axis=1) >= few]
                 shared = bands[hit] == bands[k]
                 hit = hit[bands[k][shared.argmax(axis=1)] == key]
-                if len(hit):
-                    a, b = np.maximum(node[hit], node[k]), np.minimum(node[hit], node[k])
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    found = dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(compare, f"a {kind}, b {kind}")
-    return found.distinct().join(tested, ["a", "b"], "left_anti")
+                if not len(hit):
+                    continue
+                if sets is None:  # members by their number among all of the block
+                    numbers = np.unique(np.frombuffer(b"".join([x[HASHES:] for x in both]), np.uint64), return_inverse=True)[1]
+                    sets, held = np.split(numbers, np.cumsum(size)[:-1]), np.zeros(len(numbers), bool)
+                held[sets[k]] = True
+                for j in hit:
+                    if part[j] != part[k]:
+                        common = np.count_nonzero(held[sets[j]])
+                        if 100 * common >= SIMILARITY * (size[j] + size[k] - common):
+                            part[part == part[j]] = part[k]
+                            a.append(max(node[j], node[k]))
+                            b.append(min(node[j], node[k]))
+                held[sets[k]] = False
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(compare, f"a {kind}, b {kind}").distinct()
 
 
 def groups(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -292,7 +314,7 @@ def grouped(df: DataFrame, id: str, text: str) -> DataFrame:
     marks = stage(signatures(df, id, text), "signatures")
     classes = marks.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"))
     classes = stage(classes, "classes")
-    nodes = marks.join(classes.where("node is not null").withColumnRenamed("digest", "of"), (F.col("of") == F.col("digest")) & (F.col("node") == F.col("doc_id"))).select("node", "bands", "signature")
+    nodes = marks.join(classes.where("node is not null").withColumnRenamed("digest", "of"), (F.col("of") == F.col("digest")) & (F.col("node") == F.col("doc_id"))).select("node", "n_shingles", "bands", "signature")
     nodes = stage(nodes.dropDuplicates(["node"]), "nodes")
     buckets = nodes.select("node", F.explode("bands").alias("key"))
     short = nodes.select("node", "signature")
@@ -300,7 +322,7 @@ def grouped(df: DataFrame, id: str, text: str) -> DataFrame:
     signed = tested.join(short.select(F.col("node").alias("a"), F.col("signature").alias("sa")), "a").join(short.select(F.col("node").alias("b"), F.col("signature").alias("sb")), "b").select("a", "b", "sa", "sb")
     links = settled(spark, "confirmed", lambda: confirmed(agreeing(signed), df, id, text))
     first = settled(spark, "first", lambda: components(links))
-    more = settled(spark, "confirmed", lambda: confirmed(across(nodes, first, tested, df, id, text), df, id, text))
+    more = settled(spark, "confirmed", lambda: across(nodes, first, df, id, text))
     whole = components(links.unionByName(more)).withColumnRenamed("component", "least")
     named = classes.join(whole, "node", "left").select("digest", F.coalesce("least", "node").alias("least"))
     out = marks.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
