@@ -222,3 +222,19 @@ def test_operators_read_added_tokens(spark):
     edits = F.expr("array(named_struct('start', 9L, 'deleted', 0L, 'inserted', 'text|>'), named_struct('start', 3L, 'deleted', 1L, 'inserted', ''))")
     for r in token_counts.recount(trees.withColumn("edits", edits), BYTES).collect():
         assert r["n_tokens"] == len(t.encode(r["text"], add_special_tokens=False).ids)
+
+
+def test_new_chunks_are_counted_at_once(monkeypatch):
+    calls: list = []
+
+    def counted(self, pre_tokens, real=byte_bpe.ByteBpe.count):
+        calls.append(len(pre_tokens))
+        return real(self, pre_tokens)
+
+    monkeypatch.setattr(byte_bpe.ByteBpe, "count", counted)
+    monkeypatch.setattr(token_counts, "LEAVES", {})
+    texts = [" ".join(f"Word{k}x{j}" for j in range(20)) for k in range(50)] + ["", "a  b\n c", "é 'll"]
+    got = token_counts.leaves(BYTES)(texts)
+    assert len(calls) == 1
+    assert [sum(np.frombuffer(b"".join(n for _, n in p), "<i4").tolist()) for p in got] == [len(byte_bpe.model(BYTES).one(t)) for t in texts]
+    assert [sum(np.frombuffer(b"".join(c for c, _ in p), "<i4").tolist()) for p in got] == list(map(len, texts))

@@ -68,7 +68,7 @@ class ChunkCache:
             found[0] = bare.get(first) if first else self.empty
             if None in found:
                 new_words = [w for w, v in zip(words[1:], found[1:], strict=True) if v is None]
-                if all(w and not w[0].isspace() and not w[-1].isspace() for w in new_words):
+                if all(new_words) and list(map(str.strip, new_words)) == new_words:
                     new |= {" " + w: 1 for w in new_words}
                     if found[0] is None:
                         new[first] = 1
@@ -86,8 +86,9 @@ class ChunkCache:
                 out[k] = [fresh[" " + w] if v is None else v for w, v in zip(parts, found, strict=True)] if found[0] is not None else [fresh[first], *(fresh[" " + w] if v is None else v for w, v in zip(parts[1:], found[1:], strict=True))]
         for c, v in fresh.items():
             if len(c) <= CACHED_LENGTH:
-                if c[0] == " " and len(c) > 1 and not c[1].isspace() and not c[-1].isspace():
-                    kept[c[1:]] = v
+                w = c[1:]
+                if c[0] == " " and w and w.strip() == w:
+                    kept[w] = v
                 else:
                     bare[c] = v
         return out

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -67,11 +68,14 @@ class Tree:
                 node += 1
         return node, start
 
-    def put(self, node: int, chars: int, tokens: int) -> None:
+    def put(self, node: int, last: int, chars: int, tokens: int) -> None:
+        """A leaf's new sums; those after it and before ``last`` become empty."""
+        self.sums[node:last] = 0
         self.sums[node] = chars, tokens
-        while node > 1:
-            node //= 2
-            self.sums[node] = self.sums[2 * node] + self.sums[2 * node + 1]
+        low, high = node, last - 1
+        while low > 1:
+            low, high = low // 2, high // 2
+            self.sums[low : high + 1] = self.sums[2 * low : 2 * high + 2 : 2] + self.sums[2 * low + 1 : 2 * high + 2 : 2]
 
     def edit(self, text: str, start: int, deleted: int, inserted: str, bpe: ByteBpe) -> tuple[str, int]:
         """The new text, and how many pre-tokens were read again."""
@@ -94,10 +98,7 @@ class Tree:
                     old_end = old
                     break
         last = stop if stop is not None and old_end < len(text) else 2 * self.size
-        for node in range(first + 1, last):
-            if self.sums[node].any():
-                self.put(node, 0, 0)
-        self.put(first, old_end + shift - at, sum(bpe.count(found)))
+        self.put(first, last, old_end + shift - at, sum(bpe.count(found)))
         return new, len(found)
 
 
@@ -107,7 +108,11 @@ def leaves(path: str, added: bool = False) -> ChunkCache:
         bpe = model(path, added)
 
         def compute(new: list[str]) -> list[tuple[bytes, bytes]]:
-            return [(np.array([len(p) for p in ps], "<i4").tobytes(), np.array(bpe.count(ps), "<i4").tobytes()) for ps in map(PRE_TOKEN.findall, new)]
+            parts = list(map(PRE_TOKEN.findall, new))
+            found = list(chain.from_iterable(parts))
+            chars, tokens = np.array(list(map(len, found)), "<i4").tobytes(), np.array(bpe.count(found), "<i4").tobytes()
+            ends = [0, *(4 * np.cumsum(list(map(len, parts)))).tolist()]
+            return [(chars[a:b], tokens[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
 
         LEAVES[path, added] = ChunkCache(compute, (b"", b""), bpe.mark, {t: (np.array([len(t)], "<i4").tobytes(), np.array([1], "<i4").tobytes()) for t in bpe.added})
     return LEAVES[path, added]
